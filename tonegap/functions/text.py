@@ -22,9 +22,9 @@ LETTER = r"\p{L}\p{Nl}\p{No}"
 # Latin and basic Arabic-script text without combining marks is already in composed form, so
 # only rows outside these ranges are worth a trip to a Python worker.
 _COMPOSED = (
-    r"^(?:[\x{0000}-\x{02FF}\x{0400}-\x{045F}\x{0600}-\x{060F}\x{061B}-\x{064A}"
+    r"^[\x{0000}-\x{02FF}\x{0400}-\x{045F}\x{0600}-\x{060F}\x{061B}-\x{064A}"
     r"\x{0660}-\x{066F}\x{0671}-\x{06D5}\x{06EE}-\x{06FF}"
-    r"\x{2000}-\x{2027}\x{2030}-\x{203B}\x{1F300}-\x{1FAFF}])*+$"
+    r"\x{2002}-\x{2027}\x{2030}-\x{203B}\x{1F300}-\x{1FAFF}]*+$"
 )
 
 
