@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tonegap import constants as K
 
@@ -28,7 +29,7 @@ _COMPOSED = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 

@@ -31,11 +31,11 @@ def total(v: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: x * y))
+    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
 
 
 def norm(v: Column) -> Column:
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
     return F.when(n <= _MAX_DOUBLE, n).otherwise(F.lit(0.0))
 
 
