@@ -145,7 +145,7 @@ def expand_terms(
         F.col("ord").alias("tag_ord"), "tag", F.lower("tag").alias("_low")
     )
     lengths = searches.agg(F.collect_set(F.length("_needle"))).scalar()
-    fitting = F.filter(lengths, lambda n: n <= F.length("_low"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_low"))
     pieces = F.flatten(
         F.transform(
             fitting,
@@ -155,7 +155,9 @@ def expand_terms(
             ),
         )
     )
-    cut = tags.withColumn("_needle", F.explode(F.array_distinct(pieces))).drop("_low")
+    cut = tags.withColumn("_lengths", lengths).select(
+        "tag", "tag_ord", F.explode(F.array_distinct(pieces)).alias("_needle")
+    )
     hits = cut.join(searches.select("ord", "_needle"), "_needle").select("ord", "tag", "tag_ord")
     found = top_n_per_group(hits, ["ord"], [F.col("tag_ord")], max_tags)
     plain = specs.join(found.select("ord"), "ord", "left_anti").select(

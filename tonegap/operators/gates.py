@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegap.functions import text as T
-from tonegap.operators.keyed import anti_seen, first_wins, top_n_per_group
+from tonegap.operators.keyed import anti_seen, first_wins, settled, top_n_per_group
 
 ACCEPTED = "accepted"
 
@@ -73,7 +73,7 @@ def verdicts(
     reason = F.when(*_step(steps[0]))
     for step in steps[1:]:
         reason = reason.when(*_step(step))
-    return clean.withColumn("reason", reason.otherwise(ACCEPTED))
+    return settled(clean, "reason", reason.otherwise(ACCEPTED))
 
 
 def _step(step: tuple[Column, str]) -> tuple[Column, Column]:
@@ -120,7 +120,11 @@ def gate_counters(
     ord_col: str = "ord",
     key: str = "post_id",
 ) -> DataFrame:
-    """Rows by final outcome. Only (id, order, reason) is shuffled, never the captions."""
+    """Rows by final outcome. Only (id, order, reason) is shuffled, never the captions.
+
+    The verdicts are read twice: pass a stored table, as a run that also writes the accepted
+    rows and the ignore list has anyway.
+    """
     rows = judged.select(key, ord_col, "reason")
     is_blocking = F.col("reason").isin(*blocking_reasons(rules))
     stops = rows.groupBy(key).agg(F.min(F.when(is_blocking, F.col(ord_col))).alias("_stop"))

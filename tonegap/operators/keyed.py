@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Append a costly column so that it is computed once per row.
+
+    A filter on a projected column is pushed below the projection and evaluates the whole
+    expression a second time. Nothing is pushed below a generator, so the value travels as
+    the only element of an exploded array.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def _ranked(df: DataFrame, keys: list[str | Column], order: list[Column], n: int) -> DataFrame:
     """``row_number <= n``: Spark keeps at most n rows per key in each map task before the
     shuffle (window group limit), so a hot key costs n rows per task."""

@@ -14,6 +14,7 @@ from tonegap.operators.annotation import pending_for_annotator as pending
 from tonegap.plans import inputs as I
 from tonegap.plans.registry import query
 from tonegap.plans.text_queries import SQL_KEYWORD_LABEL, SQL_TAGGED, tagged_captions
+from tonegap.session import scratch_path
 from tonegap.sources import tables as S
 
 # --- gates ------------------------------------------------------------------
@@ -87,7 +88,9 @@ def gate_counters(spark, sf):
     judged = G.verdicts(
         I.grouped_posts(spark, sf), G.LOCAL, media_ok=F.col("media_ok"), face_ok=F.col("face_ok")
     )
-    return G.gate_counters(judged, G.LOCAL, seen=I.seen_posts(spark, sf))
+    path = scratch_path(spark, "verdicts")
+    judged.select("post_id", "ord", "reason").write.parquet(path)
+    return G.gate_counters(spark.read.parquet(path), G.LOCAL, seen=I.seen_posts(spark, sf))
 
 
 @query(f"WITH {admitted_sql(G.FEED)} SELECT ord, post_id FROM admitted ORDER BY ord LIMIT 50")
@@ -413,8 +416,6 @@ def usable_records(spark, sf):
 )
 def append_new_ids(spark, sf):
     """New ids, sorted, appended to a text list and read back."""
-    from tonegap.session import scratch_path
-
     path = scratch_path(spark, "ignored")
     S.append_new_ids(I.grouped_posts(spark, sf), I.seen_posts(spark, sf), path)
     return spark.read.text(path).select(F.col("value").alias("post_id"))
@@ -428,8 +429,6 @@ def append_new_ids(spark, sf):
 )
 def upsert_vectors(spark, sf):
     """Half of the label groups arrive again and replace their rows in the stored table."""
-    from tonegap.session import scratch_path
-
     path = scratch_path(spark, "vectors")
     base = I.table(spark, sf, "embeddings")
     chosen = base.groupBy("label").agg(F.min("vec_id").alias("m")).filter("m % 2 = 0").select("label")
@@ -452,8 +451,6 @@ def upsert_vectors(spark, sf):
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS post_id, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
 def fetch_vectors(spark, sf):
-    from tonegap.session import scratch_path
-
     path = scratch_path(spark, "vectors")
     same = [F.col("embedding").alias(c) for c in K.VECTOR_ROW_FIELDS[2:]]
     S.upsert_vectors(

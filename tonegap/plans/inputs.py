@@ -13,6 +13,7 @@ from tonegap import constants as K
 from tonegap.functions import vectors as V
 from tonegap.operators.folds import stratified_folds
 from tonegap.operators.learning import argmax_label
+from tonegap.session import spread
 
 LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 SCRIPT = "ابپتثجچحخدذرزژسشصضطظعغفقكي" * 2 + K.PERSIAN_DIGITS
@@ -36,6 +37,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are long texts: costly per row, so spread over the cores."""
+    return spread(table(spark, sf, name))
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -70,7 +76,7 @@ def captions(spark: SparkSession, sf: str) -> DataFrame:
     cue = F.element_at(F.array(*[F.lit(c) for c in CUES]), (F.col("n_chars") % len(CUES) + 1).cast("int"))
     script = F.when(F.col("lang") != "en", F.translate("text", LATIN, SCRIPT)).otherwise(F.col("text"))
     doc_id = F.col("doc_id").cast("string")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.col("doc_id").alias("ord"),
         doc_id.alias("post_id"),
         F.col("n_chars").cast("string").alias("group_id"),
@@ -146,15 +152,19 @@ def sql_matches(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {sql_text('(?i)' + pattern)})"
 
 
+SQL_NEG = r"ناراحت|غمگین|غم|گریه|افسرد|حالم\s*بد|خسته|عصبانی|نفرت|بدبخت| miserable|sad|depressed|tired|hate|upset"
+SQL_POS = r"خوشحال|شاد|عالی|فوق\s*العاده|love|happy|great|amazing|best\s*day"
+
+
 def sql_sarcasm(x: str) -> str:
-    neg, pos = sql_matches(x, K.NEG_WORDS), sql_matches(x, K.POS_WORDS)
+    neg, pos = sql_matches(x, SQL_NEG), sql_matches(x, SQL_POS)
+    turn = sql_matches(x, r"ولی|اما|در\s+حالی|although|but\s+|ببینم|کی\s+بلد|مگه| seriously|yeah\s+right")
     return f"""(length({x}) >= {K.SARCASM_MIN_LENGTH} AND (
-      {sql_matches(x, K.IRONY_WORDS)}
+      {sql_matches(x, 'کنایه|طنز|سرتق|iron(y|ic)|sarcasm')}
       OR ({neg} AND {sql_matches(x, K.HAPPY_EMOJI)})
       OR ({pos} AND {sql_matches(x, K.SAD_EMOJI)})
       OR ({neg} AND {pos})
-      OR ({sql_matches(x, K.CONTRAST_WORDS)} AND ({neg} OR {pos}))
-      OR ({sql_matches(x, K.RHETORICAL_WORDS)} AND ({neg} OR {pos}))
+      OR ({turn} AND ({neg} OR {pos}))
       OR length({x}) - length(replace({x}, '"', '')) >= 2
       OR contains({x}, '«')))"""
 

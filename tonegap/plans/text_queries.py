@@ -105,7 +105,7 @@ def described_pages(spark, sf):
         .when(shape == 1, F.concat(F.lit("12 likes: '"), title, F.lit("'")))
         .otherwise(title)
     )
-    return I.table(spark, sf, "pages").select("page_id", text.alias("description"), "html", "url")
+    return I.texts(spark, sf, "pages").select("page_id", text.alias("description"), "html", "url")
 
 
 SQL_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
@@ -140,7 +140,7 @@ SQL_HEADING = I.sql_strip(
 
 @query(f"SELECT page_id, {SQL_HEADING} AS caption FROM pages")
 def caption_from_html(spark, sf):
-    return I.table(spark, sf, "pages").select(
+    return I.texts(spark, sf, "pages").select(
         "page_id", H.caption_from_html(F.col("html"), "<h1", "h1").alias("caption")
     )
 
@@ -163,7 +163,7 @@ picked AS (
 def image_urls(spark, sf):
     urls = H.image_urls(F.col("html"), LINK_PATTERN, 1)
     return (
-        I.table(spark, sf, "pages")
+        I.texts(spark, sf, "pages")
         .select("page_id", F.posexplode(urls).alias("pos", "url"))
         .withColumn("pos", F.col("pos") + 1)
     )
@@ -171,7 +171,7 @@ def image_urls(spark, sf):
 
 @query(f"WITH {SQL_PICK} SELECT page_id, picked.url FROM pages LEFT JOIN picked USING (page_id)")
 def pick_image_url(spark, sf):
-    pages = I.table(spark, sf, "pages").select("page_id", "html")
+    pages = I.texts(spark, sf, "pages").select("page_id", "html")
     return H.with_image_url(
         pages, name="url", pattern=LINK_PATTERN, group=1, thumbnail_markers=LINK_MARKERS
     ).select("page_id", "url")
@@ -179,7 +179,7 @@ def pick_image_url(spark, sf):
 
 @query(f"SELECT page_id, {I.sql_unescape('html')} AS text FROM pages")
 def html_unescape(spark, sf):
-    return I.table(spark, sf, "pages").select("page_id", H.html_unescape(F.col("html")).alias("text"))
+    return I.texts(spark, sf, "pages").select("page_id", H.html_unescape(F.col("html")).alias("text"))
 
 
 @query(
@@ -238,7 +238,7 @@ SQL_MEDIA_URL = "url || CASE WHEN page_id % 2 = 0 THEN '/a.WEBP?x=1' ELSE '/a.pn
 )
 def media_suffix(spark, sf):
     tail = F.when(F.col("page_id") % 2 == 0, "/a.WEBP?x=1").otherwise("/a.png?y=.webp")
-    return I.table(spark, sf, "pages").select(
+    return I.texts(spark, sf, "pages").select(
         "page_id", H.media_suffix(F.concat("url", tail)).alias("suffix")
     )
 
