@@ -105,16 +105,11 @@ def _other_run(spark, sf):
     return metrics.fold_metrics(metrics.confusion(folds.stratified_folds(rows)))
 
 
-SQL_OTHER = I.FOLD_SCORES.replace("predictions", "other_predictions").replace(
-    I.PREDICTIONS.replace("predictions", "other_predictions"),
-    f"""{I.FEATURES},
+BOTH_RUNS = f"""{I.FOLD_SCORES}, {I.FEATURE_ROWS},
 other_predictions AS (
   SELECT post_id, label, CASE WHEN polarity_T > 0.05 THEN 'positive' WHEN polarity_T < -0.05 THEN 'negative_sarcasm'
-         ELSE 'neutral' END AS pred, {I.SQL_FOLD} AS fold FROM features)""",
-).replace("scores AS (\n  SELECT fold, count", "other_raw AS (\n  SELECT fold, count").replace(
-    "fold_scores AS", "other_scores AS"
-).replace("FROM scores)", "FROM other_raw)")
-BOTH_RUNS = SQL_OTHER + ",\n" + I.FOLD_SCORES[len(I.VECTORS) + 1 :].lstrip(",\n")
+         ELSE 'neutral' END AS pred, {I.SQL_FOLD} AS fold FROM features),
+{I.fold_scores_sql('other_predictions', 'other_scores')}"""
 
 
 @query(
@@ -131,8 +126,7 @@ def compare_runs(spark, sf):
 
 _START, _STEP = metrics.threshold_values()
 SQL_THRESHOLD = f"(CAST({_START!r} AS DOUBLE) + s.step * CAST({_STEP!r} AS DOUBLE))"
-GRID = f"""{I.FEATURES},
-scored AS (SELECT post_id, Dsem, CAST({I.SQL_IRONIC} AS INTEGER) AS y, {I.SQL_FOLD} AS fold FROM features),
+GRID_STEPS = f"""scored AS (SELECT post_id, Dsem, CAST({I.SQL_IRONIC} AS INTEGER) AS y, {I.SQL_FOLD} AS fold FROM features),
 steps AS (SELECT CAST(unnest(range({K.THRESHOLD_STEPS})) AS INTEGER) AS step),
 grid AS (
   SELECT f.fold, s.step, {SQL_THRESHOLD} AS threshold,
@@ -141,6 +135,12 @@ grid AS (
 best AS (
   SELECT fold, CASE WHEN accuracy > 0 THEN threshold ELSE 0.45 END AS threshold, accuracy AS train_accuracy FROM (
     SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(accuracy, 12) DESC, threshold) AS rn FROM grid) WHERE rn = 1)"""
+RULE_STEPS = f"""{GRID_STEPS},
+rule AS (
+  SELECT fold, threshold, train_accuracy, avg(CAST(CAST(Dsem >= threshold AS INTEGER) = y AS DOUBLE)) AS accuracy
+  FROM scored JOIN best USING (fold) GROUP BY ALL)"""
+GRID = f"{I.FEATURES}, {GRID_STEPS}"
+RULE = f"{I.FEATURES}, {RULE_STEPS}"
 
 
 def _scored(spark, sf):
@@ -158,12 +158,6 @@ def best_threshold(spark, sf):
     return _rounded(metrics.best_threshold(metrics.threshold_grid(_scored(spark, sf))), "fold")
 
 
-RULE = f"""{GRID},
-rule AS (
-  SELECT fold, threshold, train_accuracy, avg(CAST(CAST(Dsem >= threshold AS INTEGER) = y AS DOUBLE)) AS accuracy
-  FROM scored JOIN best USING (fold) GROUP BY ALL)"""
-
-
 @query(
     f"""WITH {RULE} SELECT fold, {I.r6('threshold')} AS threshold, {I.r6('train_accuracy')} AS train_accuracy,
       {I.r6('accuracy')} AS accuracy FROM rule"""
@@ -176,7 +170,7 @@ SQL_DELTA = """(SELECT avg((f1_positive_sarcasm + f1_negative_sarcasm) / 2) FROM
   - (SELECT avg((f1_positive_sarcasm + f1_negative_sarcasm) / 2) FROM other_scores)"""
 SQL_RULE_MEAN = "(SELECT avg(accuracy) FROM rule)"
 SQL_PEAK = "(SELECT max(user_id * 10000000 + event_id) FROM events) / 1073741824.0"
-CLAIMS = BOTH_RUNS + ",\n" + RULE[len(I.FEATURES) + 1 :].lstrip(",\n")
+CLAIMS = f"{BOTH_RUNS}, {RULE_STEPS}"
 
 
 @query(

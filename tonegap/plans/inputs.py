@@ -299,8 +299,7 @@ logits AS (
 vectors AS (
   SELECT vec_id, post_id, label, t, h, i, {sql_softmax('lt')} AS pt, {sql_softmax('lh')} AS ph,
          {sql_softmax('lp')} AS proba FROM logits)"""
-FEATURES = f"""{VECTORS},
-features AS (
+FEATURE_ROWS = """features AS (
   SELECT post_id, label, proba, pt, ph,
          greatest(0, least(2, 1 - list_cosine_similarity(t, h))) AS Dsem,
          abs(pt[1] - ph[1]) + abs(pt[2] - ph[2]) AS Dsen,
@@ -308,6 +307,7 @@ features AS (
          list_cosine_similarity(t, i) AS cos_TI,
          pt[2] - pt[1] AS polarity_T, ph[2] - ph[1] AS polarity_T_hat
   FROM vectors)"""
+FEATURES = f"{VECTORS}, {FEATURE_ROWS}"
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,14 +333,20 @@ def _sql_f1(label: str) -> str:
 
 
 SQL_IRONIC = "label IN ('positive_sarcasm', 'negative_sarcasm')"
-FOLD_SCORES = f"""{PREDICTIONS},
-scores AS (
+
+
+def fold_scores_sql(source: str, name: str) -> str:
+    """CTEs that turn a predictions table into per-fold scores."""
+    return f"""{name}_raw AS (
   SELECT fold, count(*) AS n_rows, avg(CAST(label = pred AS DOUBLE)) AS accuracy,
          {', '.join(_sql_f1(x) for x in K.LABELS)},
          avg(CASE WHEN {SQL_IRONIC} THEN CAST(label = pred AS DOUBLE) END) AS sarcasm_accuracy
-  FROM predictions GROUP BY fold),
-fold_scores AS (
-  SELECT *, ({' + '.join('f1_' + x for x in K.LABELS)}) / 5 AS macro_f1 FROM scores)"""
+  FROM {source} GROUP BY fold),
+{name} AS (
+  SELECT *, ({' + '.join('f1_' + x for x in K.LABELS)}) / 5 AS macro_f1 FROM {name}_raw)"""
+
+
+FOLD_SCORES = f"{PREDICTIONS}, {fold_scores_sql('predictions', 'fold_scores')}"
 
 
 # --- timings, tokens, attention, pages --------------------------------------

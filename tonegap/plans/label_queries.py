@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tonegap import constants as K
 from tonegap.operators import annotation as A
 from tonegap.operators import folds
 from tonegap.operators.metrics import degenerate_features as degenerate
@@ -131,10 +132,12 @@ def class_weights(spark, sf):
     return folds.class_weights(I.audit_log(spark, sf)).select("label", "n", I.rounded("weight"))
 
 
-@query(
-    """SELECT unnest(list_filter(['Dsem', 'Dsen', 'Fvt', 'cos_TI', 'polarity_T', 'polarity_T_hat'],
-      lambda c: c = 'Fvt' AND (SELECT min(label - label) = max(label - label) FROM embeddings))) AS feature"""
+SQL_SPOILED = " UNION ALL ".join(
+    f"SELECT {I.sql_text(c)} AS feature FROM spoiled HAVING min({c}) = max({c})" for c in K.FEATURE_NAMES
 )
+
+
+@query(f"WITH {I.FEATURES}, spoiled AS (SELECT * REPLACE (Fvt * 0 AS Fvt) FROM features) {SQL_SPOILED}")
 def degenerate_features(spark, sf):
     """One feature is made constant; it must be the only one reported."""
     spoiled = I.features(spark, sf).withColumn("Fvt", F.col("Fvt") * 0.0)

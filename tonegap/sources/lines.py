@@ -60,6 +60,25 @@ def _filled(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", strip_ws(F.col("value"))).filter(F.col("value") != "")
 
 
+def is_json(value: Column) -> Column:
+    """Exactly one JSON value and nothing behind it.
+
+    The JSON functions stop after the first value, so the line is read as the only element of
+    an array. They also accept single quotes; lines that may hold such get the strict parser.
+    """
+    wrapped = F.concat(F.lit("["), value, F.lit("]"))
+    single = F.coalesce(F.json_array_length(wrapped) == 1, F.lit(False))
+    suspicious = value.rlike(r"[{\[,:]\s*'")
+    return single & (~suspicious | F.try_parse_json(wrapped).isNotNull())
+
+
+def strict_json(value: Column) -> Column:
+    """The line itself; the job fails on a line that is not JSON."""
+    return F.when(is_json(value), value).otherwise(
+        F.raise_error(F.concat(F.lit("invalid JSON: "), value)).cast("string")
+    )
+
+
 def with_errors(lines: DataFrame) -> DataFrame:
     """Append ``error_field`` and ``error``: what makes a labelled record invalid, else null.
 
@@ -70,10 +89,9 @@ def with_errors(lines: DataFrame) -> DataFrame:
     field = F.when(F.lit(False), F.lit(""))
     for name in K.REQUIRED_FIELDS:
         field = field.when(~F.array_contains(keys, name), F.lit(name))
-    syntax_ok = F.try_parse_json("value").isNotNull()
     unknown = F.coalesce(~label.isin(*K.LABELS), F.lit(True))
     shape = (
-        F.when(~syntax_ok, "invalid JSON").when(keys.isNull(), "record must be a JSON object")
+        F.when(~is_json(F.col("value")), "invalid JSON").when(keys.isNull(), "record must be a JSON object")
     )
     missing = F.when(shape.isNull(), field)
     expected = ", ".join(K.LABELS)
@@ -146,16 +164,12 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checkpoint(spark: SparkSession, path: str, schema: ST.StructType) -> DataFrame:
     """Tolerant reader: broken lines and rows without id are dropped, the last row of an id wins."""
-    with_corrupt = ST.StructType([*schema.fields, ST.StructField("_corrupt", ST.StringType())])
-    lines = _filled(numbered_lines(spark, path))
+    lines = _filled(numbered_lines(spark, path)).filter(is_json(F.col("value")))
     parsed = lines.select(
-        F.struct("file", "line_no").alias("ord"),
-        F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": "_corrupt"}).alias("row"),
+        F.struct("file", "line_no").alias("ord"), F.from_json("value", schema).alias("row")
     ).select("ord", "row.*")
-    sound = parsed.filter(
-        F.col("_corrupt").isNull() & (F.coalesce(F.col("post_id"), F.lit("")) != "")
-    )
-    return last_wins(sound.drop("_corrupt"), ["post_id"]).drop("ord")
+    named = parsed.filter(F.coalesce(F.col("post_id"), F.lit("")) != "")
+    return last_wins(named, ["post_id"]).drop("ord")
 
 
 def read_ignore_list(spark: SparkSession, path: str) -> DataFrame:
@@ -242,7 +256,7 @@ def read_all_pools(spark: SparkSession, folder: str, current: DataFrame | None =
     lines = _filled(numbered_lines(spark, folder, pathGlobFilter="*.jsonl")).withColumn("name", name)
     rows = lines.filter(~F.col("name").startswith("test_")).select(
         F.struct("name", "line_no").alias("ord"),
-        F.from_json("value", POOL_SCHEMA, {"mode": "FAILFAST"}).alias("row"),
+        F.from_json(strict_json(F.col("value")), POOL_SCHEMA, {"mode": "FAILFAST"}).alias("row"),
     )
     merged = last_wins(rows.select("ord", "row.*"), ["post_id"]).drop("ord")
     return merged if current is None else overlay(merged, current.select(*merged.columns))
@@ -256,5 +270,5 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
         lines = _filled(numbered_lines(spark, path))
     except AnalysisException:
         return spark.createDataFrame([], AUDIT_SCHEMA).withColumn("ord", F.lit(0).cast("long"))
-    parsed = F.from_json("value", AUDIT_SCHEMA, {"mode": "FAILFAST"})
+    parsed = F.from_json(strict_json(F.col("value")), AUDIT_SCHEMA, {"mode": "FAILFAST"})
     return lines.select(parsed.alias("row"), F.col("line_no").alias("ord")).select("row.*", "ord")
