@@ -13,13 +13,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    LinearSVC,
-    LinearSVCModel,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +27,8 @@ from tonegap.operators.folds import stratified_folds
 from tonegap.operators.metrics import confusion, dsem_rule, fold_metrics, is_sarcasm
 from tonegap.operators.predict import label_array
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
+ROWS_PER_TASK = 50_000
 
 
 def _vectors(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -41,14 +38,21 @@ def _vectors(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return assembler.transform(clean).drop(*[f"_x_{c}" for c in columns])
 
 
+def _few_tasks(df: DataFrame, n_rows: int) -> DataFrame:
+    """No more tasks than the rows are worth: every optimiser step is a job over all of them.
+
+    Merging needs no shuffle, and from ``ROWS_PER_TASK`` rows per partition on it does nothing.
+    """
+    return df.coalesce(n_rows // ROWS_PER_TASK + 1)
+
+
 def _class_counts(df: DataFrame, label: str) -> dict[str, int]:
     rows = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()
     return {row[0]: row[1] for row in rows}
 
 
 def _by_class(label: Column, values: dict) -> Column:
-    pairs = [F.lit(x) for item in values.items() for x in item]
-    return F.create_map(*pairs)[label]
+    return _map_of(values)[label]
 
 
 def _balanced(counts: dict[str, int]) -> dict[str, float]:
@@ -92,6 +96,7 @@ def fit_logreg(
         _by_class(F.col(label), order).cast("double").alias("_y"),
         _by_class(F.col(label), _balanced(counts)).alias("_w"),
     )
+    data = _few_tasks(data, sum(counts.values()))
     estimator = LogisticRegression(
         featuresCol="_x",
         labelCol="_y",
@@ -109,55 +114,143 @@ def fit_logreg(
 
 @dataclass
 class CalibratedSvcPack:
-    """One-vs-rest linear SVMs with sigmoid calibration, averaged over inner folds."""
+    """One-vs-rest linear SVMs with sigmoid calibration, averaged over inner folds.
 
-    members: list[list[tuple[LinearSVCModel, float, float]]]
+    ``members[fold][class]`` is (weights with the intercept last, sigmoid slope, offset).
+    """
+
+    members: list[list[tuple[list[float], float, float]]]
     classes: list
     features: tuple[str, ...]
     name: str = "CalibratedLinearSVC"
 
     def class_probabilities(self, df: DataFrame) -> DataFrame:
-        data = _vectors(df, self.features).withColumn("_v", vector_to_array("_x"))
+        x = [finite_or_zero(F.col(c)) for c in self.features] + [F.lit(1.0)]
         averaged = [F.lit(0.0)] * len(self.classes)
         for member in self.members:
-            sigmoids = [self._sigmoid(*m) for m in member]
+            sigmoids = [
+                _sigmoid(F.lit(slope) * _dot([F.lit(w) for w in weights], x) + F.lit(offset))
+                for weights, slope, offset in member
+            ]
             mass = reduce(lambda a, b: a + b, sigmoids)
             averaged = [a + s / mass / len(self.members) for a, s in zip(averaged, sigmoids)]
-        return data.withColumn("_p", F.array(*averaged)).drop("_x", "_v")
+        return df.withColumn("_p", F.array(*averaged))
 
-    @staticmethod
-    def _sigmoid(model: LinearSVCModel, slope: float, offset: float) -> Column:
-        margin = _margin(model, F.col("_v"))
-        return 1.0 / (1.0 + F.exp(-(F.lit(slope) * margin + F.lit(offset))))
 
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return reduce(lambda x, y: x + y, [x * y for x, y in zip(a, b)])
 
-def _margin(model: LinearSVCModel, values: Column) -> Column:
-    terms = [F.lit(float(w)) * F.get(values, F.lit(i)) for i, w in enumerate(model.coefficients)]
-    return reduce(lambda a, b: a + b, terms) + F.lit(float(model.intercept))
 
+def _sigmoid(z: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-z))
 
-def _fit_member(data: DataFrame, inner: int, cls, weight: float, n: int, max_iter: int):
-    y = (F.col("_label") == F.lit(cls)).cast("double")
-    train = data.filter(F.col("_inner") != inner).select(
-        "_x", y.alias("_y"), F.when(y == 1.0, weight).otherwise(1.0).alias("_w")
-    )
-    svc = LinearSVC(
-        featuresCol="_x",
-        labelCol="_y",
-        weightCol="_w",
-        standardization=False,
-        regParam=1.0 / n,
-        maxIter=max_iter,
-    ).fit(train)
-    held = data.filter(F.col("_inner") == inner).select(
-        F.array(_margin(svc, vector_to_array("_x"))).alias("_m"), y.alias("_y")
+
+def _per_model(data: DataFrame, models: dict, held_out: bool) -> DataFrame:
+    """Rows beside every model they take part in, with the model's parameters.
+
+    Models travel as one constant array, so every step runs the same compiled plan. A row
+    trains the models of the other inner folds and calibrates those of its own.
+    """
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(inner).alias("inner"),
+                F.lit(cls).alias("cls"),
+                F.array(*[F.lit(float(v)) for v in params]).alias("p"),
+            )
+            for (inner, cls), params in models.items()
+        ]
     )
-    platt = LogisticRegression(featuresCol="_mv", labelCol="_y", maxIter=100).fit(
-        VectorAssembler(inputCols=["_m0"], outputCol="_mv").transform(
-            held.withColumn("_m0", F.get("_m", F.lit(0)))
-        )
+    each = data.withColumn("m", F.explode(table))
+    own = F.col("m.inner") == F.col("_inner")
+    y = F.when(F.col("_label") == F.col("m.cls"), 1.0).otherwise(-1.0)
+    return each.filter(own if held_out else ~own).withColumn("y", y)
+
+
+def _rows_by_model(rows: DataFrame, sums: dict[str, Column]) -> dict:
+    """Sums per model: one small row each, whatever the size of the data."""
+    grouped = rows.groupBy("m.inner", "m.cls").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
+    return {(r["inner"], r["cls"]): r for r in grouped.collect()}
+
+
+def _fit_margins(data: DataFrame, keys: list, weights: dict, size: int, steps: int) -> dict:
+    """Squared-hinge SVMs (C = 1, intercept penalised like a weight) of all folds and classes.
+
+    The loss is quadratic on the rows inside the margin, so a Newton step needs only their
+    second moments. One aggregation per step serves every model; the driver solves systems
+    of ``size`` unknowns.
+    """
+    x = [F.get("_x", F.lit(i)) for i in range(size)]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    importance = F.when(F.col("y") > 0, F.element_at(_map_of(weights), F.col("m.cls"))).otherwise(1.0)
+    models = {k: np.zeros(size) for k in keys}
+    best = {k: (np.inf, np.zeros(size)) for k in keys}
+    for _ in range(steps):
+        rows = _per_model(data, models, held_out=False)
+        margin = _dot([F.get("m.p", F.lit(i)) for i in range(size)], x)
+        slack = 1.0 - F.col("y") * margin
+        inside = F.when(slack > 0, importance).otherwise(0.0)
+        rows = rows.withColumn("c", inside).withColumn("s", slack)
+        sums = {f"h{i}_{j}": F.col("c") * x[i] * x[j] for i, j in pairs}
+        sums |= {f"g{i}": F.col("c") * F.col("y") * x[i] for i in range(size)}
+        sums["loss"] = F.col("c") * F.col("s") * F.col("s")
+        moved = 0.0
+        for k, r in _rows_by_model(rows, sums).items():
+            w = models[k]
+            value = 0.5 * float(w @ w) + r["loss"]
+            if value > best[k][0] + 1e-12:  # overshot: go back half way
+                models[k] = (best[k][1] + w) / 2
+            else:
+                best[k] = (value, w)
+                hessian = np.eye(size)
+                for i, j in pairs:
+                    hessian[i, j] = hessian[j, i] = hessian[i, j] + 2 * r[f"h{i}_{j}"]
+                models[k] = np.linalg.solve(hessian, [2 * r[f"g{i}"] for i in range(size)])
+            moved = max(moved, float(np.abs(models[k] - w).max()))
+        if moved < 1e-6:
+            break
+    return {k: w for k, (_, w) in best.items()}
+
+
+def _fit_sigmoids(data: DataFrame, margins: dict, size: int, steps: int) -> dict:
+    """Slope and offset per model on the rows its inner fold left out, smoothed targets."""
+    x = [F.get("_x", F.lit(i)) for i in range(size)]
+    z = _dot([F.get("m.p", F.lit(i)) for i in range(size)], x)
+    counts = _rows_by_model(
+        _per_model(data, margins, held_out=True),
+        {"pos": (F.col("y") > 0).cast("double"), "neg": (F.col("y") < 0).cast("double")},
     )
-    return svc, float(platt.coefficients[0]), float(platt.intercept)
+    fitted = {k: np.array([1.0, 0.0]) for k in margins}
+    for _ in range(steps):
+        extended = {
+            k: [*w, *fitted[k], (counts[k]["pos"] + 1) / (counts[k]["pos"] + 2), 1 / (counts[k]["neg"] + 2)]
+            for k, w in margins.items()
+        }
+        param = lambda i: F.get("m.p", F.lit(size + i))
+        rows = _per_model(data, extended, held_out=True).withColumn("z", z)
+        rows = rows.withColumn("q", _sigmoid(param(0) * F.col("z") + param(1)))
+        rows = rows.withColumn("v", F.col("q") * (1 - F.col("q")))
+        rest = F.when(F.col("y") > 0, param(2)).otherwise(param(3)) - F.col("q")
+        sums = {
+            "zz": F.col("v") * F.col("z") * F.col("z"),
+            "z1": F.col("v") * F.col("z"),
+            "one": F.col("v"),
+            "gz": rest * F.col("z"),
+            "g1": rest,
+        }
+        moved = 0.0
+        for k, r in _rows_by_model(rows, sums).items():
+            hessian = np.array([[r["zz"], r["z1"]], [r["z1"], r["one"]]]) + 1e-10 * np.eye(2)
+            step = np.clip(np.linalg.solve(hessian, [r["gz"], r["g1"]]), -5.0, 5.0)
+            fitted[k] = fitted[k] + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-6:
+            break
+    return fitted
+
+
+def _map_of(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])
 
 
 def fit_linear_svc_calibrated(
@@ -166,27 +259,25 @@ def fit_linear_svc_calibrated(
     label: str = "label",
     key: str = "post_id",
     inner_folds: int = 3,
-    max_iter: int = 100,
+    max_steps: int = 50,
 ) -> CalibratedSvcPack:
-    """Sigmoid calibration on the rows each inner fold leaves out."""
+    """Balanced one-vs-rest SVMs, calibrated on the rows each inner fold leaves out."""
     counts = _class_counts(df, label)
-    weights = _balanced(counts)
+    size = len(features) + 1
     folded = stratified_folds(df.drop("fold"), label=label, key=key, k=inner_folds, seed=1)
-    data = _vectors(folded, features).select(
-        "_x", F.col(label).alias("_label"), F.col("fold").alias("_inner")
-    )
-    data = data.persist()
+    x = F.array(*[finite_or_zero(F.col(c)) for c in features], F.lit(1.0))
+    data = folded.select(x.alias("_x"), F.col(label).alias("_label"), F.col("fold").alias("_inner"))
+    data = _few_tasks(data, sum(counts.values())).persist()
+    keys = [(i, c) for i in range(1, inner_folds + 1) for c in counts]
     try:
-        jobs = [
-            (lambda i=i, c=c: _fit_member(data, i, c, weights[c], sum(counts.values()), max_iter))
-            for i in range(1, inner_folds + 1)
-            for c in counts
-        ]
-        fitted = _in_parallel(data.sparkSession, jobs)
+        margins = _fit_margins(data, keys, _balanced(counts), size, max_steps)
+        sigmoids = _fit_sigmoids(data, margins, size, max_steps)
     finally:
         data.unpersist()
-    size = len(counts)
-    members = [fitted[i : i + size] for i in range(0, len(fitted), size)]
+    members = [
+        [([float(v) for v in margins[i, c]], *map(float, sigmoids[i, c])) for c in counts]
+        for i in range(1, inner_folds + 1)
+    ]
     return CalibratedSvcPack(members, list(counts), features)
 
 
