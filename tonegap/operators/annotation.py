@@ -104,23 +104,21 @@ def annotator_pairs(latest: DataFrame, part_size: int = 512) -> DataFrame:
     )
 
 
-def pair_label_counts(pairs: DataFrame) -> DataFrame:
-    """Contingency counts; combined in the same stage as the pair join."""
-    return pairs.groupBy("annotator_a", "annotator_b", "label_a", "label_b").agg(
-        F.count("*").alias("n")
-    )
-
-
-def pair_overlap(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("annotator_a", "annotator_b").agg(F.sum("n").alias("overlap"))
+def pair_overlap(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("annotator_a", "annotator_b").agg(F.count("*").alias("overlap"))
 
 
 def cohens_kappa(
-    counts: DataFrame,
+    pairs: DataFrame,
     keys: tuple[str, ...] = ("annotator_a", "annotator_b"),
     labels: tuple[str, ...] = K.LABELS,
 ) -> DataFrame:
-    """Kappa per pair from contingency counts, in whole numbers up to the last division."""
+    """Kappa per pair of label columns, in whole numbers up to the last division.
+
+    One aggregation over the pairs, combined in the stage of the pair join. Rows may carry a
+    count ``n``; without it every row counts once.
+    """
+    counts = pairs if "n" in pairs.columns else pairs.withColumn("n", F.lit(1).cast("long"))
 
     def marginal(side: str, label: str) -> Column:
         return F.sum(F.when(F.col(side) == label, F.col("n")).otherwise(0))
@@ -143,7 +141,7 @@ def cohens_kappa(
 def agreement_report(log: DataFrame, ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
     """Pair table and per-annotator counts; the pair table is empty without overlap."""
     latest = latest_annotation(log, ord_col)
-    kappas = cohens_kappa(pair_label_counts(annotator_pairs(latest)))
+    kappas = cohens_kappa(annotator_pairs(latest))
     return (
         kappas.orderBy("annotator_a", "annotator_b"),
         annotator_counts(latest).orderBy("annotator_id"),

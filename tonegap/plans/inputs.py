@@ -443,8 +443,8 @@ LINKS = """links AS (
 
 
 def sql_unescape(x: str) -> str:
-    """The entities that occur in the pages."""
-    pairs = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+    """The entities that occur in the pages, also when a cut text lost their semicolon."""
+    pairs = [("&quot", '"'), ("&copy", "©"), ("&middot", "·"), ("&lt", "<"), ("&gt", ">"), ("&amp", "&")]
     for entity, char in pairs:
-        x = f"replace({x}, {sql_text(entity)}, {sql_text(char)})"
+        x = f"regexp_replace({x}, {sql_text(entity + ';?')}, {sql_text(char)}, 'g')"
     return x

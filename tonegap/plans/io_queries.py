@@ -96,9 +96,9 @@ def coerce_record(spark, sf):
         (F.col("doc_id") / 2).cast("string").alias("kappa"),
     )
     text = I.table(spark, sf, "documents").select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
-    columns = L.coerce_record(F.col("value"))
+    columns = L.coerce_record(F.col("record"))
     columns["annotators"] = F.array_join(columns["annotators"], ",")
-    return text.select(*[c.alias(name) for name, c in columns.items()])
+    return L.parsed_records(text).select(*[c.alias(name) for name, c in columns.items()])
 
 
 def _pool_json(spark, sf):

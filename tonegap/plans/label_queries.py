@@ -87,12 +87,12 @@ def annotator_pairs(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, n AS overlap FROM pair_sizes")
 def pair_overlap(spark, sf):
-    return A.pair_overlap(A.pair_label_counts(A.annotator_pairs(_latest(spark, sf))))
+    return A.pair_overlap(A.annotator_pairs(_latest(spark, sf)))
 
 
 @query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, overlap, {I.r6('kappa')} AS kappa FROM kappas")
 def cohens_kappa(spark, sf):
-    kappas = A.cohens_kappa(A.pair_label_counts(A.annotator_pairs(_latest(spark, sf))))
+    kappas = A.cohens_kappa(A.annotator_pairs(_latest(spark, sf)))
     return kappas.select("annotator_a", "annotator_b", "overlap", I.rounded("kappa"))
 
 

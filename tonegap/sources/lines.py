@@ -9,7 +9,7 @@ from pyspark.sql import types as ST
 from tonegap import constants as K
 from tonegap.functions.html import extract_shortcode, link_kind
 from tonegap.functions.text import strip_ws
-from tonegap.operators.keyed import first_wins, last_wins, overlay
+from tonegap.operators.keyed import first_wins, last_wins, overlay, settled
 
 POOL_SCHEMA = ST.StructType(
     [
@@ -79,54 +79,57 @@ def strict_json(value: Column) -> Column:
     )
 
 
+def parsed_records(lines: DataFrame) -> DataFrame:
+    """Append ``record``, the line as a map of texts (null when it is not a JSON object), once.
+
+    Everything about a record, presence of keys included, is then a look-up in that map.
+    """
+    record = F.when(is_json(F.col("value")), F.from_json("value", "map<string,string>"))
+    return settled(_filled(lines), "record", record)
+
+
 def with_errors(lines: DataFrame) -> DataFrame:
-    """Append ``error_field`` and ``error``: what makes a labelled record invalid, else null.
+    """Append ``record``, and ``error_field`` and ``error``: what makes a labelled record invalid.
 
     Checks run in order: JSON syntax, object, required fields in their fixed order, label.
     """
-    keys = F.json_object_keys("value")
-    label = F.get_json_object("value", "$.label")
-    field = F.when(F.lit(False), F.lit(""))
+    record = F.col("record")
+    label = F.try_element_at(record, F.lit("label"))
+    absent = F.when(F.lit(False), F.lit(""))
     for name in K.REQUIRED_FIELDS:
-        field = field.when(~F.array_contains(keys, name), F.lit(name))
-    unknown = F.coalesce(~label.isin(*K.LABELS), F.lit(True))
-    shape = (
-        F.when(~is_json(F.col("value")), "invalid JSON").when(keys.isNull(), "record must be a JSON object")
+        absent = absent.when(~F.map_contains_key(record, F.lit(name)), F.lit(name))
+    known = F.coalesce(label.isin(*K.LABELS), F.lit(False))
+    judged = parsed_records(lines).withColumn(
+        "error_field",
+        F.when(record.isNotNull(), F.coalesce(absent, F.when(~known, "label"))),
+    )
+    shape = F.when(is_json(F.col("value")), "record must be a JSON object").otherwise("invalid JSON")
+    unknown = F.concat(
+        F.lit("unknown label "),
+        F.coalesce(label, F.lit("null")),
+        F.lit(f"; expected one of {', '.join(K.LABELS)}"),
     )
-    missing = F.when(shape.isNull(), field)
-    expected = ", ".join(K.LABELS)
-    return lines.withColumns(
-        {
-            "error_field": F.coalesce(missing, F.when(shape.isNull() & unknown, "label")),
-            "error": F.coalesce(
-                shape,
-                F.when(missing.isNotNull(), "missing required field"),
-                F.when(
-                    unknown,
-                    F.concat(
-                        F.lit("unknown label "),
-                        F.coalesce(label, F.lit("null")),
-                        F.lit(f"; expected one of {expected}"),
-                    ),
-                ),
-            ),
-        }
+    message = (
+        F.when(record.isNull(), shape)
+        .when(~F.map_contains_key(record, F.col("error_field")), "missing required field")
+        .when(F.col("error_field") == "label", unknown)
     )
+    return judged.withColumn("error", message)
 
 
 def validate_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid lines, error table) of ``(file, line_no, value)``; blank lines are skipped."""
-    judged = with_errors(_filled(lines))
-    valid = judged.filter(F.col("error").isNull()).drop("error", "error_field")
+    judged = with_errors(lines)
+    valid = judged.filter(F.col("error").isNull()).select(*lines.columns)
     errors = judged.filter(F.col("error").isNotNull()).select(
         "file", "line_no", "error_field", "error"
     )
     return valid, errors
 
 
-def coerce_record(value: Column) -> dict[str, Column]:
-    """Typed columns of one labelled JSON record."""
-    text = lambda name: F.get_json_object(value, f"$.{name}")
+def coerce_record(record: Column) -> dict[str, Column]:
+    """Typed columns of one labelled record, given as a map of texts."""
+    text = lambda name: F.try_element_at(record, F.lit(name))
     names = F.from_json(text("annotators"), "array<string>")
     return {
         "post_id": text("post_id"),
@@ -140,7 +143,7 @@ def coerce_record(value: Column) -> dict[str, Column]:
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Strict reader: the job fails on the first invalid record, naming line and field."""
-    judged = with_errors(_filled(numbered_lines(spark, path)))
+    judged = with_errors(numbered_lines(spark, path))
     message = F.concat(
         F.lit("[line "),
         F.col("line_no").cast("string"),
@@ -151,7 +154,7 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     sound = F.when(F.col("error").isNull(), F.lit(True)).otherwise(
         F.raise_error(message).cast("boolean")
     )
-    columns = coerce_record(F.col("value"))
+    columns = coerce_record(F.col("record"))
     return judged.filter(sound).select(
         F.col("line_no").alias("ord"), *[c.alias(name) for name, c in columns.items()]
     )
