@@ -45,10 +45,15 @@ def pair_tokens(tokens: Column, scores: Column) -> Column:
 
 
 def strip_anchors(tokens: DataFrame, key: str = "post_id") -> DataFrame:
-    """Drop anchor tokens, except in a post that has nothing else."""
-    counted = group_stats_join(tokens, [key], _words=F.count_if(~is_anchor(F.col("token"))))
-    keep = ~is_anchor(F.col("token")) | (F.col("_words") == 0)
-    return counted.filter(keep).select(*tokens.columns)
+    """Drop anchor tokens, except in a post that has nothing else.
+
+    Words pass without any shuffle; only the few anchors are matched against the ids of the
+    posts that have words.
+    """
+    anchor = is_anchor(F.col("token"))
+    words = tokens.filter(~anchor)
+    bare = tokens.filter(anchor).join(words.select(key).distinct(), key, "left_anti")
+    return words.unionByName(bare.select(*tokens.columns))
 
 
 def merge_tokens(tokens: DataFrame, key: str = "post_id") -> DataFrame:
