@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonegap import constants as K
 from tonegap.functions.text import strip_ws
 from tonegap.operators.keyed import group_stats_join, running_sum
+from tonegap.session import cut_lineage
 
 
 def is_anchor(token: Column) -> Column:
@@ -92,7 +93,10 @@ def minmax_normalize(
 def word_heatmap(
     tokens: DataFrame, *, key: str = "post_id", remap: bool = False, hide_anchors: bool = True
 ) -> DataFrame:
-    """Display table: optional remap, anchors hidden, pieces merged, scores scaled."""
+    """Display table: optional remap, anchors hidden, pieces merged, scores scaled.
+
+    Scaling reads the words twice, so they are stored before it instead of merged twice.
+    """
     shown = rtl_remap(tokens, key) if remap else tokens
     shown = strip_anchors(shown, key) if hide_anchors else shown
-    return minmax_normalize(merge_tokens(shown, key), keys=(key,))
+    return minmax_normalize(cut_lineage(merge_tokens(shown, key)), keys=(key,))
