@@ -76,7 +76,7 @@ def main() -> None:
         try:
             problems, n = compare(spark, con, query, sf)
         except Exception as exc:
-            problems, n = [f"{type(exc).__name__}: {str(exc)[:600]}", str(exc)[-3000:].replace(chr(10), " | ")], -1
+            problems, n = [f"{type(exc).__name__}: {str(exc)[:600]}", " | ".join(x for x in str(exc).split(chr(10)) if not x.strip().startswith("at "))[:2500]], -1
         state = "ok" if not problems else "BAD"
         failed += bool(problems)
         print(f"{state:4} {name:32} rows={n:6} {time.time() - start:6.2f}s {'' if query.sql else '(no sql)'}", flush=True)

@@ -26,6 +26,7 @@ from tonegap.functions.vectors import align_proba, argmax_first, finite_or_zero
 from tonegap.operators.folds import stratified_folds
 from tonegap.operators.metrics import confusion, dsem_rule, fold_metrics, is_sarcasm
 from tonegap.operators.predict import label_array
+from tonegap.session import cut_lineage
 
 PARALLEL_FITS = 8
 ROWS_PER_TASK = 50_000
@@ -380,9 +381,12 @@ def unimodal_baseline(folded: DataFrame) -> DataFrame:
 def binary_sarcasm(
     features: DataFrame, columns: tuple[str, ...] = K.DISCREPANCY_SIGNALS, key: str = "post_id"
 ) -> DataFrame:
-    """Per fold: accuracy and F1 of a binary classifier, and of the threshold rule."""
+    """Per fold: accuracy and F1 of a binary classifier, and of the threshold rule.
+
+    The folds are stored first: every fit, every held-out part and the rule read them.
+    """
     target = features.withColumn("y", is_sarcasm(F.col("label"))).drop("label")
-    folded = stratified_folds(target, label="y", key=key)
+    folded = cut_lineage(stratified_folds(target, label="y", key=key))
     scored = cross_validate(folded, columns, label="y")
     conf = confusion(scored.withColumnRenamed("y", "label"))
     hit = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
