@@ -133,3 +133,13 @@ def test_stage_scores_each_record_once(spark, tmp_path):
     assert scoring.run_stage(records, path, step).count() == 20
     scoring.run_stage(records, path, step)
     assert calls.value == 20
+
+
+def test_binary_task_after_an_observed_write(folded, tmp_path):
+    """Scoring must not drag the session into a task, which fails once it has observed a write."""
+    from tonegap.sources.tables import write_jsonl
+
+    assert write_jsonl(folded.select("post_id"), str(tmp_path / "ids")) == folded.count()
+    rows = learning.binary_sarcasm(folded.drop("fold")).collect()
+    assert len(rows) == 5 and all(r["accuracy"] > 0.9 and r["f1"] > 0.9 for r in rows)
+    assert all(r["dsem_rule_accuracy"] > 0.9 for r in rows)

@@ -17,12 +17,11 @@ import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
-from tonegap.functions.vectors import align_proba, argmax_first, finite_or_zero
+from tonegap.functions.vectors import align_proba, argmax_first, finite_or_zero, softmax
 from tonegap.operators.folds import stratified_folds
 from tonegap.operators.metrics import confusion, dsem_rule, fold_metrics, is_sarcasm
 from tonegap.operators.predict import label_array
@@ -71,10 +70,18 @@ class LogisticPack:
     name: str = "LogisticRegression"
 
     def class_probabilities(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(_vectors(df, self.features))
-        return scored.withColumn("_p", vector_to_array("_probability")).drop(
-            "_x", "_raw", "_probability", "_prediction"
-        )
+        """Scores as plain expressions: compiled with the rest of the query, no model is shipped."""
+        x = [finite_or_zero(F.col(c)) for c in self.features]
+        weights = self.model.coefficientMatrix.toArray()
+        offsets = self.model.interceptVector.toArray()
+        logits = [
+            _dot([F.lit(float(w)) for w in row], x) + F.lit(float(offset))
+            for row, offset in zip(weights, offsets)
+        ]
+        if len(logits) == 1:
+            second = _sigmoid(logits[0])
+            return df.withColumn("_p", F.array(1.0 - second, second))
+        return df.withColumn("_z", F.array(*logits)).withColumn("_p", softmax(F.col("_z"))).drop("_z")
 
 
 def fit_logreg(
@@ -102,9 +109,6 @@ def fit_logreg(
         featuresCol="_x",
         labelCol="_y",
         weightCol="_w",
-        probabilityCol="_probability",
-        rawPredictionCol="_raw",
-        predictionCol="_prediction",
         family="multinomial" if len(classes) > 2 else "binomial",
         standardization=False,
         regParam=1.0 / (c * sum(counts.values())),
