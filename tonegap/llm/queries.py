@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import minhash
+from tonegap.llm import minhash, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -22,3 +22,37 @@ def query(sql: str | None = None):
 @query()
 def op1_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf, "documents"), words=2, percent=80)
+
+
+#: The rules of the query, in order.
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query(
+    r"""
+    WITH u AS (
+      SELECT row_number() OVER () AS k, page_id,
+             translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+      FROM pages),
+    r(verdict, rhost, rpath) AS (VALUES
+      ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+      ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    m AS (
+      SELECT k, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+             arg_max(verdict, length(rhost || rpath)) AS verdict
+      FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+      GROUP BY k)
+    SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict
+    FROM u LEFT JOIN m USING (k)
+    """
+)
+def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge_urls(read_table(spark, sf, "pages"), url_rules.rule_table(spark, URL_RULES))
