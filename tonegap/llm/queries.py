@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import minhash, url_rules
+from tonegap.llm import bpe, minhash, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -56,3 +56,15 @@ URL_RULES = [
 )
 def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf, "pages"), url_rules.rule_table(spark, URL_RULES))
+
+
+#: The tokenizer file of the query.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query()
+def op4_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    return bpe.digests(bpe.decode_ids(bpe.encode_texts(read_table(spark, sf, "documents"), path), path))
