@@ -192,46 +192,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
     return arrow_map(joined, ["a", "b", "ta", "tb"], "a binary, b binary", make).distinct()
 
 
-def _led_pairs(bands: DataFrame, percent: int, by_band: bool) -> DataFrame:
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n, members) of the buckets with several nodes."""
+    bands = _bands(nodes)
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("members")).filter(F.col("members") > 1)
+    return bands.join(shared, ["band", "key"])
+
+
+def _led_pairs(crowd: DataFrame, percent: int, by_band: bool) -> DataFrame:
     """Pairs of a bucket's leader with the members of other components that the sizes allow."""
     order = F.xxhash64("node", "band") if by_band else F.lit(0).cast("long")
     buckets = (
-        bands.groupBy("band", "key")
+        crowd.groupBy("band", "key")
         .agg(
             F.min(F.struct(order.alias("o"), F.col("node").alias("node"), F.col("n").alias("n"), F.col("comp").alias("comp"))).alias("lead"),
-            F.count("*").alias("members"),
             F.min("comp").alias("c0"),
             F.max("comp").alias("c1"),
         )
-        .filter(F.col("members") > (2 if by_band else 1))
         .filter(F.col("c0") != F.col("c1"))
         .select("band", "key", "lead")
     )
     least, most = F.least("n", "lead.n"), F.greatest("n", "lead.n")
     return (
-        bands.join(buckets, ["band", "key"])
+        crowd.join(buckets, ["band", "key"])
         .filter((F.col("comp") != F.col("lead.comp")) & (100 * least >= percent * most))
         .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
         .distinct()
     )
 
 
-def _crossing_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+def _crossing_pairs(crowd: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components, compared block by block.
 
     A pair that shares several bands is given by the first of them only.
     """
-    bands = _bands(nodes, ("comp", "regs"))
-    slim = _bands(nodes, ("comp",))
-    by_comp = slim.groupBy("band", "key", "comp").count()
+    by_comp = crowd.groupBy("band", "key", "members", "comp").count()
     buckets = (
-        by_comp.groupBy("band", "key")
-        .agg(F.sum("count").alias("members"), F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        .filter((F.col("comps") > 1) & (F.col("members") > 2))
+        by_comp.groupBy("band", "key", "members")
+        .agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        .filter(F.col("comps") > 1)
+        .select("band", "key", "main")
     )
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
     blocks = stored(
-        bands.join(buckets, ["band", "key"])
+        crowd.join(buckets, ["band", "key"])
+        .join(nodes.select("node", "regs"), "node")
         .groupBy("band", "key", (F.col("comp") == F.col("main")).alias("in_main"), block.alias("block"))
         .agg(F.collect_list(F.struct("node", "comp", "n", "regs")).alias("rows")),
         "blocks",
@@ -282,16 +287,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")),
         "nodes",
     )
-    alone = nodes.withColumn("comp", F.col("node"))
-    tried = stored(_estimated(_led_pairs(_bands(alone, ("comp",)), percent, False), nodes, percent), "pairs")
+    crowd = stored(_crowded(nodes), "crowd")
+    tried = stored(_estimated(_led_pairs(crowd.withColumn("comp", F.col("node")), percent, False), nodes, percent), "pairs")
     links = stored(_verified(tried, docs, nodes, words, percent), "confirmed")
+    crowd = crowd.filter(F.col("members") > 2)  # pairs of two are tried by now
     for step in (1, 2):
         comps = connected_components(links)
-        placed = stored(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-        if step == 1:
-            found = _estimated(_led_pairs(_bands(placed, ("comp",)), percent, True), nodes, percent)
-        else:
-            found = _crossing_pairs(placed, percent)
+        placed = stored(crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+        found = _crossing_pairs(placed, nodes, percent) if step == 2 else _estimated(_led_pairs(placed, percent, True), nodes, percent)
         new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         confirmed = stored(_verified(new, docs, nodes, words, percent), "confirmed")
         tried, links = tried.union(new), links.union(confirmed)
