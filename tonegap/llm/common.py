@@ -66,33 +66,42 @@ def held_out(doc_id: Column | str, fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """(doc_id, text, label) of the rows a model may learn from; rows without a label are no rows.
+def fit_labels(labels: DataFrame, name: str) -> DataFrame:
+    """(doc_id, label) of the rows a model may learn from.
 
-    A document that ``labels`` names more than once takes its largest label.
+    Rows without id or label are none; an id that is named more than once takes its largest label.
     """
-    wanted = (
+    return (
         labels.filter(F.col("doc_id").isNotNull() & F.col(name).isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
-        .agg(F.max(name).cast("int").alias("label"))
+        .agg(F.max(F.col(name).cast("string")).alias("label"))
     )
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(wanted, "doc_id")
 
 
-def hashed_sample(rows: DataFrame, per_label: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_label`` (text, label) per label, in hash order of the ids, whole texts only.
+def labelled_sample(
+    docs: DataFrame, known: DataFrame, per_label: int, max_chars: int
+) -> tuple[list[tuple[int, str, str]], dict[str, int]]:
+    """At most ``per_label`` (doc_id, text, label) per label, and how often each label occurs.
 
-    The bound is on documents and, through ``max_chars``, on the length a document may have to be
-    used for fitting; nothing but the fit uses it. Each label's share is a top-n of the runtime, so
-    no task and no driver holds more than the bound.
+    Ids are picked in hash order from ``known`` (doc_id, label), then their texts are fetched with a
+    broadcast of these ids, whose number is bounded by ``per_label`` and the labels. Texts are whole; a text that is longer than ``max_chars``,
+    null or missing is not used for fitting. Nothing but a fit uses the sample.
     """
-    texts = []
-    pool = rows.filter(F.length("text") <= max_chars)
-    labels = [r.label for r in pool.groupBy("label").count().collect()]
-    for label in sorted(labels):
-        picked = pool.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_label)
-        texts += [(r.text, r.label) for r in picked.collect()]
-    return texts
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    picked = []
+    for label in sorted(counts):
+        own = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        picked += [(r.doc_id, label) for r in own.collect()]
+    if not picked:
+        return [], counts
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, label string")
+    rows = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .filter(F.length("text") <= max_chars)
+        .join(F.broadcast(ids), "doc_id")
+        .collect()
+    )
+    return sorted({(r.doc_id, r.text, r.label) for r in rows}), counts
 
 
 class Memo(dict):

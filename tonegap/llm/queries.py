@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import bpe, minhash, url_rules
+from tonegap.llm import bpe, minhash, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -68,3 +68,9 @@ def op4_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
 
     path = public_tokenizers.path(TOKENIZER)
     return bpe.digests(bpe.decode_ids(bpe.encode_texts(read_table(spark, sf, "documents"), path), path))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, read_table(spark, sf, "labels")))
