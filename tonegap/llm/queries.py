@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import bpe, minhash, toxicity, url_rules
+from tonegap.llm import bpe, language, minhash, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -74,3 +74,15 @@ def op4_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, read_table(spark, sf, "labels")))
+
+
+@query()
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return quality.score_quality(docs, quality.fit(docs, read_table(spark, sf, "labels")))
+
+
+@query()
+def op9_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return language.identify_language(docs, language.fit(docs))
