@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import bpe, language, minhash, quality, toxicity, url_rules
+from tonegap.llm import bpe, language, minhash, neighbours, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -86,3 +86,8 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     return language.identify_language(docs, language.fit(docs))
+
+
+@query()
+def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf, "embeddings"), every=20, top=20)
