@@ -7,12 +7,14 @@ bucket, which keeps the chance of agreement at the Jaccard similarity. Runs of `
 form ``BANDS`` bands; sets that agree on a band are candidates. With 5 rows and 32 bands a pair of
 similarity 0.8 is missed with probability 3e-6. A candidate stays if its similarity, estimated from
 the registers and corrected for chance collisions, is within ``SLACK`` standard errors of the
-threshold, and counts as a link only when the full sets confirm it.
+threshold, and counts as a link only when the full sets confirm it. The estimate counts a set's own
+registers only, not borrowed ones.
 
 Hot groups: equal sets are one node. Inside a bucket first only its smallest node is compared with
 the others, then a node that differs by band, each time leaving out what components already
 join; last, buckets that still hold several components are compared block by block across
-components. No step lists all pairs of a group.
+components, and what an estimate can't rule out there is verified where it is found. No step lists all
+pairs of a group.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from tonegap.llm.common import U64, arrow_map, mix, shingle_set, stored, word_ha
 from tonegap.llm.components import connected_components
 
 ROWS, BANDS = 5, 32
-REGISTERS = ROWS * BANDS
+#: Registers of a signature; the bands use the first of them, the estimate uses all.
+REGISTERS = 2 * ROWS * BANDS
 MANTISSA_BITS = 10
 VALUE_BITS = 56
 #: Standard errors below the threshold at which an estimate still leads to verification.
@@ -68,69 +71,74 @@ def borrowed(regs: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) keys of the rows of registers of each set."""
-    parts = regs.astype(U64).reshape(len(regs), BANDS, ROWS)
-    out = np.zeros(parts.shape[:2], U64)
+    """The BANDS keys of the rows of (borrowed) registers of a set."""
+    parts = regs[: BANDS * ROWS].astype(U64).reshape(BANDS, ROWS)
+    out = np.zeros(BANDS, U64)
     for j in range(ROWS):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + parts[:, :, j] + U64(1))
+        out = mix(out * U64(0x9E3779B97F4A7C15) + parts[:, j] + U64(1))
     return out
 
 
-def passes(agree: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs with so many equal registers and set sizes may reach the threshold.
+def unpacked(column: pa.Array, kind=np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    The estimate takes chance collisions off the count of equal registers. Its error follows from
-    the buckets that the larger set fills itself.
+
+def passes(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs with such registers and set sizes may reach the threshold.
+
+    Similarity is the share of equal registers among those that either set fills, less the expected
+    chance collisions. Its standard error is that of as many draws from the union without return.
     """
+    agree = ((ra == rb) & (ra != 0)).sum(1)
+    filled = np.maximum(((ra != 0) | (rb != 0)).sum(1), 1)
     low, high = np.minimum(na, nb).astype(float), np.maximum(na, nb).astype(float)
     ratio = high / np.maximum(low, 1)
-    chance = COLLISION_FACTOR * REGISTERS / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
-    estimate = (agree - chance) / (REGISTERS - chance)
+    chance = np.minimum(COLLISION_FACTOR * filled / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2, filled - 0.5)
+    estimate = (agree - chance) / (filled - chance)
     goal = percent / 100
-    filled = REGISTERS * (1 - (1 - 1 / REGISTERS) ** high)
-    margin = SLACK * np.sqrt(goal * (1 - goal) / np.maximum(filled, 1))
-    return (estimate >= goal - margin) & (100 * low >= percent * high)
+    union = np.maximum((low + high) / (1 + goal), filled)
+    error = np.sqrt(goal * (1 - goal) * np.maximum(1 / filled - 1 / union, 0.02 / filled))
+    return (estimate >= goal - SLACK * error - 1 / filled) & (100 * low >= percent * high)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, regs) per row; node is a 128-bit digest of the set, null if it is empty."""
+    """(doc_id, n_shingles, node, regs, keys) per row; node is a 128-bit digest of the set, null if it is empty."""
 
     def make():
         memo = word_hashes()
 
         def work(batch: pa.RecordBatch):
-            sizes, nodes, regs = [], [], []
+            sizes, nodes, regs, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 values = shingle_set(text, words, memo)
                 sizes.append(len(values))
                 nodes.append(xxhash.xxh3_128_digest(values.tobytes()) if len(values) else None)
-                regs.append(borrowed(registers(values)).tobytes() if len(values) else None)
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "regs": regs}
+                own = registers(values)
+                regs.append(own.tobytes() if len(values) else None)
+                keys.append(band_keys(borrowed(own)).tobytes() if len(values) else None)
+            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "node": nodes, "regs": regs, "keys": keys}
 
         return work
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(source, ["doc_id", "text"], "doc_id long, n_shingles long, node binary, regs binary", make)
+    return arrow_map(source, ["doc_id", "text"], "doc_id long, n_shingles long, node binary, regs binary, keys binary", make)
 
 
-def _bands(nodes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row (band, key, node, n, ...) for each node and band."""
-    kinds = dict(nodes.dtypes)
-    schema = "band int, key long, node binary, n long" + "".join(f", {c} {kinds[c]}" for c in extra)
+def _bands(nodes: DataFrame) -> DataFrame:
+    """A row (band, key, node, n) for each node and band."""
 
     def make():
         def work(batch: pa.RecordBatch):
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            take = pa.array(np.repeat(np.arange(len(regs)), BANDS))
-            out = {c: batch.column(c).take(take) for c in ("node", "n", *extra)}
-            return out | {
-                "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))),
-                "key": pa.array(band_keys(regs).view(np.int64).ravel()),
+            keys = unpacked(batch.column("keys"), np.int64)
+            take = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+            return {c: batch.column(c).take(take) for c in ("node", "n")} | {
+                "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
+                "key": pa.array(keys.ravel()),
             }
 
         return work
 
-    return arrow_map(nodes, list(dict.fromkeys(["node", "n", "regs", *extra])), schema, make)
+    return arrow_map(nodes, ["node", "n", "keys"], "band int, key long, node binary, n long", make)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -139,11 +147,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch):
-            ra, rb = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                for c in ("ra", "rb")
-            )
-            keep = passes((ra == rb).sum(1), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            ra, rb = unpacked(batch.column("ra")), unpacked(batch.column("rb"))
+            keep = passes(ra, rb, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
             return {c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")}
 
         return work
@@ -153,11 +158,21 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, from the row whose id the node bears."""
+    ids = nodes.select("node", "doc_id").join(wanted, "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(ids, "doc_id").select("node", "text")
+
+
+def _same(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold, with the sets computed from the whole texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "doc_id").join(ends, "node", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("node", "text")
+    texts = _texts(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
     def make():
         memo, sets = word_hashes(), {}
@@ -179,8 +194,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
                     keep.append(False)
                     sets.pop(a, None), sets.pop(b, None)
                     continue
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                keep.append(100 * both >= percent * (len(sa) + len(sb) - both))
+                keep.append(_same(sa, sb, percent))
             return {c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")}
 
         return work
@@ -189,7 +203,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, p
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     )
-    return arrow_map(joined, ["a", "b", "ta", "tb"], "a binary, b binary", make).distinct()
+    return arrow_map(joined, ["a", "b", "ta", "tb"], "a binary, b binary", make)
 
 
 def _crowded(nodes: DataFrame) -> DataFrame:
@@ -221,10 +235,11 @@ def _led_pairs(crowd: DataFrame, percent: int, by_band: bool) -> DataFrame:
     )
 
 
-def _crossing_pairs(crowd: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components, compared block by block.
+def _crossing_links(crowd: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between components that share a bucket, compared block by block.
 
-    A pair that shares several bands is given by the first of them only.
+    A pair of several common bands is looked at in the first of them only. Within a pair of blocks,
+    links that join nothing new are left out.
     """
     by_comp = crowd.groupBy("band", "key", "members", "comp").count()
     buckets = (
@@ -236,38 +251,79 @@ def _crossing_pairs(crowd: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
     blocks = stored(
         crowd.join(buckets, ["band", "key"])
-        .join(nodes.select("node", "regs"), "node")
+        .join(nodes.select("node", "regs", "keys"), "node")
         .groupBy("band", "key", (F.col("comp") == F.col("main")).alias("in_main"), block.alias("block"))
-        .agg(F.collect_list(F.struct("node", "comp", "n", "regs")).alias("rows")),
+        .agg(F.collect_list(F.struct("node", "comp", "n", "regs", "keys")).alias("rows")),
         "blocks",
     )
     left = blocks.filter(~F.col("in_main")).select("band", "key", F.col("block").alias("lb"), F.col("rows").alias("left"))
     right = blocks.select("band", "key", "in_main", F.col("block").alias("rb"), F.col("rows").alias("right"))
     paired = left.join(right, ["band", "key"]).filter(F.col("in_main") | (F.col("lb") <= F.col("rb")))
 
-    def make():
+    def compare():
         def unpack(rows):
-            regs = np.frombuffer(b"".join(r["regs"] for r in rows), np.uint16).reshape(-1, REGISTERS)
-            return [r["node"] for r in rows], [r["comp"] for r in rows], np.array([r["n"] for r in rows]), regs
+            regs, keys = (np.frombuffer(b"".join(r[c] for r in rows), k).reshape(len(rows), -1) for c, k in (("regs", np.uint16), ("keys", np.int64)))
+            return [r["node"] for r in rows], np.array([r["comp"] for r in rows], object), np.array([r["n"] for r in rows]), regs, keys
 
         def work(batch: pa.RecordBatch):
-            a, b = [], []
-            for band, left_rows, right_rows in zip(*(batch.column(c).to_pylist() for c in ("band", "left", "right"))):
-                nodes_l, comps_l, nl, rl = unpack(left_rows)
-                nodes_r, comps_r, nr, rr = unpack(right_rows)
+            out = {c: [] for c in ("band", "key", "lb", "rb", "node", "comp", "partners")}
+            for band, key, lb, rb, lrows, rrows in zip(*(batch.column(c).to_pylist() for c in ("band", "key", "lb", "rb", "left", "right"))):
+                nodes_l, comps_l, nl, rl, kl = unpack(lrows)
+                nodes_r, comps_r, nr, rr, kr = unpack(rrows)
+                met: dict[bytes, tuple] = {}
                 for i in range(len(nodes_l)):
-                    same = rl[i] == rr
-                    ok = np.flatnonzero(passes(same.sum(1), np.full(len(nr), nl[i]), nr, percent))
-                    first = same[ok].reshape(-1, BANDS, ROWS).all(2).argmax(1)
-                    for j in ok[first == band]:
-                        if comps_l[i] != comps_r[j]:
-                            a.append(min(nodes_l[i], nodes_r[j]))
-                            b.append(max(nodes_l[i], nodes_r[j]))
+                    ok = np.flatnonzero(comps_r != comps_l[i])
+                    ok = ok[passes(rl[i][None], rr[ok], np.full(len(ok), nl[i]), nr[ok], percent)]
+                    ok = ok[(kl[i] == kr[ok]).argmax(1) == band]
+                    if len(ok):
+                        met[nodes_l[i]] = comps_l[i], [nodes_r[j] for j in ok]
+                        for j in ok:
+                            met.setdefault(nodes_r[j], (comps_r[j], []))
+                for node, (comp, partners) in met.items():
+                    for c, v in (("band", band), ("key", key), ("lb", lb), ("rb", rb), ("node", node), ("comp", comp), ("partners", partners)):
+                        out[c].append(v)
+            return out
+
+        return work
+
+    schema = "band int, key long, lb long, rb long, node binary, comp binary, partners array<binary>"
+    found = stored(arrow_map(paired, ["band", "key", "lb", "rb", "left", "right"], schema, compare), "open")
+    texts = _texts(docs, nodes, found.select("node").distinct())
+    groups = (
+        found.join(texts, "node")
+        .groupBy("band", "key", "lb", "rb")
+        .agg(F.collect_list(F.struct("node", "comp", "partners", "text")).alias("rows"))
+    )
+
+    def verify():
+        memo = word_hashes()
+
+        def work(batch: pa.RecordBatch):
+            a, b = [], []
+            for rows in batch.column("rows").to_pylist():
+                sets, root = {}, {}
+                for r in rows:
+                    values = shingle_set(r["text"], words, memo)
+                    if xxhash.xxh3_128_digest(values.tobytes()) == r["node"]:  # not another row of the same id
+                        sets[r["node"]] = values
+                        root[r["node"]] = r["comp"]
+
+                def joins(x, y):
+                    gone, kept = root[x], root[y]
+                    root.update({k: kept for k, v in root.items() if v == gone})
+
+                for r in rows:
+                    for other in r["partners"]:
+                        x, y = r["node"], other
+                        if x in sets and y in sets and root[x] != root[y] and _same(sets[x], sets[y], percent):
+                            joins(x, y)
+                            a.append(min(x, y))
+                            b.append(max(x, y))
             return {"a": a, "b": b}
 
         return work
 
-    return arrow_map(paired, ["band", "left", "right"], "a binary, b binary", make).distinct()
+    return arrow_map(groups, ["rows"], "a binary, b binary", verify)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -284,20 +340,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = stored(
         sig.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n_shingles", "regs", "keys")).alias("x"))
+        .select("node", "doc_id", F.col("x.n_shingles").alias("n"), "x.regs", "x.keys"),
         "nodes",
     )
     crowd = stored(_crowded(nodes), "crowd")
     tried = stored(_estimated(_led_pairs(crowd.withColumn("comp", F.col("node")), percent, False), nodes, percent), "pairs")
     links = stored(_verified(tried, docs, nodes, words, percent), "confirmed")
     crowd = crowd.filter(F.col("members") > 2)  # pairs of two are tried by now
-    for step in (1, 2):
-        comps = connected_components(links)
-        placed = stored(crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
-        found = _crossing_pairs(placed, nodes, percent) if step == 2 else _estimated(_led_pairs(placed, percent, True), nodes, percent)
-        new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        confirmed = stored(_verified(new, docs, nodes, words, percent), "confirmed")
-        tried, links = tried.union(new), links.union(confirmed)
+
+    def placed_by(comps: DataFrame) -> DataFrame:
+        return stored(crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "placed")
+
+    led = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))  # leaders have the smaller name
+    led = led.unionByName(links.join(led.select(F.col("node").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
+    found = _estimated(_led_pairs(placed_by(led), percent, True), nodes, percent)
+    new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(stored(_verified(new, docs, nodes, words, percent), "confirmed"))
+    comps = connected_components(links)
+    links = links.union(stored(_crossing_links(placed_by(comps), nodes, docs, words, percent), "confirmed"))
     comps = connected_components(links)
     placed = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
