@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import bpe, language, minhash, neighbours, quality, toxicity, url_rules
+from tonegap.llm import bpe, extraction, language, minhash, neighbours, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -91,3 +91,8 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf, "embeddings"), every=20, top=20)
+
+
+@query()
+def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.extract_text(read_table(spark, sf, "pages"))
