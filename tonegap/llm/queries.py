@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import bpe, extraction, language, minhash, neighbours, quality, toxicity, url_rules
+from tonegap.llm import archives, bpe, extraction, language, minhash, neighbours, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -96,3 +96,18 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract_text(read_table(spark, sf, "pages"))
+
+
+@query(
+    r"""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+    FROM m
+    """
+)
+def op2_warc_members(spark: SparkSession, sf: str) -> DataFrame:
+    return archives.archive_round_trip(read_table(spark, sf, "pages"), spark)
