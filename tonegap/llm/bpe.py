@@ -262,11 +262,12 @@ def decode_ids(tokens: DataFrame, path: str, mode: str = "tokens") -> DataFrame:
     return arrow_map(tokens, ["doc_id", "ids"], "doc_id long, ids binary, decoded string", make)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and the text decoded from them."""
     ids = F.coalesce("ids", F.lit(b""))
     return decoded.select(
         "doc_id",
+        *more,
         (F.octet_length(ids) / 4).cast("long").alias("n_tokens"),
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def arrow_map(
     df: DataFrame,
     columns: list[str],
-    schema: str,
+    schema: str | T.StructType,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | None]],
 ) -> DataFrame:
     """Map Arrow batches of the named columns to batches of ``schema``.
@@ -43,7 +43,7 @@ def arrow_map(
     by name (lists or Arrow arrays), or None for no rows. Batches are kept small.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    target = to_arrow_schema(T._parse_datatype_string(schema))
+    target = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -60,6 +60,26 @@ def arrow_map(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def with_scores(docs: DataFrame, make: Callable[[], Callable[[str | None], float]]) -> DataFrame:
+    """(row, score): each row of ``docs`` whole, as a struct, beside the score of its text."""
+
+    def batches():
+        score = make()
+        return lambda batch: {"row": batch.column("row"), "score": [score(t) for t in batch.column("text").to_pylist()]}
+
+    source = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())])
+    return arrow_map(source, ["row", "text"], schema, batches)
+
+
+def predictions(scored: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of rows with scores."""
+    doc_id = F.col("row.doc_id").cast("long")
+    return scored.select(
+        doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
 def held_out(doc_id: Column | str, fold: int = 2, folds: int = 4) -> Column:
     """True for the rows no model may learn from: crc32 of the id as text, modulo ``folds``, is ``fold``."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -124,8 +144,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_KEPT: dict[str, Memo] = {}
+
+
+def kept(name: str, compute: Callable) -> Memo:
+    """A memo that a worker process keeps for all its tasks; ``compute`` must depend on its argument only."""
+    if name not in _KEPT:
+        _KEPT[name] = Memo(compute)
+    return _KEPT[name]
+
+
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    return kept("words", xxhash.xxh3_64_intdigest)
 
 
 def words_of(text: str | None) -> list[bytes]:

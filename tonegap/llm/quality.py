@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegap.llm.common import MEMO_WORDS, arrow_map, fit_labels, held_out, labelled_sample
+from tonegap.llm.common import MEMO_WORDS, fit_labels, labelled_sample, predictions, with_scores
 
 #: Documents per label and characters per document that the fit may use.
 FIT_PER_LABEL, FIT_MAX_CHARS = 1500, 20_000
@@ -132,18 +132,21 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     mean is the zero vector and the constant of the layer decides. Repeated rows are scored alike; a null
     doc_id stays null (held_out false); an empty table gives no rows; further columns are ignored.
     """
+    return predictions(_scored(docs.select("doc_id", "text"), model), threshold)
+
+
+def good_only(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns."""
+    return _scored(docs, model).filter(F.col("score") >= threshold).select("row.*")
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the two hashed tables
 
     def make():
         model = shipped.value
         at = model.classes.index("1") if "1" in model.classes else None
         score = model.scorer()
-        return lambda batch: {
-            "doc_id": batch.column("doc_id"),
-            "score": [0.0 if at is None else float(score(t)[at]) for t in batch.column("text").to_pylist()],
-        }
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(source, ["doc_id", "text"], "doc_id long, score double", make).select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+        return lambda text: 0.0 if at is None else float(score(text)[at])
+
+    return with_scores(docs, make)

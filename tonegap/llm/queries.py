@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import archives, bpe, extraction, language, minhash, neighbours, quality, toxicity, url_rules
+from tonegap.llm import archives, bpe, decontamination, extraction, language, minhash, neighbours, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -62,11 +62,15 @@ def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
 TOKENIZER = "word_bpe_49k.json"
 
 
-@query()
-def op4_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+def tokenizer_path() -> str:
     import public_tokenizers
 
-    path = public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query()
+def op4_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    path = tokenizer_path()
     return bpe.digests(bpe.decode_ids(bpe.encode_texts(read_table(spark, sf, "documents"), path), path))
 
 
@@ -111,3 +115,8 @@ def op8_main_text(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op2_warc_members(spark: SparkSession, sf: str) -> DataFrame:
     return archives.archive_round_trip(read_table(spark, sf, "pages"), spark)
+
+
+@query()
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegap.llm.common import arrow_map, fit_labels, held_out, labelled_sample
+from tonegap.llm.common import fit_labels, labelled_sample, predictions, with_scores
 
 #: Documents per label and characters per document that the fit may use.
 FIT_PER_LABEL, FIT_MAX_CHARS = 1500, 20_000
@@ -173,14 +173,9 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.3) -> Dat
     (held_out false); an empty table gives no rows; further columns are ignored.
     """
 
-    def make():
-        score = model.scorer()
-        return lambda batch: {
-            "doc_id": batch.column("doc_id"),
-            "score": [score(t) for t in batch.column("text").to_pylist()],
-        }
+    return predictions(with_scores(docs.select("doc_id", "text"), model.scorer), threshold)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(source, ["doc_id", "text"], "doc_id long, score double", make).select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
+    return with_scores(docs, model.scorer).filter(F.col("score") < threshold).select("row.*")
