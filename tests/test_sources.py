@@ -71,6 +71,31 @@ def test_line_numbers_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_order_over_many_files(spark, tmp_path):
+    """Numbers in file names count as numbers, and the last line of the last file wins."""
+    from tonegap.operators.annotation import latest_annotation
+
+    folder = tmp_path / "log"
+    folder.mkdir()
+    event = lambda label: json.dumps({"post_id": "p", "label": label, "annotator_id": "a", "timestamp": "t"})
+    write(folder / "part-99999", event("neutral"), "", event("positive"))
+    write(folder / "part-100000", event("negative"))
+    log = lines.read_audit_log(spark, str(folder))
+    assert sorted((r["ord"], r["label"]) for r in log.collect()) == [(1, "neutral"), (3, "positive"), (4, "negative")]
+    assert latest_annotation(log).first()["label"] == "negative"
+    schema = lines.ST.StructType([lines.ST.StructField("post_id", lines.ST.StringType()), lines.ST.StructField("label", lines.ST.StringType())])
+    assert lines.read_checkpoint(spark, str(folder), schema).first()["label"] == "negative"
+
+
+def test_strict_and_tolerant_readers(spark, tmp_path):
+    path = write(tmp_path / "pool.jsonl", '{"post_id": "a"}', '{"post_id": "b"} trailing')
+    for read in (lines.read_pool, lines.read_manifest):
+        with pytest.raises(Exception, match="invalid JSON"):
+            read(spark, path).collect()
+    none = spark.createDataFrame([], "post_id string")
+    assert [r[0] for r in lines.seen_ids(spark.read.text(path), none).collect()] == ["a"]
+
+
 def test_lists(spark, tmp_path):
     terms = write(tmp_path / "t", "# comment", "exact", "?part", " * #star ", "~", "")
     got = [(r["term"], r["search"]) for r in lines.read_term_specs(spark, terms).orderBy("ord").collect()]

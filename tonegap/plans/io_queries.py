@@ -20,6 +20,12 @@ def _store(lines, path: str) -> str:
     return path
 
 
+def _store_in_parts(lines, key: str, path: str, parts: int = 3) -> str:
+    """Lines in the order of ``key`` over several part files."""
+    cut = lines.repartitionByRange(parts, key).sortWithinPartitions(key)
+    return _store(cut.select("value"), path)
+
+
 def labelled_json(spark, sf, *, broken: bool):
     """Labelled records as JSON lines; ``broken`` spoils some in every way the checks know."""
     posts = I.captions(spark, sf)
@@ -44,22 +50,22 @@ def labelled_json(spark, sf, *, broken: bool):
             .when(kind == 5, F.concat(F.lit("  "), text, F.lit(" ")))
             .otherwise(text)
         )
-    return posts.select(text.alias("value"))
+    return posts.select("ord", text.alias("value"))
 
 
 SQL_LABEL = f"list_extract({I.sql_list(K.LABELS)}, CAST(n_chars % 5 + 1 AS INTEGER))"
 
 
 @query(
-    f"""WITH {I.CAPTIONS} SELECT post_id, caption, image_path, {SQL_LABEL} AS label,
+    f"""WITH {I.CAPTIONS} SELECT row_number() OVER (ORDER BY ord) AS ord, post_id, caption, image_path, {SQL_LABEL} AS label,
       CASE WHEN ord % 4 = 0 THEN '' ELSE source || ',' || lang END AS annotators,
       {I.r6('CASE WHEN ord % 3 = 0 THEN n_chars / 100.0 END')} AS kappa FROM captions"""
 )
 def read_labelled(spark, sf):
-    path = _store(labelled_json(spark, sf, broken=False), scratch_path(spark, "labelled"))
+    path = _store_in_parts(labelled_json(spark, sf, broken=False), "ord", scratch_path(spark, "labelled"))
     rows = L.read_labelled(spark, path)
     return rows.select(
-        "post_id", "caption", "image_path", "label", F.array_join("annotators", ",").alias("annotators"), I.rounded("kappa")
+        "ord", "post_id", "caption", "image_path", "label", F.array_join("annotators", ",").alias("annotators"), I.rounded("kappa")
     )
 
 
@@ -73,7 +79,7 @@ def read_labelled(spark, sf):
 )
 def validate_records(spark, sf):
     """Outcomes of both tables, counted."""
-    path = _store(labelled_json(spark, sf, broken=True), scratch_path(spark, "checked"))
+    path = _store_in_parts(labelled_json(spark, sf, broken=True), "ord", scratch_path(spark, "checked"))
     valid, errors = L.validate_records(L.numbered_lines(spark, path))
     outcomes = errors.select(F.col("error").alias("outcome"), F.col("error_field").alias("field")).unionByName(
         valid.select(F.lit("valid").alias("outcome"), F.lit(None).cast("string").alias("field"))
@@ -129,17 +135,20 @@ def read_checkpoint(spark, sf):
             F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("generated"),
         )
     )
-    log = I.table(spark, sf, "events").orderBy("event_id").select(
-        F.when(kind == 3, F.concat(row, F.lit("}{"))).otherwise(row).alias("value")
+    log = I.table(spark, sf, "events").select(
+        "event_id", F.when(kind == 3, F.concat(row, F.lit("}{"))).otherwise(row).alias("value")
     )
-    return L.read_checkpoint(spark, _store(log, scratch_path(spark, "checkpoint")), STAGE_SCHEMA)
+    path = _store_in_parts(log, "event_id", scratch_path(spark, "checkpoint"), 12)
+    return L.read_checkpoint(spark, path, STAGE_SCHEMA)
 
 
-@query(f"WITH {I.CAPTIONS}, {I.SEEN} SELECT post_id FROM captions WHERE ord % 5 <> 0 UNION SELECT post_id FROM seen")
+@query(f"WITH {I.CAPTIONS}, {I.SEEN} SELECT post_id FROM captions WHERE ord % 5 > 1 UNION SELECT post_id FROM seen")
 def seen_ids(spark, sf):
+    """Broken lines, with something missing or something behind the value, name no post."""
     known = _pool_json(spark, sf)
-    some = F.get_json_object("value", "$.post_id").cast("long") % 5 == 0
-    lines = known.withColumn("value", F.when(some, F.concat(F.lit("{{"), "value")).otherwise(F.col("value")))
+    kind = F.get_json_object("value", "$.post_id").cast("long") % 5
+    spoiled = F.when(kind == 0, F.concat(F.lit("{{"), "value")).when(kind == 1, F.concat("value", F.lit(" trailing")))
+    lines = known.withColumn("value", F.coalesce(spoiled, "value"))
     return L.seen_ids(lines, I.seen_posts(spark, sf))
 
 
@@ -157,7 +166,8 @@ def read_ignore_list(spark, sf):
 
 
 @query(
-    """SELECT p_partkey AS ord, p_name AS term, p_partkey % 5 IN (1, 2, 3) AS search FROM part WHERE p_partkey % 5 <> 0"""
+    """SELECT ord, p_name AS term, p_partkey % 5 IN (1, 2, 3) AS search
+    FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS ord FROM part) WHERE p_partkey % 5 <> 0"""
 )
 def read_term_specs(spark, sf):
     kind = F.col("p_partkey") % 5
@@ -168,19 +178,19 @@ def read_term_specs(spark, sf):
         .when(kind == 3, F.concat(F.lit("~ "), "p_name", F.lit(" ")))
         .otherwise(F.col("p_name"))
     )
-    return L.parse_term_specs(
-        I.table(spark, sf, "part").select(F.col("p_partkey").alias("line_no"), line.alias("value"))
-    )
+    lines = I.table(spark, sf, "part").select("p_partkey", line.alias("value"))
+    return L.read_term_specs(spark, _store_in_parts(lines, "p_partkey", scratch_path(spark, "terms")))
 
 
-@query("SELECT c_custkey AS ord, c_name AS account FROM customer WHERE c_custkey % 4 <> 0")
+@query(
+    """SELECT ord, c_name AS account FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS ord FROM customer)
+    WHERE c_custkey % 4 <> 0"""
+)
 def read_account_list(spark, sf):
     kind = F.col("c_custkey") % 4
     line = F.when(kind == 0, F.concat(F.lit("#"), "c_name")).when(kind == 1, F.concat(F.lit(" @@"), "c_name"))
-    lines = I.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("line_no"), line.otherwise(F.col("c_name")).alias("value")
-    )
-    return L.parse_accounts(lines)
+    lines = I.table(spark, sf, "customer").select("c_custkey", line.otherwise(F.col("c_name")).alias("value"))
+    return L.read_account_list(spark, _store_in_parts(lines, "c_custkey", scratch_path(spark, "accounts")))
 
 
 @query(
@@ -190,7 +200,8 @@ def read_account_list(spark, sf):
           CASE WHEN regexp_matches(t, '{K.BARE_SHORTCODE_PATTERN}') THEN t END) END AS shortcode,
         coalesce(nullif(regexp_extract(t, '/(p|reel|tv)/[A-Za-z0-9_-]+', 1), ''), 'p') AS kind
       FROM (SELECT *, trim(value) AS t FROM (
-        SELECT line_no, value FROM links UNION ALL SELECT line_no + 1000000, value FROM links)))
+        SELECT row_number() OVER (ORDER BY line_no) AS line_no, value FROM (
+          SELECT line_no, value FROM links UNION ALL SELECT line_no + 1000000, value FROM links))))
     SELECT ord, shortcode, kind FROM (
       SELECT line_no AS ord, shortcode, kind, row_number() OVER (PARTITION BY shortcode ORDER BY line_no) AS rn
       FROM refs WHERE shortcode IS NOT NULL) WHERE rn = 1"""
@@ -198,7 +209,8 @@ def read_account_list(spark, sf):
 def read_link_list(spark, sf):
     """Every link twice: the first one of each id stays."""
     once = I.links(spark, sf).select("line_no", "value")
-    return L.parse_links(once.unionByName(once.withColumn("line_no", F.col("line_no") + 1_000_000)))
+    twice = once.unionByName(once.withColumn("line_no", F.col("line_no") + 1_000_000))
+    return L.read_link_list(spark, _store_in_parts(twice, "line_no", scratch_path(spark, "links")))
 
 
 @query(
@@ -266,11 +278,14 @@ def _store_as(spark, lines, folder: str, name: str) -> None:
         fs.rename(jvm.org.apache.hadoop.fs.Path(f"{target}/{part}"), jvm.org.apache.hadoop.fs.Path(f"{target}/{stem}_{i:05d}.{suffix}"))
 
 
-@query(f"WITH {I.AUDIT} SELECT post_id, label, annotator_id, timestamp FROM audit")
+@query(
+    f"""WITH {I.AUDIT} SELECT row_number() OVER (ORDER BY ord) AS ord, post_id, label, annotator_id, timestamp FROM audit"""
+)
 def read_audit_log(spark, sf):
+    """A log of several files; every event keeps its place in the whole log."""
     row = F.to_json(F.struct("post_id", "label", "annotator_id", "timestamp"))
-    log = I.audit_log(spark, sf).orderBy("ord").select(row.alias("value"))
-    return L.read_audit_log(spark, _store(log, scratch_path(spark, "audit"))).drop("ord")
+    log = I.audit_log(spark, sf).select("ord", row.alias("value"))
+    return L.read_audit_log(spark, _store_in_parts(log, "ord", scratch_path(spark, "audit"), 12))
 
 
 @query("SELECT count(*) AS n, count(*) AS n_numbers, CAST(0 AS BIGINT) AS n_gaps FROM lineitem")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -28,8 +29,17 @@ AUDIT_SCHEMA = ST.StructType(
 )
 
 
+def natural_order(path: Column) -> Column:
+    """A sort key of file names that compares runs of digits as numbers (part-99999 before part-100000)."""
+    runs = F.split(path, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    padded = F.transform(
+        runs, lambda t: F.when(t.rlike(r"^\d+$"), F.lpad(t, 40, "0")).otherwise(t)
+    )
+    return F.array_join(padded, "")
+
+
 def numbered_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """``(file, line_no, value)`` with 1-based physical line numbers per file.
+    """``(file, line_no, ord, value)``: 1-based line numbers per file, and over all files in name order.
 
     A file is read in parallel splits. Lines are numbered inside a split by their row id, and
     each split is shifted by the line counts of the splits before it, a table with one row
@@ -45,15 +55,23 @@ def numbered_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
             F.monotonically_increasing_id().alias("_id"),
         )
     )
-    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    own = earlier(Window.partitionBy("file").orderBy("_split"))
+    all_files = earlier(Window.orderBy(natural_order(F.col("file")), "file", "_split"))
     splits = (
         raw.groupBy("file", "_split")
         .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0)))
+        .withColumn("_all_before", F.coalesce(F.sum("_n").over(all_files), F.lit(0)))
         .drop("_n")
     )
-    line_no = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    return raw.join(splits, ["file", "_split"]).select("file", line_no.alias("line_no"), "value")
+    place = F.col("_id") - F.col("_first") + 1
+    return raw.join(splits, ["file", "_split"]).select(
+        "file",
+        (F.col("_before") + place).alias("line_no"),
+        (F.col("_all_before") + place).alias("ord"),
+        "value",
+    )
 
 
 def _filled(lines: DataFrame) -> DataFrame:
@@ -156,21 +174,25 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     )
     columns = coerce_record(F.col("record"))
     return judged.filter(sound).select(
-        F.col("line_no").alias("ord"), *[c.alias(name) for name, c in columns.items()]
+        "ord", *[c.alias(name) for name, c in columns.items()]
     )
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
-    """Strict reader of raw posts."""
-    return spark.read.schema(POOL_SCHEMA).option("mode", "FAILFAST").json(path)
+    """Strict reader of raw posts: a line that is not exactly one JSON value fails the job."""
+    return _strict_rows(_filled(spark.read.text(path)), POOL_SCHEMA).select("row.*")
+
+
+def _strict_rows(lines: DataFrame, schema: ST.StructType) -> DataFrame:
+    """Append ``row``, the line parsed strictly."""
+    parsed = F.from_json(strict_json(F.col("value")), schema, {"mode": "FAILFAST"})
+    return lines.withColumn("row", parsed)
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: ST.StructType) -> DataFrame:
     """Tolerant reader: broken lines and rows without id are dropped, the last row of an id wins."""
     lines = _filled(numbered_lines(spark, path)).filter(is_json(F.col("value")))
-    parsed = lines.select(
-        F.struct("file", "line_no").alias("ord"), F.from_json("value", schema).alias("row")
-    ).select("ord", "row.*")
+    parsed = lines.select("ord", F.from_json("value", schema).alias("row")).select("ord", "row.*")
     named = parsed.filter(F.coalesce(F.col("post_id"), F.lit("")) != "")
     return last_wins(named, ["post_id"]).drop("ord")
 
@@ -187,7 +209,8 @@ def read_ignore_list(spark: SparkSession, path: str) -> DataFrame:
 
 def seen_ids(pool_lines: DataFrame, ignored: DataFrame) -> DataFrame:
     """Ids of the pool (``value`` holds JSON lines, broken ones are tolerated) and of the ignore list."""
-    known = pool_lines.select(F.get_json_object("value", "$.post_id").alias("post_id"))
+    sound = pool_lines.filter(is_json(strip_ws(F.col("value"))))
+    known = sound.select(F.get_json_object("value", "$.post_id").alias("post_id"))
     return known.filter(F.col("post_id").isNotNull()).unionByName(ignored.select("post_id")).distinct()
 
 
@@ -203,7 +226,7 @@ def parse_term_specs(lines: DataFrame, *, search_all: bool = False) -> DataFrame
     bare = F.when(marked, strip_ws(F.substring(raw, 2, 2**31 - 1))).otherwise(raw)
     term = strip_ws(F.regexp_replace(bare, "^#+", ""))
     return rows.select(
-        F.col("line_no").alias("ord"),
+        "ord",
         term.alias("term"),
         (marked | F.lit(search_all)).alias("search"),
     ).filter(F.col("term") != "")
@@ -215,9 +238,7 @@ def read_account_list(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_accounts(lines: DataFrame) -> DataFrame:
     rows = _filled(lines).filter(~F.col("value").startswith("#"))
-    return rows.select(
-        F.col("line_no").alias("ord"), F.regexp_replace("value", "^@+", "").alias("account")
-    )
+    return rows.select("ord", F.regexp_replace("value", "^@+", "").alias("account"))
 
 
 def read_link_list(spark: SparkSession, path: str) -> DataFrame:
@@ -227,7 +248,7 @@ def read_link_list(spark: SparkSession, path: str) -> DataFrame:
 def parse_links(lines: DataFrame) -> DataFrame:
     """``(ord, shortcode, kind)`` of links or bare ids, first occurrence of each id."""
     refs = lines.select(
-        F.col("line_no").alias("ord"),
+        "ord",
         extract_shortcode(F.col("value")).alias("shortcode"),
         link_kind(F.col("value")).alias("kind"),
     )
@@ -236,29 +257,25 @@ def parse_links(lines: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifest rows; relative media paths are resolved against the manifest's folder."""
-    schema = "post_id string, caption string, image_path string"
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    image = F.col("image_path")
-    return (
-        spark.read.schema(schema)
-        .option("mode", "FAILFAST")
-        .json(path)
-        .select(
-            strip_ws(F.col("post_id")).alias("post_id"),
-            F.coalesce("caption", F.lit("")).alias("caption"),
-            F.when(image.rlike("^([a-z0-9]+:)?/"), image)
-            .otherwise(F.concat(folder, F.lit("/"), image))
-            .alias("image_path"),
-        )
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    image = F.col("row.image_path")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return _strict_rows(_filled(lines), POOL_SCHEMA).select(
+        strip_ws(F.col("row.post_id")).alias("post_id"),
+        F.coalesce("row.caption", F.lit("")).alias("caption"),
+        F.when(image.rlike("^([a-z0-9]+:)?/"), image)
+        .otherwise(F.concat(folder, F.lit("/"), image))
+        .alias("image_path"),
     )
 
 
 def read_all_pools(spark: SparkSession, folder: str, current: DataFrame | None = None) -> DataFrame:
     """Every pool file but the test ones, later file names win, the current pool above all."""
     name = F.element_at(F.split("file", "/"), -1)
+    by_name = natural_order(F.col("name"))
     lines = _filled(numbered_lines(spark, folder, pathGlobFilter="*.jsonl")).withColumn("name", name)
     rows = lines.filter(~F.col("name").startswith("test_")).select(
-        F.struct("name", "line_no").alias("ord"),
+        F.struct(by_name.alias("key"), "name", "ord").alias("ord"),
         F.from_json(strict_json(F.col("value")), POOL_SCHEMA, {"mode": "FAILFAST"}).alias("row"),
     )
     merged = last_wins(rows.select("ord", "row.*"), ["post_id"]).drop("ord")
@@ -267,11 +284,10 @@ def read_all_pools(spark: SparkSession, folder: str, current: DataFrame | None =
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     """Annotation events with their place in the log; empty when there is no log yet."""
-    from pyspark.errors import AnalysisException
-
     try:
         lines = _filled(numbered_lines(spark, path))
-    except AnalysisException:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], AUDIT_SCHEMA).withColumn("ord", F.lit(0).cast("long"))
-    parsed = F.from_json(strict_json(F.col("value")), AUDIT_SCHEMA, {"mode": "FAILFAST"})
-    return lines.select(parsed.alias("row"), F.col("line_no").alias("ord")).select("row.*", "ord")
+    return _strict_rows(lines, AUDIT_SCHEMA).select("row.*", "ord")
