@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tonegap import constants as K
 from tonegap.operators import folds, learning, predict, scoring
 
+#: One corner per class, told apart by two signs and the size of the gap.
 CENTRES = {
-    "positive": (0.10, 0.10, 0.85, 0.80, 0.70, 0.65),
-    "negative": (0.15, 0.10, 0.80, 0.75, -0.70, -0.65),
-    "neutral": (0.20, 0.15, 0.75, 0.50, 0.05, 0.00),
-    "positive_sarcasm": (0.75, 0.90, 0.70, 0.20, 0.75, -0.60),
-    "negative_sarcasm": (0.70, 0.85, 0.65, 0.25, -0.50, 0.70),
+    "positive": (0.30, 0.25, 0.60, 0.55, 0.45, 0.50),
+    "negative": (0.30, 0.25, 0.60, 0.55, -0.45, -0.50),
+    "neutral": (0.32, 0.20, 0.40, 0.35, -0.02, 0.02),
+    "positive_sarcasm": (0.95, 1.10, 0.50, 0.10, 0.50, -0.40),
+    "negative_sarcasm": (0.95, 1.10, 0.50, 0.10, -0.40, 0.50),
 }
 
 

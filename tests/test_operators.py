@@ -247,7 +247,7 @@ def test_anchors_and_scaling(spark):
     assert only.count() == 2
     out = tokens.word_heatmap(token_frame(spark, ["[CLS]", "a", "b", "c"], [9, -2.5, 0.5, 10.0])).orderBy("start")
     assert [r["normalized"] for r in out.collect()] == pytest.approx([0.0, 3 / 12.5, 1.0])
-    with pytest.raises(Exception, match="same length"):
+    with pytest.raises(Exception, match="differ in number"):
         spark.range(1).select(
             tokens.pair_tokens(F.array(F.lit("a")), F.array(F.lit(1.0), F.lit(2.0)))
         ).collect()
@@ -308,6 +308,21 @@ def test_expand_terms_against_brute_force(spark):
     assert [(r["ord"], r["tag"]) for r in out.orderBy("ord", "tag_ord").collect()] == want
 
 
+def test_search_terms_keep_all_tags(spark):
+    tags = [f"tag{k:02}" for k in range(40)]
+    out = curate.expand_terms(
+        frame(spark, [(1, "ag", True)], "ord long, term string, search boolean"),
+        frame(spark, list(enumerate(tags)), "ord long, tag string"),
+    )
+    assert [r["tag"] for r in out.orderBy("tag_ord").collect()] == tags
+
+
+def test_null_latencies_do_not_count(spark):
+    rows = frame(spark, [("s", 1.0, 5), ("s", None, 9), ("s", 3.0, 7), ("t", None, 1)], "stage string, latency_s double, peak_bytes long")
+    got = {r["stage"]: (r["n_samples"], r["median_latency_s"], r["peak_bytes"]) for r in timings.stage_timing_summary(rows).collect()}
+    assert got == {"s": (2, 2.0, 9)}
+
+
 def test_prune_and_paths(spark):
     pool = frame(spark, [("a", "x", "/d/a.jpg"), ("b", "y", "/d/b.jpg"), ("c", "z", "/d/c.jpg")], "post_id string, caption string, image_path string")
     log = frame(spark, [("a", "me"), ("b", "you")], "post_id string, annotator_id string")

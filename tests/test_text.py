@@ -27,7 +27,7 @@ def test_preprocess(one, raw, clean):
 
 
 @pytest.mark.parametrize(
-    "text, ratio", [("سلام دنیا", 1.0), ("hello! 😊", 0.0), ("123", 0.0), ("", 0.0), ("سلام hello", 4 / 9)]
+    "text, ratio", [("کتاب نو", 1.0), ("plain text? 🐌", 0.0), ("2048 %", 0.0), ("", 0.0), ("برف is cold", 3 / 9)]
 )
 def test_script_ratio(one, text, ratio):
     assert one(T.script_ratio(F.lit(text))) == pytest.approx(ratio)
@@ -113,7 +113,7 @@ def test_image_choice(spark):
 
 
 def test_required_image_fails(spark):
-    with pytest.raises(Exception, match="no image in html"):
+    with pytest.raises(Exception, match="no media"):
         spark.range(1).select(H.require_image_url(F.lit(None).cast("string"))).collect()
 
 
@@ -126,6 +126,22 @@ def test_embedded_json(one):
     assert one(H.caption_from_embedded_json(F.lit("<p>nothing</p>"))) == ""
 
 
+@pytest.mark.parametrize(
+    "body, caption",
+    [
+        ('{"x": ' * 60 + '{"caption": {"text": "deep down"}}' + "}" * 60, "deep down"),
+        ('[{"caption": {"text": "abc"}}, {"y": {"text": "a remark worth it", "__typename": "GraphComment"}}]', "a remark worth it"),
+        ('{"edge_media_to_caption": {"edges": []}, "z": [1, null, {"caption": {"text": "second"}}]}', "second"),
+        ('{"caption": {"text": 12345}, "text": "long enough text", "__typename": "Photo"}', ""),
+        ("null", ""),
+        ("[" * 100_000, ""),
+    ],
+)
+def test_embedded_json_shapes(one, body, caption):
+    page = f'<script type="application/json">{body}</script>'
+    assert one(H.caption_from_embedded_json(F.lit(page))) == caption
+
+
 def test_generated_text(one):
     assert one(T.clean_generated_text(F.lit("User: x Assistant: a cat "))) == "a cat"
     assert one(T.clean_generated_text(F.lit("  "))) == "."

@@ -18,9 +18,9 @@ def arr(*values):
 @pytest.mark.parametrize(
     "a, b, value",
     [
-        ((1, 2, 3), (1, 2, 3), 1.0),
-        ((1, 0), (0, 1), 0.0),
-        ((1, 0), (-1, 0), -1.0),
+        ((4, 4, 7), (8, 8, 14), 1.0),
+        ((3, -6), (2, 1), 0.0),
+        ((5, 12), (-10, -24), -1.0),
         ((0, 0), (1, 2), 0.0),
         ((NAN, NAN), (1, 2), 0.0),
         ((math.inf, 1), (5, 2), 2 / math.sqrt(29)),
@@ -38,8 +38,8 @@ def test_cosine_errors(one, a, b):
 
 
 def test_polarity(one):
-    assert one(V.polarity_l1(arr(0.05, 0.95), arr(0.95, 0.05))) == pytest.approx(1.8)
-    assert one(V.polarity_scalar(arr(1, 0))) == -1.0
+    assert one(V.polarity_l1(arr(0.25, 0.75), arr(0.9, 0.1))) == pytest.approx(1.3)
+    assert one(V.polarity_scalar(arr(0.75, 0.25))) == pytest.approx(-0.5)
     with pytest.raises(Exception, match="polarity"):
         one(V.polarity_scalar(arr(1)))
 
@@ -61,13 +61,13 @@ def test_probabilities(one):
 
 def test_feature_signature(spark):
     rows = spark.createDataFrame(
-        [([1.0, 0.0], [-1.0, 0.0], [-1.0, 0.0], [0.05, 0.95], [0.92, 0.08])],
+        [([1.0, 0.0], [-1.0, 0.0], [-1.0, 0.0], [0.2, 0.8], [0.65, 0.35])],
         "emb_T array<float>, emb_T_hat array<float>, emb_I array<float>, pol_T array<double>, pol_T_hat array<double>",
     )
     f = V.with_features(rows).select(*K.FEATURE_NAMES).first()
-    assert f["Dsem"] == pytest.approx(2.0) and f["Dsen"] == pytest.approx(1.74)
+    assert f["Dsem"] == pytest.approx(2.0) and f["Dsen"] == pytest.approx(0.9)
     assert f["Fvt"] == pytest.approx(1.0) and f["cos_TI"] == pytest.approx(-1.0)
-    assert f["polarity_T"] == pytest.approx(0.9) and f["polarity_T_hat"] == pytest.approx(-0.84)
+    assert f["polarity_T"] == pytest.approx(0.6) and f["polarity_T_hat"] == pytest.approx(-0.3)
 
 
 def test_embedding_health(spark):
@@ -85,3 +85,8 @@ def test_weak_label_from_probs(one):
     unnamed = F.create_map(F.lit(9), F.lit("z"))
     assert one(V.weak_label_from_probs(arr(0.1, 0.9), unnamed)) == "positive"  # class named "1"
     assert one(V.weak_label_from_probs(arr(0.9, 0.1), unnamed)) == "negative"
+
+
+def test_masked_mean_without_tokens(spark):
+    rows = spark.createDataFrame([("a", 0, 2.0, 1), ("a", 0, 4.0, 1), ("a", 0, 9.0, 0), ("b", 0, 5.0, 0)], "id string, dim int, value double, mask int")
+    assert {r["id"]: r["pooled"] for r in V.masked_mean_pool(rows, ["id"]).collect()} == {"a": 3.0, "b": 0.0}

@@ -141,8 +141,13 @@ THUMBNAIL_MARKERS = ("s100x100", "s150x150", "/t51.82787-19/")
 MEDIA_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 MEDIA_MIME_TYPES = ("image/jpeg", "image/jpg", "image/png", "image/webp")
 SEARCH_MARKERS = "?*~"
-MAX_SEARCH_TAGS = 15
-JSON_WALK_DEPTH = 16
+# Where page data keeps a caption, and the length a text must exceed to count as one.
+CAPTION_PATHS = (
+    (("edge_media_to_caption", "edges", 0, "node", "text"), 0),
+    (("caption", "text"), 3),
+)
+CAPTION_TYPES = ("Caption", "Comment")
+TYPED_CAPTION_OVER = 8
 
 # --- prediction rules (fixed values) ----------------------------------------
 CONFLICT_TEXT_BAND = 0.05

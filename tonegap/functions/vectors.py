@@ -22,7 +22,7 @@ def finite_or_zero(x: Column) -> Column:
 
 def sanitize_vector(v: Column) -> Column:
     return F.when(F.size(v) > 0, F.transform(v, finite_or_zero)).otherwise(
-        _fail("expected a non-empty vector").cast("array<double>")
+        _fail("vector without components").cast("array<double>")
     )
 
 
@@ -216,10 +216,9 @@ def masked_mean_pool(
     value: str = "value",
     mask: str = "mask",
 ) -> DataFrame:
-    """Mean over unmasked tokens per (key, dimension) of a long token table."""
-    return df.groupBy(*keys, dim).agg(
-        (F.sum(F.col(value) * F.col(mask)) / F.sum(F.col(mask))).alias("pooled")
-    )
+    """Mean over unmasked tokens per (key, dimension) of a long token table; 0 where all are masked."""
+    mean = F.try_divide(F.sum(F.col(value) * F.col(mask)), F.sum(F.col(mask)))
+    return df.groupBy(*keys, dim).agg(F.coalesce(mean, F.lit(0.0)).alias("pooled"))
 
 
 def embedding_health(df: DataFrame, vector: str) -> DataFrame:

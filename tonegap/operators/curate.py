@@ -131,10 +131,12 @@ def usable_records(records: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def expand_terms(
-    specs: DataFrame, catalogue: DataFrame, max_tags: int = K.MAX_SEARCH_TAGS
+    specs: DataFrame, catalogue: DataFrame, max_tags: int | None = None
 ) -> DataFrame:
     """Concrete tags for term specs ``(ord, term, search)`` from ``catalogue (ord, tag)``.
 
+    A search term becomes every tag that contains it, or the first ``max_tags`` of them if a caller asks for that.
+
     "Contains" becomes an equi-join: each tag is cut into its substrings of exactly the
     lengths that occur among the search terms. That stays linear in the catalogue, where a
     nested loop would compare every term with every tag.
@@ -159,7 +161,7 @@ def expand_terms(
         "tag", "tag_ord", F.explode(F.array_distinct(pieces)).alias("_needle")
     )
     hits = cut.join(searches.select("ord", "_needle"), "_needle").select("ord", "tag", "tag_ord")
-    found = top_n_per_group(hits, ["ord"], [F.col("tag_ord")], max_tags)
+    found = hits if max_tags is None else top_n_per_group(hits, ["ord"], [F.col("tag_ord")], max_tags)
     plain = specs.join(found.select("ord"), "ord", "left_anti").select(
         "ord", F.col("term").alias("tag"), F.lit(0).cast("long").alias("tag_ord")
     )
@@ -188,7 +190,3 @@ def first_per_label(records: DataFrame, ord_col: str = "ord") -> DataFrame:
     return first_wins(records.filter(F.col("label").isin(*K.LABELS)), ["label"], ord_col).orderBy(
         position
     )
-
-
-def label_ordinal(label: Column) -> Column:
-    return (F.array_position(F.array(*[F.lit(x) for x in K.LABELS]), label) - 1).cast("int")

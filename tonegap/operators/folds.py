@@ -30,8 +30,3 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("classes"))).scalar()
     weight = totals.getField("rows") / (totals.getField("classes") * F.col("n"))
     return counts.select(label, "n", weight.alias("weight"))
-
-
-def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    weights = class_weights(df, label).select(label, "weight")
-    return df.join(F.broadcast(weights), label)

@@ -204,7 +204,7 @@ def threshold_grid(scored: DataFrame, score: str = "Dsem", target: str = "y") ->
     hits = F.sum("pos").over(above) + F.sum(neg).over(fold) - F.sum(neg).over(above)
     start, step = threshold_values()
     return (
-        train.withColumn("accuracy", hits / F.sum("n").over(fold))
+        train.withColumn("accuracy", F.try_divide(hits, F.sum("n").over(fold)))
         .filter(F.col("bin") >= 1)
         .select(
             "fold",

@@ -14,13 +14,14 @@ def _monotone_bin(value: Column) -> Column:
 
 
 def values_at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Exact order statistics per key; ``ranks`` are 1-based and may use the group size ``n``.
+    """Exact order statistics per key, nulls left out; ``ranks`` are 1-based and may use the group size ``n``.
 
     Equal values are counted first. Bins then get the number of rows before them, and ranks
     are resolved inside one bin only, so no task sees more than one bin of one key.
     """
     counted = (
-        df.groupBy(key, F.col(value).alias("_v"))
+        df.filter(F.col(value).isNotNull())
+        .groupBy(key, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_bin", _monotone_bin(F.col("_v")))
     )

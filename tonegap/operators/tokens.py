@@ -38,10 +38,12 @@ def rtl_remap(tokens: DataFrame, key: str = "post_id") -> DataFrame:
 
 def pair_tokens(tokens: Column, scores: Column) -> Column:
     """Array of (token, score); fails when the two arrays differ in length."""
-    return F.when(F.size(tokens) == F.size(scores), F.arrays_zip(tokens, scores)).otherwise(
-        F.raise_error(F.lit("tokens and scores must have the same length")).cast(
-            "array<struct<tokens:string,scores:double>>"
-        )
+    pairs = F.zip_with(
+        tokens, scores, lambda t, s: F.struct(t.alias("tokens"), s.cast("double").alias("scores"))
+    )
+    differ = F.raise_error(F.lit("tokens and scores differ in number"))
+    return F.when(F.size(tokens) == F.size(scores), pairs).otherwise(
+        differ.cast("array<struct<tokens:string,scores:double>>")
     )
 
 

@@ -199,19 +199,19 @@ def set_difference(spark, sf):
 
 
 def _search_terms(spark, sf):
-    """Beginnings of the last words of part names as search terms, part types as exact ones."""
+    """The last words of part names as search terms, part types as exact ones."""
     parts = I.table(spark, sf, "part")
     word = F.element_at(F.split("p_name", " "), -1)
     search = F.col("p_partkey") % 2 == 0
     return parts.groupBy(
-        F.when(search, F.substring(word, 1, 3)).otherwise(F.col("p_type")).alias("term"), search.alias("search")
+        F.when(search, word).otherwise(F.col("p_type")).alias("term"), search.alias("search")
     ).agg(F.min("p_partkey").alias("ord")).select("ord", "term", "search")
 
 
 SQL_TERMS = """specs AS (
   SELECT min(p_partkey) AS ord, term, search FROM (
     SELECT p_partkey, p_partkey % 2 = 0 AS search,
-           CASE WHEN p_partkey % 2 = 0 THEN substring(list_extract(string_split(p_name, ' '), -1), 1, 3) ELSE p_type END AS term
+           CASE WHEN p_partkey % 2 = 0 THEN list_extract(string_split(p_name, ' '), -1) ELSE p_type END AS term
     FROM part) GROUP BY term, search)"""
 
 
@@ -222,7 +222,7 @@ SQL_TERMS = """specs AS (
     hits AS (
       SELECT s.ord, c.tag, c.tag_ord, row_number() OVER (PARTITION BY s.ord ORDER BY c.tag_ord) AS rn
       FROM specs s JOIN catalogue c ON s.search AND contains(lower(c.tag), lower(s.term))),
-    found AS (SELECT ord, tag, rn FROM hits WHERE rn <= 15
+    found AS (SELECT ord, tag, rn FROM hits
       UNION ALL SELECT ord, term, 0 FROM specs WHERE ord NOT IN (SELECT ord FROM hits))
     SELECT ord, tag FROM (
       SELECT *, row_number() OVER (PARTITION BY lower(tag) ORDER BY ord, rn) AS first FROM found) WHERE first = 1"""

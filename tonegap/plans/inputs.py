@@ -13,7 +13,6 @@ from tonegap import constants as K
 from tonegap.functions import vectors as V
 from tonegap.operators.folds import stratified_folds
 from tonegap.operators.learning import argmax_label
-from tonegap.session import spread
 
 LATIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 SCRIPT = "ابپتثجچحخدذرزژسشصضطظعغفقكي" * 2 + K.PERSIAN_DIGITS
@@ -38,8 +37,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table whose rows are long texts: costly per row, so spread over the cores."""
-    return spread(table(spark, sf, name))
+    """A table whose rows are long texts, in the splits its files give."""
+    return table(spark, sf, name)
 
 
 def sql_text(value: str) -> str:

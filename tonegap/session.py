@@ -52,13 +52,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on an input of very few files.
-
-    A large input already has more splits than cores and is returned as it is, without a
-    shuffle; only an input smaller than that is dealt out evenly.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
