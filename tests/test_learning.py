@@ -144,3 +144,15 @@ def test_binary_task_after_an_observed_write(folded, tmp_path):
     rows = learning.binary_sarcasm(folded.drop("fold")).collect()
     assert len(rows) == 5 and all(r["accuracy"] > 0.9 and r["f1"] > 0.9 for r in rows)
     assert all(r["dsem_rule_accuracy"] > 0.9 for r in rows)
+
+
+def test_both_classifiers_are_saved(folded, tmp_path):
+    pack = learning.fit_linear_svc_calibrated(folded)
+    learning.save_model(pack, str(tmp_path / "svm"))
+    again = learning.load_model(str(tmp_path / "svm"))
+    assert isinstance(again, learning.CalibratedSvcPack) and again == pack
+
+
+def test_nothing_to_learn_from(folded):
+    with pytest.raises(ValueError, match="no usable record"):
+        learning.select_and_fit(folded.limit(0))

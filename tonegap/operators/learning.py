@@ -107,6 +107,26 @@ def fit_logreg(
     return LogisticPack(estimator.fit(data), classes, features)
 
 
+def logreg_gradient(
+    pack: LogisticPack, df: DataFrame, label: str = "label", c: float = 1.0
+) -> np.ndarray:
+    """Gradient of the summed, balanced, penalised loss per class: features, then the intercept.
+
+    Zero at the optimum; one aggregation. For more than two classes.
+    """
+    balance = _by_class(F.col(label), _balanced(_class_counts(df, label)))
+    x = [finite_or_zero(F.col(name)) for name in pack.features] + [F.lit(1.0)]
+    scored = pack.class_probabilities(df)
+    rest = [
+        balance * (F.get("_p", F.lit(i)) - (F.col(label) == name).cast("double"))
+        for i, name in enumerate(pack.classes)
+    ]
+    sums = scored.agg(F.array(*[F.sum(r * v) for r in rest for v in x])).first()[0]
+    slope = np.array(sums).reshape(len(rest), len(x))
+    slope[:, :-1] += pack.model.coefficientMatrix.toArray() / c
+    return slope
+
+
 @dataclass
 class CalibratedSvcPack:
     """One-vs-rest linear SVMs with sigmoid calibration, averaged over inner folds.
@@ -303,26 +323,40 @@ def cross_validate(
     label: str = "label",
     fit: Callable[..., Pack] = fit_logreg,
 ) -> DataFrame:
-    """Out-of-fold predictions of a frame with ``fold``; every row appears once."""
+    """Out-of-fold predictions of a frame with ``fold``; every row appears once.
+
+    The held-out rows are scored when the result is read, from ``df``: give a stored frame.
+    """
     data = df.persist()
-    folds = [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]
-    job = lambda f: fit(data.filter(F.col("fold") != f), features, label)
-    packs = _in_parallel(df.sparkSession, [lambda f=f: job(f) for f in folds])
+    try:
+        folds = [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]
+        job = lambda f: fit(data.filter(F.col("fold") != f), features, label)
+        packs = _in_parallel(df.sparkSession, [lambda f=f: job(f) for f in folds])
+    finally:
+        data.unpersist()
     held = [with_prediction(p, df.filter(F.col("fold") == f)) for f, p in zip(folds, packs)]
-    data.unpersist()
     return reduce(DataFrame.unionByName, held)
 
 
-def mean_macro_f1(predictions: DataFrame) -> float:
+def fold_macro_f1(predictions: DataFrame) -> list[float]:
+    """Macro-F1 of every fold, in the order of the folds."""
     per_fold = fold_metrics(confusion(predictions))
-    return per_fold.agg(F.avg("macro_f1")).first()[0]
+    return [r[0] for r in per_fold.orderBy("fold").select("macro_f1").collect()]
 
 
 @dataclass
 class TrainResult:
     pack: Pack
     predictions: DataFrame
-    mean_macro_f1: float
+    fold_scores: list[float]
+
+    @property
+    def mean_macro_f1(self) -> float:
+        return float(np.mean(self.fold_scores))
+
+    @property
+    def std_macro_f1(self) -> float:
+        return float(np.std(self.fold_scores))
 
 
 def select_and_fit(
@@ -330,15 +364,20 @@ def select_and_fit(
     features: tuple[str, ...] = K.FEATURE_NAMES,
     floor: float = K.LOGREG_F1_FLOOR,
 ) -> TrainResult:
-    """Logistic regression, unless it stays below the floor and the SVM is strictly better."""
+    """Logistic regression, unless it stays below the floor and the SVM is strictly better.
+
+    A frame without rows is an error: there is nothing to learn from.
+    """
+    if not folded.head(1):
+        raise ValueError("no usable record to learn from")
     predictions = cross_validate(folded, features)
-    score, fit = mean_macro_f1(predictions), fit_logreg
-    if score < floor:
+    scores, fit = fold_macro_f1(predictions), fit_logreg
+    if np.mean(scores) < floor:
         challenger = cross_validate(folded, features, fit=fit_linear_svc_calibrated)
-        better = mean_macro_f1(challenger)
-        if better > score:
-            predictions, score, fit = challenger, better, fit_linear_svc_calibrated
-    return TrainResult(fit(folded, features), predictions, score)
+        better = fold_macro_f1(challenger)
+        if np.mean(better) > np.mean(scores):
+            predictions, scores, fit = challenger, better, fit_linear_svc_calibrated
+    return TrainResult(fit(folded, features), predictions, scores)
 
 
 def feature_subsets() -> list[tuple[str, ...]]:
@@ -397,25 +436,34 @@ def binary_sarcasm(
     return fitted.join(rule, "fold")
 
 
-def save_model(pack: LogisticPack, path: str) -> None:
-    """Model folder plus a metadata file with class order, feature and label names."""
+def save_model(pack: Pack, path: str) -> None:
+    """Model folder plus a metadata file with class order, feature and label names.
+
+    The few numbers of a calibrated SVM stand in the metadata itself.
+    """
     spark = SparkSession.active()
-    pack.model.write().overwrite().save(f"{path}/model")
     meta = {
         "classifier_name": pack.name,
         "classes": pack.classes,
         "feature_names": list(pack.features),
         "label_order": list(K.LABELS),
     }
+    if isinstance(pack, CalibratedSvcPack):
+        meta["members"] = pack.members
+    else:
+        pack.model.write().overwrite().save(f"{path}/model")
     frame = spark.range(1).select(F.lit(json.dumps(meta)).alias("value"))
     frame.write.mode("overwrite").text(f"{path}/metadata")
 
 
-def load_model(path: str) -> LogisticPack:
+def load_model(path: str) -> Pack:
     spark = SparkSession.active()
     meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    model = LogisticRegressionModel.load(f"{path}/model")
-    return LogisticPack(model, meta["classes"], tuple(meta["feature_names"]), meta["classifier_name"])
+    classes, features, name = meta["classes"], tuple(meta["feature_names"]), meta["classifier_name"]
+    if "members" in meta:
+        members = [[(w, slope, offset) for w, slope, offset in m] for m in meta["members"]]
+        return CalibratedSvcPack(members, classes, features, name)
+    return LogisticPack(LogisticRegressionModel.load(f"{path}/model"), classes, features, name)
 
 
 def argmax_label(proba: Column) -> Column:

@@ -194,12 +194,6 @@ def assemble_features(
     )
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    if df.isEmpty():
-        raise RuntimeError(message)
-    return df
-
-
 def features_one_pass(
     records: DataFrame,
     media: DataFrame,

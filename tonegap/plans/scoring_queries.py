@@ -15,6 +15,7 @@ from tonegap.operators import gates as G
 from tonegap.operators import scoring as SC
 from tonegap.plans import inputs as I
 from tonegap.plans.curation_queries import _NEG, _POS, SQL_KEYWORD_LABEL, admitted_sql
+from tonegap.plans.evaluation_queries import RULE_STEPS
 from tonegap.plans.explain_queries import PREDICTED
 from tonegap.plans.io_queries import SQL_SIX
 from tonegap.plans.registry import query
@@ -239,7 +240,7 @@ def features_one_pass(spark, sf):
     return features.select("post_id", *[I.rounded(c) for c in K.FEATURE_NAMES])
 
 
-# --- learning (fitted weights: row checks only) -----------------------------
+# --- learning: exact columns beside what only holds for a right fit ----------
 
 
 def _folded(spark, sf):
@@ -251,61 +252,121 @@ def _folded(spark, sf):
     return spark.read.parquet(path)
 
 
-def _scores(predictions):
-    return metrics.fold_metrics(metrics.confusion(predictions))
+def _in_range(*columns: str):
+    """All columns hold shares."""
+    return F.expr(" AND ".join(f"coalesce({c} BETWEEN 0 AND 1, false)" for c in columns)).alias("in_range")
 
 
-@query()
+def _proba_holds(pack, rows):
+    """Probabilities of all labels, shares that add up to one."""
+    shares = F.forall("proba", lambda p: p.between(0.0, 1.0))
+    mass = F.aggregate("proba", F.lit(0.0), lambda a, p: a + p)
+    return learning.with_proba(pack, rows).select("post_id", (shares & (F.abs(mass - 1.0) < 1e-9)).alias("normalised"))
+
+
+@query(
+    f"""WITH {I.FEATURES} SELECT label, count(*) AS n,
+      {I.r6("(SELECT count(*) FROM features) / (SELECT count(DISTINCT label) FROM features)")} AS weighted_mass,
+      TRUE AS at_optimum FROM features GROUP BY label"""
+)
 def fit_logreg(spark, sf):
-    pack = learning.fit_logreg(_folded(spark, sf))
-    return learning.with_proba(pack, I.features(spark, sf).select("post_id", *K.FEATURE_NAMES)).select(
-        "post_id", *[F.get("proba", F.lit(i)).alias(name) for i, name in enumerate(K.LABELS)]
-    )
+    """Per class: rows, their balanced weight in all, and whether the penalised loss has no slope left."""
+    rows = _folded(spark, sf)
+    pack = learning.fit_logreg(rows)
+    slope = learning.logreg_gradient(pack, rows)
+    flat = {c: bool(abs(slope[i]).max() < 1e-3 * rows.count()) for i, c in enumerate(pack.classes)}
+    at_optimum = F.create_map(*[F.lit(x) for item in flat.items() for x in item])[F.col("label")]
+    weights = folds.class_weights(rows).select("label", "n", (F.col("weight") * F.col("n")).alias("mass"))
+    return weights.select("label", "n", I.rounded("mass", "weighted_mass"), at_optimum.alias("at_optimum"))
 
 
-@query()
+@query(f"WITH {I.FEATURES} SELECT post_id, TRUE AS normalised, CAST(15 AS INTEGER) AS n_models FROM features")
 def fit_linear_svc_calibrated(spark, sf):
+    """One calibrated machine per class and inner fold."""
     pack = learning.fit_linear_svc_calibrated(_folded(spark, sf))
-    return learning.with_proba(pack, I.features(spark, sf).select("post_id", *K.FEATURE_NAMES)).select(
-        "post_id", *[F.get("proba", F.lit(i)).alias(name) for i, name in enumerate(K.LABELS)]
-    )
+    rows = I.features(spark, sf).select("post_id", *K.FEATURE_NAMES)
+    return _proba_holds(pack, rows).withColumn("n_models", F.lit(sum(map(len, pack.members))))
 
 
-@query()
+@query(f"WITH {I.FEATURES} SELECT post_id, label, {I.SQL_FOLD} AS fold, TRUE AS known FROM features")
 def cross_validate(spark, sf):
-    return _scores(learning.cross_validate(_folded(spark, sf)))
+    """Every row once, predicted by the model of its own fold."""
+    known = F.coalesce(F.col("pred").isin(*K.LABELS), F.lit(False)).alias("known")
+    return learning.cross_validate(_folded(spark, sf)).select("post_id", "label", "fold", known)
 
 
-@query()
+@query(
+    f"""WITH {I.FEATURES}, folded AS (SELECT {I.SQL_FOLD} AS fold FROM features)
+    SELECT fold, count(*) AS n, TRUE AS consistent, CAST(5 AS INTEGER) AS n_scores FROM folded GROUP BY fold"""
+)
 def select_and_fit(spark, sf):
+    """The choice agrees with the scores of the predictions that are returned with it."""
     result = learning.select_and_fit(_folded(spark, sf))
-    return _scores(result.predictions).withColumn("classifier", F.lit(result.pack.name))
+    mean = sum(scores := learning.fold_macro_f1(result.predictions)) / len(scores)
+    svm = result.pack.name == "CalibratedLinearSVC"
+    agrees = abs(mean - result.mean_macro_f1) < 1e-9 and result.std_macro_f1 >= 0 and (not svm or isinstance(result.pack, learning.CalibratedSvcPack))
+    return result.predictions.groupBy("fold").agg(F.count("*").alias("n")).select(
+        "fold", "n", F.lit(agrees).alias("consistent"), F.lit(len(result.fold_scores)).alias("n_scores")
+    )
 
 
-@query()
+@query(
+    f"""WITH {I.FEATURES} SELECT name AS classifier, post_id, TRUE AS same
+    FROM features, (VALUES ('LogisticRegression'), ('CalibratedLinearSVC')) AS t(name)"""
+)
 def save_model(spark, sf):
-    """Saved, loaded again and applied."""
-    path = scratch_path(spark, "model")
-    learning.save_model(learning.fit_logreg(_folded(spark, sf)), path)
-    pack = learning.load_model(path)
-    return learning.with_prediction(pack, I.features(spark, sf).select("post_id", *K.FEATURE_NAMES)).select(
-        "post_id", "pred"
-    )
+    """Both classifiers saved, loaded again and applied: the same answers as before."""
+    folded = _folded(spark, sf)
+    rows = I.features(spark, sf).select("post_id", *K.FEATURE_NAMES)
+    parts = []
+    for fit in (learning.fit_logreg, learning.fit_linear_svc_calibrated):
+        pack, path = fit(folded), scratch_path(spark, "model")
+        learning.save_model(pack, path)
+        both = learning.with_prediction(learning.load_model(path), learning.with_prediction(pack, rows, "before"), "after")
+        parts.append(both.select(F.lit(pack.name).alias("classifier"), "post_id", F.col("before").eqNullSafe(F.col("after")).alias("same")))
+    return parts[0].unionByName(parts[1])
 
 
-@query()
+@query(
+    """SELECT configuration, CAST(n_features AS INTEGER) AS n_features, TRUE AS in_range FROM (VALUES ('Dsem', 4), ('Dsen', 4),
+      ('Fvt', 4), ('Dsem+Dsen', 5), ('Dsem+Fvt', 5), ('Dsen+Fvt', 5), ('Dsem+Dsen+Fvt', 6)) AS t(configuration, n_features)"""
+)
 def ablation(spark, sf):
-    return learning.ablation(_folded(spark, sf))
+    return learning.ablation(_folded(spark, sf)).select(
+        "configuration", "n_features", _in_range("mean_accuracy", "mean_macro_f1")
+    )
 
 
-@query()
+@query(
+    f"""WITH {I.FEATURES}, folded AS (SELECT {I.SQL_FOLD} AS fold FROM features)
+    SELECT fold, count(*) AS n_rows, TRUE AS in_range FROM folded GROUP BY fold"""
+)
 def unimodal_baseline(spark, sf):
-    return learning.unimodal_baseline(_folded(spark, sf))
+    return learning.unimodal_baseline(_folded(spark, sf)).select("fold", "n_rows", _in_range("accuracy", "macro_f1"))
 
 
-@query()
+SQL_BINARY_FOLD = I.SQL_FOLD.replace("PARTITION BY label", f"PARTITION BY {I.SQL_IRONIC}")
+BINARY_RULE = f"{I.FEATURES}, {RULE_STEPS.replace(I.SQL_FOLD, SQL_BINARY_FOLD)}"
+
+
+@query(
+    f"""WITH {BINARY_RULE} SELECT fold, {I.r6('threshold')} AS threshold, {I.r6('accuracy')} AS dsem_rule_accuracy,
+      TRUE AS in_range FROM rule"""
+)
 def binary_sarcasm(spark, sf):
-    return learning.binary_sarcasm(_folded(spark, sf).drop("fold"))
+    return learning.binary_sarcasm(_folded(spark, sf).drop("fold")).select(
+        "fold", I.rounded("threshold"), I.rounded("dsem_rule_accuracy"), _in_range("accuracy", "f1")
+    )
+
+
+@query(
+    f"""WITH {I.FEATURES}, folded AS (SELECT {SQL_BINARY_FOLD} AS fold FROM features)
+    SELECT DISTINCT fold, TRUE AS in_range FROM folded"""
+)
+def unimodal_binary_sarcasm(spark, sf):
+    """The binary task on the caption's polarity alone."""
+    rows = _folded(spark, sf).drop("fold", "Dsem")
+    return learning.binary_sarcasm(rows, ("p_neg", "p_pos")).select("fold", _in_range("accuracy", "f1"))
 
 
 # --- streams ----------------------------------------------------------------
