@@ -24,7 +24,7 @@ from tonegap.llm.common import fit_labels, labelled_sample, predictions, with_sc
 FIT_PER_LABEL, FIT_MAX_CHARS = 1500, 20_000
 #: Bytes of a window, at word boundaries.
 WINDOW = 96
-LEVEL = 19
+LEVEL = 11
 BODY_BYTES, WORDS_BYTES = 32_768, 16_384
 #: A word's contexts, likelihood ratio and odds from which it counts as characteristic.
 LEAST_CONTEXTS, LEAST_RATIO, LEAST_ODDS = 4, 12.0, 6.0
