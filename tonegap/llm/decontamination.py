@@ -28,7 +28,7 @@ BLOCK_BITS, BLOCKS, RADIUS = 16, 4, 7
 #: Items in one index; a larger benchmark is read in as many passes over the documents.
 INDEX_ITEMS = 5_000
 #: Largest part of an item that a step may be, and growth of item sizes within a class.
-STEP_SHARE, CLASS_GROWTH = 5, 1.25
+STEP_SHARE, CLASS_GROWTH = 5, 1.4
 
 
 def token_hashes() -> Memo:
