@@ -192,22 +192,25 @@ SQL_CELLS = ", ".join(f"CAST({I.r6(c)} AS VARCHAR) AS {c}" for c in SCORE_COLUMN
 SQL_SPREADS = ", ".join(f"printf('%.4f', avg({c})) || '±' || printf('%.4f', stddev_pop({c}))" for c in SCORE_COLUMNS)
 
 
+SQL_FOOTER = "coalesce(avg(sarcasm_accuracy), 0)"
+SQL_BLANKS = "".join(", NULL" for _ in SCORE_COLUMNS[1:])
+
+
 @query(
     f"""WITH {I.FOLD_SCORES} SELECT CAST(fold AS VARCHAR) AS fold, {SQL_CELLS} FROM fold_scores
-    UNION ALL SELECT 'mean±std', {SQL_SPREADS} FROM fold_scores"""
+    UNION ALL SELECT 'mean±std', {SQL_SPREADS} FROM fold_scores
+    UNION ALL SELECT '# sarcasm_mean_accuracy', printf('%.4f', {SQL_FOOTER}){SQL_BLANKS} FROM fold_scores
+    UNION ALL SELECT '# meets_hypothesis_70pct', CASE WHEN {SQL_FOOTER} >= 0.7 THEN 'true' ELSE 'false' END{SQL_BLANKS} FROM fold_scores"""
 )
 def write_metric_table(spark, sf):
-    """Fold and mean rows as they are written to the report file, read back as text."""
+    """Fold rows, the mean row and the footers of a report file, read back as text."""
     per_fold = _fold_scores(spark, sf)
     shown = per_fold.select("fold", *[I.rounded(c) for c in SCORE_COLUMNS], "sarcasm_accuracy")
     path = scratch_path(spark, "metrics")
     tables.write_metric_table(
         metrics.metric_table(shown, SCORE_COLUMNS), metrics.metric_footer(per_fold), path
     )
-    return reports.read_report_csv(spark, f"{path}/table")
-
-
-SQL_FOOTER = "coalesce(avg(sarcasm_accuracy), 0)"
+    return reports.read_report_csv(spark, path)
 
 
 @query(
@@ -229,13 +232,8 @@ def read_report_csv(spark, sf):
     per_fold = _fold_scores(spark, sf)
     shown = per_fold.select("fold", I.rounded("accuracy"), I.rounded("macro_f1"), "sarcasm_accuracy")
     table = metrics.metric_table(shown, ["accuracy", "macro_f1"])
-    footer = metrics.metric_footer(per_fold).select(
-        F.concat(F.lit("# "), "key").alias("fold"),
-        F.col("value").alias("accuracy"),
-        F.lit(None).cast("string").alias("macro_f1"),
-    )
     path = scratch_path(spark, "report")
-    table.unionByName(footer).write.option("header", True).csv(path)
+    tables.write_metric_table(table, metrics.metric_footer(per_fold), path)
     report = reports.read_report_csv(spark, path)
     stored = reports.report_mean(report, "sarcasm_mean_accuracy", "accuracy").scalar()
     fallback = reports.report_mean(report, "no_such_footer", "macro_f1").scalar()

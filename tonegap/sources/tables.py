@@ -87,6 +87,15 @@ def upsert_vectors(batch: DataFrame, path: str) -> DataFrame:
 
 
 def write_metric_table(table: DataFrame, footer: DataFrame, path: str) -> None:
-    """Fold and mean rows and the footers, as two CSV folders of one report."""
-    table.write.mode("overwrite").option("header", True).csv(f"{path}/table")
-    footer.write.mode("overwrite").option("header", True).csv(f"{path}/footer")
+    """One CSV report: fold rows, the mean row, then a ``# key`` row per footer with its value beside it.
+
+    This is the form that the report reader understands.
+    """
+    first, value, *others = table.columns
+    notes = footer.select(
+        F.concat(F.lit("# "), "key").alias(first),
+        F.col("value").cast("string").alias(value),
+        *[F.lit(None).cast("string").alias(c) for c in others],
+    )
+    rows = table.select(*[F.col(c).cast("string").alias(c) for c in table.columns])
+    rows.unionByName(notes).write.mode("overwrite").option("header", True).csv(path)

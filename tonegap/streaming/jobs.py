@@ -10,7 +10,7 @@ from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
 
 from tonegap import constants as K
-from tonegap.operators.gates import ACCEPTED, GateRules, verdicts
+from tonegap.operators.gates import ACCEPTED, GateRules, blocking_reasons, verdicts
 from tonegap.operators.keyed import anti_seen
 from tonegap.operators.predict import predict_table
 from tonegap.sources.tables import upsert_vectors
@@ -30,17 +30,21 @@ def stream_ingest(
     event_time: str | None = None,
     lateness: str = "1 day",
 ) -> DataFrame:
-    """Accepted posts of a stream, each id once.
+    """Accepted posts of a stream, each id once, by the rules of the batch gate.
 
-    The content gate is stateless and runs first, so state only ever holds accepted ids. With
+    The content verdicts are stateless and come first. What settles an id (acceptance, a missing
+    face, spam where the rules say so) enters the state, so a later row can't undo it; rows with other
+    verdicts leave no trace. Rows of one id that arrive in the same micro-batch have no order. With
     an event time column the state is bounded by a watermark; without one it holds every
-    accepted id, the price of exact deduplication over an endless stream.
+    settled id, the price of exact deduplication over an endless stream.
     """
     judged = verdicts(anti_seen(posts, seen), rules)
-    accepted = judged.filter(F.col("reason") == ACCEPTED).drop("reason")
+    settling = judged.filter(F.col("reason").isin(*blocking_reasons(rules)))
     if event_time is None:
-        return accepted.dropDuplicates(["post_id"])
-    return accepted.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["post_id"])
+        once = settling.dropDuplicates(["post_id"])
+    else:
+        once = settling.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["post_id"])
+    return once.filter(F.col("reason") == ACCEPTED).drop("reason")
 
 
 def stream_upsert(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
