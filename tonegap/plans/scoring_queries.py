@@ -118,6 +118,22 @@ def score_polarity(spark, sf):
     return _polarity(I.captions(spark, sf)).select("post_id", I.rounded("p_neg"), I.rounded("p_pos"))
 
 
+@query(
+    f"""WITH z AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+    p AS (SELECT vec_id, 1 / (1 + exp(b - a)) AS first FROM z)
+    SELECT vec_id, {I.r6('CASE WHEN vec_id % 2 = 0 THEN 1 - first ELSE first END')} AS p_neg,
+      {I.r6('CASE WHEN vec_id % 2 = 0 THEN first ELSE 1 - first END')} AS p_pos FROM p"""
+)
+def score_polarity_logits(spark, sf):
+    """Two logits per row, in a model's own class order: happy before sad, or classes without meaning."""
+    named = F.create_map(F.lit(0), F.lit("HAPPY"), F.lit(1), F.lit("SAD"))
+    plain = F.create_map(F.lit(0), F.lit("LABEL_0"), F.lit(1), F.lit("LABEL_1"))
+    p = SC.polarity_from_logits(F.slice("embedding", 1, 2), F.when(F.col("vec_id") % 2 == 0, named).otherwise(plain))
+    return I.table(spark, sf, "embeddings").select("vec_id", p.alias("p")).select(
+        "vec_id", I.rounded(F.get("p", F.lit(0)), "p_neg"), I.rounded(F.get("p", F.lit(1)), "p_pos")
+    )
+
+
 @query(f"WITH {I.CAPTIONS} SELECT post_id, {SQL_KEYWORD_LABEL} AS label, 'weak_keywords' AS annotator FROM captions")
 def score_with_fallback(spark, sf):
     """No model can be loaded here, so keywords take over and the annotator says so."""
