@@ -4,7 +4,7 @@ Vectors get one more coordinate that brings them to the same length, so the larg
 the smallest distance. Centroids come from splitting a bounded sample in two until the lists are even.
 A graph that joins each centroid with its nearest ones is searched with a beam, for the vectors to be
 filed and for the queries. A vector near a boundary is filed in several lists: those whose centroid
-is hardly farther than the nearest and not closer to a list it is already in. A query reads the
+is hardly farther than the nearest one's and not next to a list it is already in. A query reads the
 lists whose centroid is within a ratio of its nearest one's distance.
 
 Equal vectors are one entry with as many of its smallest ids as an answer can show, and equal
@@ -27,8 +27,9 @@ from tonegap.llm.common import arrow_map, stored
 FIT_ENTRIES, LIST_SIZE, MOST_LISTS = 20_000, 64, 8192
 #: Edges of a centroid to its nearest ones, and to random ones.
 NEAR_EDGES, FAR_EDGES = 24, 4
-#: Beam width and lists of an entry; its distance ratio.
-FILE_BEAM, FILE_LISTS, FILE_RATIO = 24, 4, 1.12
+#: Beam width and lists of an entry, its distance ratio, and the share of an entry's squared distance to a list
+#: that this list must at least lie away from those it is in.
+FILE_BEAM, FILE_LISTS, FILE_RATIO, FILE_APART = 24, 3, 1.2, 0.1
 #: Beam width for queries (and so their lists at most) and their distance ratio.
 QUERY_BEAM, QUERY_RATIO = 192, 1.35
 #: Entries or queries in a block.
@@ -128,7 +129,7 @@ class Index:
             for c, far in zip(row, d):
                 if not np.isfinite(far) or far > FILE_RATIO * d[0] + 1e-12 or len(chosen) == FILE_LISTS:
                     break
-                if all(((self.centres[c] - self.centres[o]) ** 2).sum() >= far * far * 0.5 for o in chosen):
+                if all(((self.centres[c] - self.centres[o]) ** 2).sum() >= FILE_APART * far * far for o in chosen):
                     chosen.append(int(c))
             out.append(chosen)
         return out
