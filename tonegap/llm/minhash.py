@@ -358,9 +358,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
     links = links.union(stored(_verified(new, docs, nodes, words, percent), "confirmed"))
     comps = connected_components(links)
-    links = links.union(stored(_crossing_links(placed_by(comps), nodes, docs, words, percent), "confirmed"))
-    comps = connected_components(links)
-    placed = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    crossing = stored(_crossing_links(placed_by(comps), nodes, docs, words, percent), "confirmed")
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = (
+        crossing.join(of("a"), "a", "left")
+        .join(of("b"), "b", "left")
+        .select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+        .filter("a <> b")
+    )
+    above = connected_components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    placed = (
+        nodes.join(comps, "node", "left")
+        .select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+        .join(above, "comp", "left")
+        .select("node", "doc_id", F.coalesce("top", "comp").alias("comp"))
+    )
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     answer = stored(placed.join(least, "comp").select("node", "component_id"), "answer")
     out = sig.join(answer, "node", "left")
