@@ -54,6 +54,30 @@ def test_recall_on_the_table(spark):
     assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in want[i]}) / 20 for i in want]) >= 0.95
 
 
+def test_recall_with_more_lists_than_a_beam(spark, monkeypatch):
+    """Vectors without clusters in 1,250 lists: no fixed number of lists holds the neighbours."""
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 8)
+    x = np.random.default_rng(5).normal(size=(10_000, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = answers(neighbours.nearest(df, every=100))
+    scores = x[::100] @ x.T
+    scores[np.arange(100), np.arange(0, 10_000, 100)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([np.isin(w, [j for j, _ in got[100 * k]]).mean() for k, w in enumerate(want)]) >= 0.95
+
+
+def test_a_query_reads_all_lists_within_its_ratio():
+    """On 8,192 lists, queries that did not fit the ratio find their neighbours."""
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(8192, 16)), rng.normal(size=(200, 16))
+    index = neighbours.Index(x, np.zeros((8192, 0), int), float((x**2).sum(1).max()), 16)
+    index.centres = index.lifted(x)
+    held = [(i, [int(j)]) for i, row in enumerate(q @ x.T) for j in np.argsort(-row)[:20]]
+    ratio = index.ratio_for(q[:100], [h for h in held if h[0] < 100])
+    probed = index.probed(q, ratio)
+    assert np.mean([lists[0] in probed[i] for i, lists in held if i >= 100]) >= 0.95
+
+
 def test_lists_are_even():
     points = np.random.default_rng(1).normal(size=(3000, 6))
     centres = neighbours.split_evenly(points, 50)

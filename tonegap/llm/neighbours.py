@@ -2,10 +2,11 @@
 
 Vectors get one more coordinate that brings them to the same length, so the largest inner product is
 the smallest distance. Centroids come from splitting a bounded sample in two until the lists are even.
-A graph that joins each centroid with its nearest ones is searched with a beam, for the vectors to be
-filed and for the queries. A vector near a boundary is filed in several lists: those whose centroid
-is hardly farther than the nearest one's and not next to a list it is already in. A query reads the
-lists whose centroid is within a ratio of its nearest one's distance.
+A graph that joins each centroid with its nearest ones is searched with a beam for the vectors to be
+filed; queries are compared with all centroids. A vector near a boundary is filed in several lists: those whose centroid
+is hardly farther than the nearest one's and not next to a list it is already in. A query reads all
+lists whose centroid is within a ratio of the distance to its eighth nearest one, however many these are. The
+ratio is fitted on sampled queries, whose answers are known by brute force, so that they find their share.
 
 Equal vectors are one entry with as many of its smallest ids as an answer can show, and equal
 queries are searched once, so copies make no list longer. Lists and their queries are cut into
@@ -30,8 +31,9 @@ NEAR_EDGES, FAR_EDGES = 24, 4
 #: Beam width and lists of an entry, its distance ratio, and the share of an entry's squared distance to a list
 #: that this list must at least lie away from those it is in.
 FILE_BEAM, FILE_LISTS, FILE_RATIO, FILE_APART = 24, 3, 1.2, 0.1
-#: Beam width for queries (and so their lists at most) and their distance ratio.
-QUERY_BEAM, QUERY_RATIO = 192, 1.35
+#: The nearest centroid whose distance a query's ratio refers to, queries the ratio is fitted on, and the share of
+#: their neighbours that must be found.
+QUERY_RANK, FIT_QUERIES, FIT_RECALL = 8, 400, 0.98
 #: Entries or queries in a block.
 BLOCK = 512
 
@@ -134,11 +136,21 @@ class Index:
             out.append(chosen)
         return out
 
-    def probed(self, q: np.ndarray) -> list[list[int]]:
-        """The lists each query reads."""
-        ids, dist = self.search(self.levelled(q), QUERY_BEAM)
-        d = np.sqrt(dist)
-        return [row[far <= QUERY_RATIO * far[0] + 1e-12].tolist() for row, far in zip(ids, d)]
+    def ratios(self, q: np.ndarray) -> np.ndarray:
+        """Distance of each query to each centroid, over that to its ``QUERY_RANK``-th nearest."""
+        d = np.sqrt(squared(self.levelled(q), self.centres))
+        rank = min(QUERY_RANK, d.shape[1]) - 1
+        return d / np.maximum(np.partition(d, rank, axis=1)[:, rank, None], 1e-12)
+
+    def probed(self, q: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """The lists each query reads: all within the ratio."""
+        return [np.flatnonzero(near) for near in self.ratios(q) <= ratio + 1e-9]
+
+    def ratio_for(self, q: np.ndarray, held: list[tuple[int, list[int]]], recall: float = FIT_RECALL) -> float:
+        """The least ratio, from 1, that reads a list of ``recall`` of the neighbours, given as (query, its lists)."""
+        ratios = self.ratios(q)
+        wanted = [ratios[i, lists].min() for i, lists in held]
+        return max(1.0, float(np.quantile(wanted, recall, method="higher"))) if wanted else 1.0
 
 
 def build_index(sample: np.ndarray, entries: int, length2: float, seed: int = 6) -> Index:
@@ -191,6 +203,35 @@ def inner_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fitted_ratio(index: Index, tried: list, entries: DataFrame, filed: DataFrame, top: int) -> float:
+    """The ratio by which the queries (key, vec) of ``tried`` find their share of what brute force finds."""
+    if not tried:
+        return 1.0
+    keys, size = [r.key for r in tried], index.size
+    q = np.stack([np.frombuffer(r.vec, np.float64) for r in tried])
+
+    def make():
+        best = np.full((len(q), top + 1), -np.inf)  # of this task so far
+
+        def work(batch):
+            nonlocal best
+            scores = q @ np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(-1, size).T
+            best = np.sort(np.c_[best, scores], axis=1)[:, -top - 1 :]
+            i, j = np.nonzero(scores >= best[:, :1])
+            return {"i": pa.array(i), "key": batch.column("key").take(pa.array(j)), "score": pa.array(scores[i, j])}
+
+        return work
+
+    by_score = Window.partitionBy("i").orderBy(F.desc("score"), "key")
+    found = arrow_map(entries, ["key", "vec"], "i int, key long, score double", make)
+    found = found.withColumn("place", F.row_number().over(by_score)).filter(F.col("place") <= top + 1).select("i", "key")
+    held: dict[tuple[int, int], list[int]] = {}
+    for r in found.join(filed.select("key", "list"), "key").collect():
+        if r.key != keys[r.i]:
+            held.setdefault((r.i, r.key), []).append(r.list)
+    return index.ratio_for(q, [(i, lists) for (i, _), lists in held.items()])
+
+
 def nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest found for each id divisible by ``every``.
 
@@ -229,24 +270,26 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     fitted = build_index(np.stack([np.frombuffer(r.vec, np.float64) for r in sample]), whole[1], whole[0])
     shipped = spark.sparkContext.broadcast(fitted)  # at most MOST_LISTS centroids and their edges
 
-    def placed(df: DataFrame, query: bool) -> DataFrame:
+    def placed(df: DataFrame, name: str, ratio: float | None = None) -> DataFrame:
         def make():
             index = shipped.value
 
             def work(batch):
                 x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(-1, size)
-                lists = [c for i in range(0, len(x), 256) for c in (index.probed if query else index.filed)(x[i : i + 256])]
-                take = pa.array(np.repeat(np.arange(len(x)), [len(c) for c in lists]))
-                return {c: batch.column(c).take(take) for c in ("key", "vec")} | {"list": [c for own in lists for c in own]}
+                parts = [x[i : i + 256] for i in range(0, len(x), 256)]
+                lists = [c for part in parts for c in (index.filed(part) if ratio is None else index.probed(part, ratio))]
+                return {c: batch.column(c) for c in ("key", "vec")} | {"lists": lists}
 
             return work
 
-        return arrow_map(df, ["key", "vec"], "list int, key long, vec binary", make)
+        rows = stored(arrow_map(df, ["key", "vec"], "lists array<int>, key long, vec binary", make), name)
+        return rows.select(F.explode("lists").alias("list"), "key", "vec")
 
     asked = rows.filter(F.col("vec_id") % every == 0)
     queries = stored(asked.groupBy("vec").agg(F.min("vec_id").alias("key")), "queries")
-    filed = stored(placed(entries, False), "lists")
-    probed = stored(placed(queries, True), "probes")
+    filed = placed(entries, "lists")
+    tried = queries.orderBy(F.xxhash64("key", F.lit("tried")), "key").limit(FIT_QUERIES).collect()
+    probed = placed(queries, "probes", _fitted_ratio(fitted, tried, entries, filed, top))
 
     def scan():
         def unpack(block):
