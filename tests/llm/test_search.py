@@ -118,6 +118,33 @@ def test_leaks_are_those_of_brute_force(spark):
     assert {(d, k) for d, k in want if all(w in dict(docs)[d] for w in (" ".join(dict(items)[k]),))} <= got
 
 
+def test_edits_inside_items_are_found(spark):
+    """Substitutions, insertions and deletions inside items: the same as brute force, without an allowance."""
+    rng = random.Random(3)
+    vocab = [f"v{k}" for k in range(3000)]
+    items = [rng.choices(vocab, k=rng.choice([50, 75, 100, 150, 300])) for _ in range(40)] + [["so"] * 40 + rng.choices(vocab, k=20)]
+    docs, want = [], {}
+    for d in range(240):
+        k = rng.randrange(len(items))
+        leak = list(items[k])
+        for _ in range(rng.randrange(1, 2 + len(leak) // 40)):
+            at = rng.randrange(5, len(leak) - 5)
+            leak[at : at + d % 3 % 2 + (d % 3 == 0)] = [rng.choice(vocab)] * (d % 3 < 2)
+        leak = leak[rng.randrange(3) :]
+        doc = rng.choices(vocab, k=rng.randrange(40)) + leak + rng.choices(vocab, k=rng.randrange(40))
+        docs.append((d, " ".join(doc)))
+        own, best = shingles(items[k]), (0.0, 0)
+        for at in range(-len(items[k]) // 4, len(doc)):
+            a = shingles(doc[max(0, at) : max(0, at + len(items[k]))])
+            both = sum((a & own).values())
+            best = max(best, (both / (a.total() + own.total() - both), -max(0, at)))
+        if best[0] >= 0.8:
+            want[d, k] = -best[1], best[0]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.first_word, r.similarity) for r in found.collect()} == want
+    assert len(want) > 100
+
+
 def test_messy_leaks(spark, messy, nothing):
     items = spark.createDataFrame([(1, "Quick BROWN fox, jumps over the lazy dog"), (1, "Quick BROWN fox, jumps over the lazy dog"), (2, None), (3, ""), (None, "the quick"), (4, "word " * 50)], "item_id long, text string")
     rows = decontamination.contaminated(messy, items).collect()

@@ -1,13 +1,11 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, weighted-shingle check.
-
-Items fall into classes by their number of words. A class has one window, a step shorter than its
-shortest item, and documents are read in windows of that size at every step; an item is known by all its windows
-at every offset. So whatever item stands in a document, one of the document's windows is
-exactly one of the item's. Windows are compared by 64-bit SimHash over their pairs of neighbouring words.
-Four blocks of 16 bits, each also with any one bit changed, find all fingerprints within a distance
-of seven: seven changes leave some block with at most one. Every hit is then verified: the document's
-stretch that the offset gives, as long as the item, must reach the threshold of the Jaccard similarity of
-shingles weighted by their counts.
+"""Benchmark decontamination: shared shingles find the stretches, weighted Jaccard of the shingles decides.
+
+A stretch of a document that is as long as an item reaches a similarity only if it shares at least that part of the
+item's shingles. All shingles of the items are indexed, so the places of a document where an item's shingles lie
+this close together are all that can reach the threshold: nothing is missed, whatever was changed, put in or left
+out. At each of them the Jaccard similarity of shingles weighted by their counts is computed, exactly, by sliding.
+
+``ItemIndex`` compares windows by SimHash within a radius, which misses stretches; ``contaminated`` doesn't use it.
 """
 
 from __future__ import annotations
@@ -126,28 +124,91 @@ class ItemIndex:
         close = np.flatnonzero(np.bitwise_count(prints[w] ^ self.prints[k]) <= RADIUS)
         return w[close], k[close]
 
-    def finder(self, words: int, percent: int):
-        """Function of a text: (item, first word, similarity) of each item found, best place each."""
-        memo = token_hashes()
 
-        def find(text: str | None) -> list[tuple[int, int, float]]:
+class ShingleIndex:
+    """Items (id, words) and their distinct shingles, sorted by hash, with their items.
+
+    An item with fewer than ``words`` words is one shingle, so there is a table for each width that occurs.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], words: int, percent: int) -> None:
+        memo = token_hashes()
+        self.percent = percent
+        self.items: list[tuple[int, int, Counter]] = []
+        by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for name, text in items:
             own = hashed_words(text, memo)
-            sums, best = pair_sums(own), {}
-            prints = [fingerprints(sums, len(own), *shape) for shape in self.shapes]
-            sizes = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-            if not len(sizes):
-                return []
-            starts = np.concatenate([np.arange(len(p)) * step for p, (_, step) in zip(prints, self.shapes)])
-            windows, found = self.near(np.concatenate(prints), sizes)
-            places = {(int(self.owner[k]), int(starts[w] - self.offsets[k])) for w, k in zip(windows, found)}
-            for item, first in sorted(places):
-                name, wanted = self.items[item]
-                score = similarity(own[max(0, first) : max(0, first + len(wanted))], wanted, words)
-                if 100 * score >= percent and (name not in best or score > best[name][1]):
-                    best[name] = max(0, first), score
-            return [(name, first, score) for name, (first, score) in sorted(best.items())]
-
-        return find
+            if len(own):
+                shingles = sequence_hashes(own, words)
+                by_width.setdefault(min(words, len(own)), []).append((np.unique(shingles), len(self.items)))
+                self.items.append((name, len(shingles), Counter(shingles.tolist())))
+        self.tables = []
+        for width, rows in sorted(by_width.items()):
+            values, owner = np.concatenate([v for v, _ in rows]), np.repeat([k for _, k in rows], [len(v) for v, _ in rows])
+            order = np.argsort(values, kind="stable")
+            self.tables.append((width, values[order], owner[order]))
+
+    def starts(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Starts of stretches of ``size`` shingles that hold enough of the positions ``at``, in order."""
+        need = max(1, -(-self.percent * size // 100))
+        if len(at) < need:
+            return at[:0]
+        # a stretch with enough positions has its first at[k] and at least at[k + need - 1]
+        first, last = at[: len(at) - need + 1], at[need - 1 :]
+        fit = last - first < size
+        low, high = last[fit] - size + 1, first[fit]
+        if not len(low):
+            return at[:0]
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        many = np.maximum(high - low + 1, 0)
+        return np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+    def find(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(item, first word, similarity) of each item found, best place each."""
+        own = hashed_words(text, token_hashes())
+        best: dict[int, tuple[float, int]] = {}
+        for width, values, owner in self.tables:
+            if len(own) < width:
+                continue
+            shingles = sequence_hashes(own, width)
+            begin = np.searchsorted(values, shingles)
+            hit = np.flatnonzero(values[np.minimum(begin, len(values) - 1)] == shingles)
+            if not len(hit):
+                continue
+            begin = begin[hit]
+            many = np.searchsorted(values, shingles[hit], "right") - begin
+            at = np.repeat(hit, many)
+            item = owner[np.arange(len(at)) + np.repeat(begin - np.cumsum(many) + many, many)]
+            order = np.argsort(item, kind="stable")
+            item, at = item[order], at[order]
+            for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(item)) + 1):
+                name, size, wanted = self.items[item[group[0]]]
+                for first, score in slid(shingles, size, wanted, self.starts(at[group], size)):
+                    place = score, -max(0, first)
+                    if 100 * score >= self.percent and (name not in best or place > best[name]):
+                        best[name] = place
+        return [(name, -first, score) for name, (score, first) in sorted(best.items())]
+
+
+def slid(shingles: np.ndarray, size: int, wanted: Counter, starts: np.ndarray):
+    """(start, similarity) of the stretches of ``size`` shingles, which end at the text's ends, that begin at ``starts``."""
+    have: Counter = Counter()
+    least, low, high = 0, 0, 0
+    for start in starts.tolist():
+        begin, end = max(0, start), min(len(shingles), start + size)
+        if begin >= high:
+            have.clear()
+            least, low, high = 0, begin, begin
+        for v in shingles[high:end].tolist():
+            if v in wanted:
+                have[v] += 1
+                least += have[v] <= wanted[v]
+        for v in shingles[low:begin].tolist():
+            if v in wanted:
+                least -= have[v] <= wanted[v]
+                have[v] -= 1
+        low, high = begin, end
+        yield start, least / (size + end - begin - least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -174,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent:
         shipped = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in rows))
 
         def make():
-            find = ItemIndex(shipped.value).finder(words, percent)
+            find = ShingleIndex(shipped.value, words, percent).find
 
             def work(batch):
                 out: dict[str, list] = {"doc_id": [], "item_id": [], "first_word": [], "similarity": []}
