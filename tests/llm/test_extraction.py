@@ -38,6 +38,18 @@ def test_other_layouts():
     assert extraction.main_text("<table><tr><td>a<td>b<tr><td>c</table>", None) == "a\nb\nc"
 
 
+def test_parts_around_the_longest_container():
+    page = "<html><body><div class=links><a href=1>One place</a> <a href=2>Other place</a></div><div class=content><h1>T</h1><p>lead</p><div class=body><p>{}</p></div><div class=more><p>{}</p></div></div></body></html>"
+    long, more = "long text " * 30, "more text " * 9
+    whole = "\n".join(("T", "lead", long.strip(), more.strip()))
+    path, _ = extraction.best_path(page.format(long, more))
+    assert path == "html/body/div.content"
+    assert extraction.main_text(page.format(long, more), path) == extraction.main_text(page.format(long, more), None) == whole
+    assert extraction.main_text(page.format("short", more * 5), "html/body/div.content/div.body").startswith("T\nlead\nshort\nmore")
+    listed = "<body><div class=wrap><div class=list><a href=1>A linked line of text</a></div><div class=body><p>The text</p></div></div></body>"
+    assert extraction.main_text(listed, None) == "The text"
+
+
 @pytest.mark.parametrize(("source", "text"), [(None, ""), ("", ""), ("<", "<"), ("a<b>c", "ac"), ("<p>x</p", "x"), ("</p></p>", ""), ("<script>alert", ""), ("&am &amp; &#65;", "&am & A"), ("<!-- x", ""), ("<a " * 2000, ""), ("<div>" * 20_000 + "x", "x"), ("<p>" + "y " * 50_000, ("y " * 50_000).strip())])
 def test_broken_pages(source, text):
     assert extraction.main_text(source, None) == text

@@ -4,7 +4,7 @@ A first pass scores each page's containers by the text of their blocks, less wha
 names the best one by its generalised path: the tags from the root on, with their classes, digits
 made equal. In Spark every page votes for its path and each host's most voted path wins. A second pass
 extracts again, now from the elements on the host's path; a page that has none, or no text there,
-keeps its own best container.
+keeps its own best container, and so does one whose own container encloses these elements and has twice their text.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ class Page:
     def best(self) -> tuple[int, float] | None:
         """The container with the most text in its blocks, with half the weight each level up, and its score.
 
-        An article or main element around it takes its place.
+        An article or main element around it takes its place, else the widest element around it, below the body,
+        each level of which adds text that is not mostly links.
         """
         scores: dict[int, float] = {}
         for text, at, linked in self.blocks:
@@ -117,7 +118,31 @@ class Page:
         while top >= 0:
             found[self.elements[top].tag] = top
             top = self.elements[top].parent
-        return found.get("article", found.get("main", at)), scores[at]
+        return found.get("article", found.get("main", self.widened(at))), scores[at]
+
+    def widened(self, at: int) -> int:
+        weights, counts = [0] * len(self.elements), [0] * len(self.elements)
+        for text, i, linked in self.blocks:
+            weights[i] += len(text) - 2 * linked
+            counts[i] += 1
+        for i in range(len(self.elements) - 1, 0, -1):  # parents come first
+            weights[self.elements[i].parent] += weights[i]
+            counts[self.elements[i].parent] += counts[i]
+        wide, up = at, self.elements[at].parent
+        while up >= 0 and self.elements[up].tag not in ("body", "html", "#root"):
+            if counts[up] > counts[wide]:
+                if weights[up] <= weights[wide]:
+                    break
+                wide = up
+            up = self.elements[up].parent
+        return wide
+
+    def encloses(self, top: int, others: list[int]) -> bool:
+        inside = [False] * len(self.elements)
+        inside[top] = True
+        for i in range(top + 1, len(self.elements)):
+            inside[i] = inside[self.elements[i].parent]
+        return all(inside[i] for i in others)
 
     def text(self, tops: list[int]) -> str:
         inside = [False] * len(self.elements)
@@ -237,11 +262,20 @@ def best_path(source: str | None) -> tuple[str | None, float]:
 
 
 def main_text(source: str | None, path: str | None) -> str:
-    """Text of the elements on ``path``, else of the page's own best container."""
+    """Text of the elements on ``path``, else of the page's own best container.
+
+    The latter also if it encloses these elements and has at least twice their text.
+    """
     page = parse(source)
-    text = "" if path is None else page.text(page.on_path(path))
-    if not text and (best := page.best()) is not None:
-        text = page.text([best[0]])
+    tops = [] if path is None else page.on_path(path)
+    text = page.text(tops)
+    best = page.best()
+    if best is None or tops == [best[0]]:
+        return text
+    if not text or page.encloses(best[0], tops):
+        own = page.text([best[0]])
+        if len(own) >= 2 * len(text):
+            return own
     return text
 
 
