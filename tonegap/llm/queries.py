@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonegap.llm import archives, bpe, decontamination, extraction, language, minhash, neighbours, quality, toxicity, url_rules
+from tonegap.llm import archives, bpe, decontamination, extraction, language, minhash, mixing, neighbours, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -120,3 +120,34 @@ def op2_warc_members(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT
+               / 4503599627370496::DOUBLE AS draw
+      FROM documents),
+    t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    w AS (
+      SELECT *, 2 * source_size AS cap,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+      FROM t),
+    f AS (
+      SELECT *, row_number() OVER filling AS place,
+             1.5::DOUBLE * (SELECT sum(source_size) FROM t)::DOUBLE - (sum(cap) OVER filling - cap)::DOUBLE AS rest,
+             (SELECT sum(weight) FROM w)::DOUBLE - (sum(weight) OVER filling - weight)::DOUBLE AS weights
+      FROM w WINDOW filling AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT arg_min(rest, place) AS rest, arg_min(weights, place) AS weights FROM f WHERE weight * rest / weights <= cap),
+    s AS (SELECT source, source_size, least(cap::DOUBLE, weight * rest / weights) AS target
+          FROM w, l)
+    SELECT doc_id, size, source_size, target,
+           CASE WHEN source_size = 0 THEN 0
+                ELSE size * (floor(target / source_size)
+                     + (draw < target / source_size - floor(target / source_size))::INT) END::BIGINT AS taken
+    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+    """
+)
+def op11_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_plan(read_table(spark, sf, "documents")).drop("copies")
