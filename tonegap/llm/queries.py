@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonegap.llm import archives, bpe, decontamination, extraction, language, minhash, mixing, neighbours, quality, toxicity, url_rules
+from tonegap.llm import alignment, archives, bpe, decontamination, extraction, hard_negatives, language, minhash, mixing, neighbours, quality, toxicity, url_rules
 from tonegap.llm.common import read_table
 from tonegap.plans.registry import Build, Query
 
@@ -62,10 +63,10 @@ def op7_url_rules(spark: SparkSession, sf: str) -> DataFrame:
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @query()
@@ -151,3 +152,38 @@ def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op11_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf, "documents")).drop("copies")
+
+
+@query(
+    """
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score
+      FROM e AS a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id),
+    p AS (
+      SELECT anchor_id, id AS positive_id, score AS positive_score
+      FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id,
+           (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INT AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+    """
+)
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
+@query()
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    paths = [tokenizer_path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.alignment_counts(read_table(spark, sf, "documents"), *paths)
