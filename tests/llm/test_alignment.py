@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -99,16 +100,16 @@ def test_is_brute_force_on_documents(spark, sides):
 def test_remembered_windows_are_bounded(sides, monkeypatch):
     own = alignment.Aligner(alignment.load_side(A), alignment.load_side(B))
     texts = [f"word{k} again{k} the" for k in range(300)]
-    want = [[own[w] for w in windows] for windows in own.documents(texts)]
+    want = [[own[w] for w in windows] for *_, windows in own.documents(texts)]
     monkeypatch.setattr(alignment, "MEMO_BYTES", 3000)
     small = alignment.Aligner(own.a, own.b)
     got = []
-    for windows in small.documents(texts):
+    for *_, windows in small.documents(texts):
         got.append([small[w] for w in windows])
         assert small.bytes <= 3000 and len(small) <= 6
     assert got == want
-    long = next(small.documents(["y" * 5000]))
-    assert len(long) == 1 and small[long[0]].links and long[0] not in small
+    *_, long = next(small.documents(["y" * 5000]))
+    assert len(long) == 1 and small[long[0]][2] and long[0] not in small
 
 
 def test_the_alignment_itself(spark, sides):
@@ -134,3 +135,15 @@ def test_odd_rows(messy, nothing):
     long = next(r for r in rows if r.doc_id == 6)
     assert long.n_a > 40_000 and long.n_groups > 40_000
     assert alignment.alignment_counts(nothing, A, B).collect() == []
+
+
+def test_both_ways_of_encoding_are_one(sides):
+    """Each plain character in different surroundings, and random strings of them."""
+    side, rng = alignment.load_side(A), random.Random(6)
+    chars = [chr(c) for c in range(0x250)]
+    texts = [t for c in chars for t in (f"a{c}b", f" {c} 1{c}", f"{c}{c}x", f"1{c}2 {c}'s", f"\n{c} \n")]
+    texts += ["".join(rng.choice(chars) for _ in range(rng.choice([3, 30, 300]))) for _ in range(2000)]
+    texts += ["".join(rng.choice("etaoin shrdlu'sIT \n") for _ in range(200)) for _ in range(500)] + ["z" * 30_000, " " * 30_000 + "a"]
+    assert all(len(t) <= alignment.PLAIN_CHARS and alignment._PLAIN.fullmatch(t) for t in texts)
+    assert side.encode(texts) == [e.ids for e in sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert side.encode(["日本", "a", "é 日"]) == [sides[0].encode(" " + t, add_special_tokens=False).ids for t in ("日本", "a", "é 日")]
