@@ -98,18 +98,23 @@ def test_is_brute_force_on_documents(spark, sides):
 
 
 def test_remembered_windows_are_bounded(sides, monkeypatch):
+    monkeypatch.setattr(alignment, "CALL_CHARS", 100)
     own = alignment.Aligner(alignment.load_side(A), alignment.load_side(B))
-    texts = [f"word{k} again{k} the" for k in range(300)]
-    want = [[own[w] for w in windows] for *_, windows in own.documents(texts)]
+    texts = [f"word{k} again{k} the word{k} again{k}" for k in range(300)] + ["y" * 5000 + " " + "y" * 5000, None, ""]
+    want = list(own.documents(texts))
+    assert len(want) == len(texts) and all(len(key) <= 4 * alignment.MEMO_TOKENS for key in own.memo)
     monkeypatch.setattr(alignment, "MEMO_BYTES", 3000)
     small = alignment.Aligner(own.a, own.b)
     got = []
-    for *_, windows in small.documents(texts):
-        got.append([small[w] for w in windows])
-        assert small.bytes <= 3000 and len(small) <= 6
-    assert got == want
-    *_, long = next(small.documents(["y" * 5000]))
-    assert len(long) == 1 and small[long[0]][2] and long[0] not in small
+    for found in small.documents(texts):
+        got.append(found)
+        assert small.bytes <= 3000 and len(small.memo) <= 9
+    assert got == want and len(want[300][2]) == 2
+    calls = []
+    real = alignment.Aligner.align
+    monkeypatch.setattr(alignment.Aligner, "align", lambda self, windows: calls.append(len(windows)) or real(self, windows))
+    assert list(own.documents(texts[:300])) == want[:300]
+    assert sum(calls) < 300  # few but the first of each text were new
 
 
 def test_the_alignment_itself(spark, sides):
@@ -145,5 +150,5 @@ def test_both_ways_of_encoding_are_one(sides):
     texts += ["".join(rng.choice(chars) for _ in range(rng.choice([3, 30, 300]))) for _ in range(2000)]
     texts += ["".join(rng.choice("etaoin shrdlu'sIT \n") for _ in range(200)) for _ in range(500)] + ["z" * 30_000, " " * 30_000 + "a"]
     assert all(len(t) <= alignment.PLAIN_CHARS and alignment._PLAIN.fullmatch(t) for t in texts)
-    assert side.encode(texts) == [e.ids for e in sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
-    assert side.encode(["日本", "a", "é 日"]) == [sides[0].encode(" " + t, add_special_tokens=False).ids for t in ("日本", "a", "é 日")]
+    assert [list(x) for x in side.encode(texts)] == [e.ids for e in sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert [list(x) for x in side.encode(["日本", "a", "é 日"])] == [sides[0].encode(" " + t, add_special_tokens=False).ids for t in ("日本", "a", "é 日")]

@@ -17,7 +17,7 @@ import hashlib
 import json
 import os
 import re
-from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tonegap.llm.common import arrow_map, stored
 
-#: Characters encoded in one call, bytes of remembered windows, and tokens of the longest window that is remembered.
-CALL_CHARS, MEMO_BYTES, MEMO_TOKENS = 200_000, 32 << 20, 64
+#: Characters encoded and aligned in one call, bytes of remembered windows, and tokens of the longest window that is remembered.
+CALL_CHARS, MEMO_BYTES, MEMO_TOKENS = 500_000, 32 << 20, 64
 #: Pairs in the broadcast table (17 bytes each).
 HOT_PAIRS = 1 << 18
 #: The mark that stands for a space in pieces.
@@ -39,7 +39,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Texts in which both libraries split alike: every one of these characters was compared (see the tests).
 _PLAIN, PLAIN_CHARS = re.compile("[\x00-\u024f]*"), 1_000_000
 #: Between the ids of both sides in a window's key; no id.
-_BAR = b"\xff\xff\xff\xff"
+_BAR = 0xFFFFFFFF
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,7 +65,7 @@ def load_side(path: str) -> Side:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         pieces = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
-        return Side(lambda texts: model.encode(texts, num_threads=1), pieces)
+        return Side(lambda texts: [model.EncodeAsIds(t) for t in texts], pieces)
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -120,85 +120,111 @@ def _ranked(path: str, pieces: list[bytes]) -> Callable[[str], list[int]] | None
 Aligned = tuple[bytes, int, bytes]
 
 
-class Aligner(dict):
-    """Alignments of windows by their packed ids, of at most ``MEMO_BYTES``, and the cutting of documents into windows."""
+class Aligner:
+    """The cutting of documents into windows, and their alignments, remembered by packed ids in at most ``MEMO_BYTES``."""
 
     def __init__(self, a: Side, b: Side) -> None:
-        self.a, self.b, self.bytes = a, b, 0
+        self.a, self.b, self.memo, self.bytes = a, b, {}, 0
         self.sizes = [np.array([len(p) for p in s.pieces]) for s in (a, b)]
         self.spaced = [np.array([p[:1] == b" " for p in s.pieces]) for s in (a, b)]
-        self.lengths = [size.tolist() for size in self.sizes]
-        self.names = [list(map(str, range(len(s.pieces)))) for s in (a, b)]
-
-    def __missing__(self, window: bytes) -> Aligned:
-        found = self.aligned(*self.ids(window))
-        tokens = len(window) // 4
-        if tokens <= MEMO_TOKENS:
-            size = 300 + 50 * tokens + len(found[0])
-            self.bytes += size
-            if self.bytes > MEMO_BYTES:
-                self.clear()
-                self.bytes = size
-            self[window] = found
-        return found
-
-    @staticmethod
-    def ids(window: bytes) -> tuple[list[int], list[int]]:
-        """The ids of both sides that a window's key packs."""
-        both = memoryview(window).cast("I").tolist()
-        at = both.index(0xFFFFFFFF)
-        return both[:at], both[at + 1 :]
-
-    def aligned(self, a: list[int], b: list[int]) -> Aligned:
-        """Walk through both sides in step: tokens that share bytes are linked, a common end closes a group."""
-        (len_a, len_b), (name_a, name_b) = self.lengths, self.names
-        links, groups = [], []
-        i = j = 0
-        end_a, end_b, own_a, own_b = len_a[a[0]], len_b[b[0]], name_a[a[0]], name_b[b[0]]
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += len_a[a[i]]
-                own_a += "," + name_a[a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += len_b[b[j]]
-                own_b += "," + name_b[b[j]]
-            else:
-                groups.append(own_a + "|" + own_b)
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return ";".join(groups).encode(), len(groups), array("q", links).tobytes()
-                end_a, end_b, own_a, own_b = end_a + len_a[a[i]], end_b + len_b[b[j]], name_a[a[i]], name_b[b[j]]
+        self.letters = [np.frombuffer(b"".join(s.pieces), np.uint8) for s in (a, b)]
+        self.starts = [np.cumsum(size) - size for size in self.sizes]
+        #: How an id is written before the next one of its group, and as the last of its side; first those of a, then of b.
+        self.written = [b"%d%s" % (i, end) for s, last in ((a, b"|"), (b, b";")) for i in range(len(s.pieces)) for end in (b",", last)]
 
     def windows(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, list[bytes]]:
-        """(tokens of a, tokens of b, keys of the windows); no tokens if their bytes are not those of the text."""
-        raw = b" " + text.encode()
-        if any(b"".join(map(s.pieces.__getitem__, ids)) != raw for s, ids in ((self.a, a), (self.b, b))):
+        """(tokens of a, tokens of b, keys of the windows); no tokens if their bytes are not those of the text.
+
+        A key is the window's ids of a, a bar, and its ids of b.
+        """
+        raw = np.frombuffer(b" " + text.encode(), np.uint8)
+        a, b = np.asarray(a, "<u4"), np.asarray(b, "<u4")
+        end_a, end_b = (self.ends(side, ids, raw) for side, ids in enumerate((a, b)))
+        if end_a is None or end_b is None:
             return 0, 0, []
-        ends, starts, packed = [], [], []
-        for ids, size, spaced in zip((a, b), self.sizes, self.spaced):
-            ids = np.array(ids, "<u4")
-            end = np.cumsum(size[ids])
-            ends.append(end)
-            starts.append(end[:-1][spaced[ids[1:]]])
-            packed.append(ids.tobytes())
-        cuts = np.intersect1d(*starts, assume_unique=True)
-        at_a, at_b = ([0, *((np.searchsorted(end, cuts) + 1) * 4).tolist(), 4 * len(end)] for end in ends)
-        a_raw, b_raw = packed
-        return len(a), len(b), [a_raw[i:j] + _BAR + b_raw[k:m] for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes]]]:
-        """Tokens and windows of each text, in order; a call of the tokenizers gets a bounded number of characters."""
+        start_a, start_b = (end[:-1][spaced[ids[1:]]] for end, ids, spaced in zip((end_a, end_b), (a, b), self.spaced))
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[start_a] = True
+        cuts = start_b[begins[start_b]]  # both sides end here, and go on with a space
+        at_a, at_b = (np.concatenate([[0], np.searchsorted(end, cuts) + 1, [len(end)]]) for end in (end_a, end_b))
+        n = np.arange(len(at_a))
+        of_a, of_b = np.repeat(n[:-1], np.diff(at_a)), np.repeat(n[:-1], np.diff(at_b))
+        packed = np.full(len(a) + len(b) + len(n) - 1, _BAR, "<u4")
+        packed[np.arange(len(a)) + of_a + at_b[of_a]] = a
+        packed[np.arange(len(b)) + of_b + 1 + at_a[of_b + 1]] = b
+        keys, edges = packed.tobytes(), ((at_a + at_b + n) * 4).tolist()
+        return len(a), len(b), [keys[i:j] for i, j in zip(edges, edges[1:])]
+
+    def ends(self, side: int, ids: np.ndarray, raw: np.ndarray) -> np.ndarray | None:
+        """Where the tokens of one side end; None if their bytes are not ``raw``."""
+        size = self.sizes[side][ids]
+        end = np.cumsum(size)
+        if not len(ids) or end[-1] != len(raw):
+            return None
+        place = np.arange(len(raw)) + np.repeat(self.starts[side][ids] - end + size, size)
+        return end if (self.letters[side][place] == raw).all() else None
+
+    def align(self, windows: list[bytes]) -> list[Aligned]:
+        """The alignments of windows, all at once: written one after the other they are one text, in which all windows end together.
+
+        Every byte where a token of either side ends closes a link, every byte where tokens of both end a group.
+        """
+        if not windows:
+            return []
+        ids, sizes = np.frombuffer(b"".join(windows), "<u4"), np.array(list(map(len, windows))) // 4
+        window, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(ids))
+        bar = np.flatnonzero(ids == _BAR)
+        first, second = place < bar[window], place > bar[window]
+        a, b, of_a = ids[first].astype(np.int64), ids[second].astype(np.int64), window[first]
+        end_a, end_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        of_side = np.zeros((2, end_a[-1] + 1), bool)
+        of_side[0, end_a] = of_side[1, end_b] = True
+        ends, shared = np.flatnonzero(of_side[0] | of_side[1]), np.flatnonzero(of_side[0] & of_side[1])
+        by_a = np.searchsorted(end_a, ends)
+        links = (a[by_a] << 32 | b[np.searchsorted(end_b, ends)]).tobytes()
+        link_edges = (np.searchsorted(of_a[by_a], np.arange(len(sizes) + 1)) * 8).tolist()
+        group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+        until_a, until_b = np.searchsorted(end_a, shared) + 1, np.searchsorted(end_b, shared) + 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.concatenate([[0], until_b[:-1]])[group_a]] = 2 * a + (end_a == shared[group_a])
+        codes[np.arange(len(b)) + until_a[group_b]] = 2 * (len(self.a.pieces) + b) + (end_b == shared[group_b])
+        parts = list(map(self.written.__getitem__, codes.tolist()))
+        groups = np.bincount(of_a[until_a - 1], minlength=len(sizes)).tolist()
+        edges = np.concatenate([[0], np.cumsum(sizes - 1)]).tolist()
+        return [
+            (b"".join(parts[i:j])[:-1], n, links[k:m])
+            for i, j, n, k, m in zip(edges, edges[1:], groups, link_edges, link_edges[1:])
+        ]
+
+    def known(self, keys: list[bytes]) -> dict[bytes, Aligned]:
+        """The alignments of all keys, remembered or new; new ones that came more than once are remembered, if short."""
+        times, memo = Counter(keys), self.memo
+        new = [k for k in times if k not in memo]
+        found = {k: memo[k] for k in times if k in memo}
+        fresh = self.align(new)
+        for key, value in zip(new, fresh):
+            if times[key] > 1 and len(key) <= 4 * MEMO_TOKENS:
+                size = 300 + 2 * len(key) + len(value[0]) + len(value[2])
+                if self.bytes + size > MEMO_BYTES:
+                    memo.clear()
+                    self.bytes = 0
+                self.bytes += size
+                memo[key] = value
+        found.update(zip(new, fresh))
+        return found
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[Aligned]]]:
+        """Tokens and aligned windows of each text, in order; tokenizers and alignment get a bounded number of characters at once."""
         part: list[str] = []
         size = 0
 
         def done():
             some = [t for t in part if t]
             coded = iter(zip(self.a.encode(some), self.b.encode(some)))
-            for t in part:
-                yield self.windows(t, *next(coded)) if t else (0, 0, [])
+            cut = [self.windows(t, *next(coded)) if t else (0, 0, []) for t in part]
+            known = self.known([k for *_, keys in cut for k in keys])
+            for n_a, n_b, keys in cut:
+                yield n_a, n_b, list(map(known.__getitem__, keys))
 
         for text in texts:
             part.append(text or "")
@@ -235,9 +261,9 @@ def align_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             out = []
             for _, _, windows in own.documents(batch.column("text").to_pylist()):
                 groups, at = [], 0
-                for group in b";".join([own[w][0] for w in windows]).split(b";") if windows else []:
+                for group in b";".join([text for text, _, _ in windows]).split(b";") if windows else []:
                     a, b = ([int(i) for i in side.split(b",")] for side in group.split(b"|"))
-                    end = at + sum(own.lengths[0][i] for i in a)
+                    end = at + sum(len(own.a.pieces[i]) for i in a)
                     groups.append({"start": at, "end": end, "a": a, "b": b})
                     at = end
                 out.append(groups)
@@ -260,8 +286,7 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
         def work(batch):
             numbers, digests, sizes, pairs, counts = [], [], [0], [], []
-            for n_a, n_b, windows in own.documents(batch.column("text").to_pylist()):
-                found = [own[w] for w in windows]
+            for n_a, n_b, found in own.documents(batch.column("text").to_pylist()):
                 links = np.frombuffer(b"".join([own_links for _, _, own_links in found]), np.int64)
                 met, times = np.unique(links, return_counts=True)
                 numbers.append((n_a, n_b, sum([n for _, n, _ in found]), len(links)))
