@@ -76,3 +76,19 @@ def test_rows(spark, messy, nothing):
         want.append((r.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(map(tuple, done), key=str) == sorted(want, key=str)
     assert bpe.encode_texts(nothing, tokenizer_path()).count() == 0
+
+
+def test_every_piece_takes_the_transducer_and_streams_are_apart(own, monkeypatch):
+    """A stream left half-read changes no other."""
+    encoder, _, _, library = own
+    half = encoder.merges.stream(iter("the" * 2000))
+    next(half)
+    rng = random.Random(4)
+    for _ in range(50):
+        check(own, "".join(rng.choice("etaoinsrhl") for _ in range(400)))
+    calls = []
+    real = bpe.MergeList.stream
+    monkeypatch.setattr(bpe.MergeList, "stream", lambda self, symbols: calls.append(1) or real(self, symbols))
+    fresh = bpe.Encoder(json.load(open(tokenizer_path())))
+    fresh.encode("one two, three")
+    assert len(calls) == 4

@@ -67,3 +67,15 @@ def test_windows_cover_the_text():
     pieces = toxicity.windows(text)
     assert sum(len(p) // 2 for p in pieces) == len(raw) - 1
     assert toxicity.windows("") == toxicity.windows(None)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    """Long texts are used in pieces, and texts that can't be used take nobody's place."""
+    english, german = "the cat sat on the mat and looked at the dog ", "der hund lief durch den wald und sah die katze nicht "
+    rows = [(k, english * 3, "en") for k in range(0, 120, 3)] + [(k, german * 500, "de") for k in range(1, 120, 3)]
+    rows += [(k, None, "fr") for k in range(2, 120, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert set(model.languages) == {"de", "en"}
+    found = {r.doc_id: r.lang_pred for r in language.identify_language(docs, model).collect()}
+    assert all(found[k] == {"en": "en", "de": "de", "fr": "und"}[lang] for k, _, lang in rows)

@@ -79,6 +79,7 @@ class MergeList:
         """Tokens of a stream of symbols, each as soon as nothing that follows can change it."""
         last: dict[int, tuple[str, int]] = {}  # position -> (token that ends there, where it starts)
         recent: list[str] = []
+        tail: str | None = None  # the last token before the open stretch
         done = at = 0
         for symbol in symbols:
             at += 1
@@ -90,7 +91,7 @@ class MergeList:
                 if token not in self.vocab or not self.valid[token]:
                     continue
                 if start == done or start in last and self.fits[last[start][0], token]:
-                    if start == done and self._tail is not None and not self.fits[self._tail, token]:
+                    if start == done and tail is not None and not self.fits[tail, token]:
                         continue
                     last[at] = token, start
                     break
@@ -98,17 +99,13 @@ class MergeList:
                 for token in self._stable(last, done, at):
                     yield token
                     done += len(self.symbols(token))
-                    self._tail = token
+                    tail = token
                 last = {p: x for p, x in last.items() if p > done and x[1] >= done}
         rest = []
         while at > done:
             token, at = last[at]
             rest.append(token)
         yield from reversed(rest)
-        self._tail = None
-
-    #: Last token that was emitted before the open stretch.
-    _tail: str | None = None
 
     def _stable(self, last: dict, done: int, at: int) -> list[str]:
         """Tokens from ``done`` on that the chains of all heads share."""
@@ -150,9 +147,7 @@ class Encoder:
         for piece in self.pieces.findall(word):
             symbols = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             symbols[-1] += WORD_END
-            short = len(symbols) <= self.merges.lookahead  # its end is in sight: nothing to hold back
-            tokens = self.merges.encode_whole(symbols) if short else self.merges.stream(symbols)
-            out += [self.vocab[t] for t in tokens]
+            out += [self.vocab[t] for t in self.merges.stream(symbols)]
         return struct.pack(f"<{len(out)}I", *out)
 
     def plain(self, text: str) -> bytes:

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,8 +17,8 @@ from tonegap.session import scratch_path
 
 #: Rows per Arrow batch, so that a batch of long texts stays far below a worker's memory.
 BATCH_ROWS = 1000
-#: Words a worker remembers before it starts afresh.
-MEMO_WORDS = 500_000
+#: Bytes a memo may hold before it starts afresh, what an entry takes besides its letters, and the longest key it keeps.
+MEMO_BYTES, ENTRY_BYTES, MEMO_KEY = 16 << 20, 180, 256
 
 U64 = np.uint64
 _M1, _M2, _M3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
@@ -65,11 +66,16 @@ def with_scores(docs: DataFrame, make: Callable[[], Callable[[str | None], float
 
     def batches():
         score = make()
-        return lambda batch: {"row": batch.column("row"), "score": [score(t) for t in batch.column("text").to_pylist()]}
 
-    source = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+        def work(batch):
+            texts = pc.struct_field(batch.column("row"), "text").cast(pa.string())
+            return {"row": batch.column("row"), "score": [score(t.as_py()) for t in texts]}
+
+        return work
+
+    source = docs.select(F.struct(*docs.columns).alias("row"))
     schema = T.StructType([source.schema["row"], T.StructField("score", T.DoubleType())])
-    return arrow_map(source, ["row", "text"], schema, batches)
+    return arrow_map(source, ["row"], schema, batches)
 
 
 def predictions(scored: DataFrame, threshold: float) -> DataFrame:
@@ -103,37 +109,44 @@ def labelled_sample(
 ) -> tuple[list[tuple[int, str, str]], dict[str, int]]:
     """At most ``per_label`` (doc_id, text, label) per label, and how often each label occurs.
 
-    Ids are picked in hash order from ``known`` (doc_id, label), then their texts are fetched with a
-    broadcast of these ids, whose number is bounded by ``per_label`` and the labels. Texts are whole; a text that is longer than ``max_chars``,
-    null or missing is not used for fitting. Nothing but a fit uses the sample.
+    Ids are picked in hash order among those of ``known`` (doc_id, label) that have a text, for all labels in one job; their texts are
+    fetched with a broadcast of these ids, whose number is bounded by ``per_label`` and the labels. Of a text
+    longer than ``max_chars`` one piece of that length is used, picked by the hash of its id; null and missing texts are never picked. Nothing but
+    a fit uses the sample.
     """
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    picked = []
-    for label in sorted(counts):
-        own = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        picked += [(r.doc_id, label) for r in own.collect()]
-    if not picked:
+    if not counts:
         return [], counts
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    usable = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = usable.withColumn("place", place).filter(F.col("place") <= per_label).select("doc_id", "label").collect()
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, label string")
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .filter(F.length("text") <= max_chars)
-        .join(F.broadcast(ids), "doc_id")
-        .collect()
-    )
+    pieces = F.ceil(F.length("text") / max_chars)
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(pieces, F.lit(1))) * max_chars + 1
+    piece = F.substr("text", start.cast("int"), F.lit(max_chars))
+    rows = texts.select("doc_id", piece.alias("text")).join(F.broadcast(ids), "doc_id").collect()
     return sorted({(r.doc_id, r.text, r.label) for r in rows}), counts
 
 
+def _letters(x: object) -> int:
+    return len(x) if isinstance(x, str | bytes) else 0
+
+
 class Memo(dict):
-    """A dict that computes missing values and forgets everything when it gets large."""
+    """A dict that computes missing values, keeps those of short keys, and forgets everything when it gets large."""
 
-    def __init__(self, compute: Callable, most: int = MEMO_WORDS) -> None:
-        self.compute, self.most = compute, most
+    def __init__(self, compute: Callable) -> None:
+        self.compute, self.bytes = compute, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= MEMO_KEY:
+            self.bytes += ENTRY_BYTES + _letters(key) + _letters(value)
+            if self.bytes > MEMO_BYTES:
+                self.clear()
+                self.bytes = ENTRY_BYTES + _letters(key) + _letters(value)
+            self[key] = value
         return value
 
 
@@ -148,8 +161,9 @@ _KEPT: dict[str, Memo] = {}
 
 
 def kept(name: str, compute: Callable) -> Memo:
-    """A memo that a worker process keeps for all its tasks; ``compute`` must depend on its argument only."""
+    """A memo that a worker process keeps until it needs one of another name; ``compute`` must depend on its argument only."""
     if name not in _KEPT:
+        _KEPT.clear()
         _KEPT[name] = Memo(compute)
     return _KEPT[name]
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegap.llm.common import MEMO_WORDS, fit_labels, labelled_sample, predictions, with_scores
+from tonegap.llm.common import fit_labels, labelled_sample, predictions, with_scores
 
 #: Documents per label and characters per document that the fit may use.
 FIT_PER_LABEL, FIT_MAX_CHARS = 1500, 20_000
@@ -26,6 +26,8 @@ WORD_ROWS, GRAM_ROWS, GRAMS, SIZE = 1 << 15, 1 << 15, (3, 4), 12
 EPOCHS, RATE = 6, 2.0
 #: Word that stands for a repetition (no word holds white space), and how often it then counts.
 AGAIN, AGAIN_TIMES = zlib.crc32(b" again") % WORD_ROWS, 8
+#: Words whose vectors a task remembers from one document to the next.
+KEPT_WORDS = 1 << 16
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -79,9 +81,11 @@ class Model:
             return at
 
         def probabilities(text: str | None) -> np.ndarray:
+            nonlocal table
             words = split_words(text)
-            if len(place) > MEMO_WORDS:
+            if len(place) > KEPT_WORDS:
                 place.clear()
+                table = np.zeros((1024, SIZE + 1), np.float32)
             at = np.fromiter((place[w] if w in place else row_of(w) for w in words), np.int64, len(words))
             total = table[at].sum(0, dtype=np.float64)
             again = AGAIN_TIMES * int((at[1:] == at[:-1]).sum())
