@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
-from tonegap.operators.keyed import anti_seen, upsert
+from tonegap.operators.keyed import anti_seen
 from tonegap.operators.scoring import read_stage
+from tonegap.sources.store import BUCKETS, KeyedStore
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> int:
@@ -55,35 +56,22 @@ def vector_row(available: list[str]) -> list[Column]:
     return [F.col(c) for c in K.VECTOR_ROW_FIELDS]
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions below ``path``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    complete = [s.getPath() for s in fs.listStatus(root) if fs.exists(s.getPath().suffix("/_SUCCESS"))]
-    return sorted(int(p.getName().split("-")[1]) for p in complete if p.getName().startswith("v-"))
-
-
 def fetch_vectors(spark: SparkSession, path: str) -> DataFrame | None:
-    """All rows of the newest complete version, None before the first upsert."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v-{versions[-1]:08d}") if versions else None
+    """All rows of the newest version, None before the first upsert."""
+    return KeyedStore(spark, path).read()
 
 
-def upsert_vectors(batch: DataFrame, path: str) -> DataFrame:
-    """Replace or add rows by id in a new version folder.
+def upsert_vectors(
+    batch: DataFrame, path: str, *, writer: str | None = None, number: int = 0, buckets: int = BUCKETS
+) -> DataFrame:
+    """Replace or add rows by id; only the files of the batch's own buckets are added to.
 
-    Readers keep the version they started with; a failed write leaves no complete version
-    behind. On a table format with row-level updates this is a MERGE.
+    Readers keep the version they started with; a failed write shows nowhere. A ``writer`` that numbers its
+    batches may send one again without effect.
     """
     spark = batch.sparkSession
-    rows = batch.select(*vector_row(batch.columns))
-    merged = upsert(fetch_vectors(spark, path), rows)
-    number = (_versions(spark, path) or [0])[-1] + 1
-    merged.write.mode("overwrite").parquet(f"{path}/v-{number:08d}")
-    return spark.read.parquet(f"{path}/v-{number:08d}")
+    store = KeyedStore(spark, path, "post_id", buckets)
+    return store.read(store.upsert(batch.select(*vector_row(batch.columns)), writer, number))
 
 
 def write_metric_table(table: DataFrame, footer: DataFrame, path: str) -> None:

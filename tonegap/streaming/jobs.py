@@ -1,4 +1,4 @@
-"""Arriving files as micro-batches: admission, upserts, predictions, running counts."""
+"""Arriving files as micro-batches: upserts, predictions, running counts (admission has a module of its own)."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
 
 from tonegap import constants as K
-from tonegap.operators.gates import ACCEPTED, GateRules, blocking_reasons, verdicts
-from tonegap.operators.keyed import anti_seen
 from tonegap.operators.predict import predict_table
 from tonegap.sources.tables import upsert_vectors
 
@@ -22,37 +20,12 @@ def file_stream(
     return spark.readStream.schema(schema).options(**options).format(fmt).load(folder)
 
 
-def stream_ingest(
-    posts: DataFrame,
-    rules: GateRules,
-    seen: DataFrame,
-    *,
-    event_time: str | None = None,
-    lateness: str = "1 day",
-) -> DataFrame:
-    """Accepted posts of a stream, each id once, by the rules of the batch gate.
-
-    The content verdicts are stateless and come first. What settles an id (acceptance, a missing
-    face, spam where the rules say so) enters the state, so a later row can't undo it; rows with other
-    verdicts leave no trace. Rows of one id that arrive in the same micro-batch have no order. With
-    an event time column the state is bounded by a watermark; without one it holds every
-    settled id, the price of exact deduplication over an endless stream.
-    """
-    judged = verdicts(anti_seen(posts, seen), rules)
-    settling = judged.filter(F.col("reason").isin(*blocking_reasons(rules)))
-    if event_time is None:
-        once = settling.dropDuplicates(["post_id"])
-    else:
-        once = settling.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["post_id"])
-    return once.filter(F.col("reason") == ACCEPTED).drop("reason")
-
-
 def stream_upsert(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is upserted into the vector table."""
+    """Each micro-batch is upserted into the vector table, once: the table remembers the number of the stream's last one."""
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            upsert_vectors(batch, path)
+            upsert_vectors(batch, path, writer=checkpoint, number=number)
 
     return _start(rows, checkpoint, lambda writer: writer.foreachBatch(apply))
 
