@@ -156,3 +156,68 @@ def test_both_classifiers_are_saved(folded, tmp_path):
 def test_nothing_to_learn_from(folded):
     with pytest.raises(ValueError, match="no usable record"):
         learning.select_and_fit(folded.limit(0))
+
+
+def test_shared_fits_are_those_of_one_model(folded):
+    """All folds and subsets in one fit, against a separate optimiser for each."""
+    sets = [learning.ablation_columns(s) for s in learning.feature_subsets()]
+    fits = learning.fit_folds(folded, sets)
+    assert all(f.converged for f in fits)
+    for fit, fold in ((fits[0], 1), (fits[-1], 4)):
+        one = learning.fit_logreg(folded.filter(F.col("fold") != fold), fit.features)
+        assert np.abs(np.array(fit.coefficients[fold])[:, :-1] - one.weights).max() < 1e-4
+        offsets = np.array(fit.coefficients[fold])[:, -1]
+        assert np.abs((offsets - offsets.mean()) - (one.offsets - one.offsets.mean())).max() < 1e-3
+
+
+def test_shared_binary_fits(folded):
+    rows = learning.binary_folds(folded.drop("fold"))
+    fit = learning.fit_folds(rows, [K.DISCREPANCY_SIGNALS], "y")[0]
+    one = learning.fit_logreg(rows.filter("fold <> 2"), K.DISCREPANCY_SIGNALS, "y")
+    assert len(fit.coefficients[2]) == 1
+    assert np.abs(np.array(fit.coefficients[2][0]) - [*one.weights[0], *one.offsets]).max() < 1e-4
+
+
+def test_an_ablation_takes_few_jobs(spark, folded):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ablation", "counted")
+    try:
+        assert learning.ablation(folded).count() == 7
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("ablation")) <= 30
+
+
+def test_masses_tell_a_fit_from_one_of_shuffled_labels(folded):
+    rows = folded.count()
+    fits = learning.fit_folds(folded, [K.FEATURE_NAMES])
+    held = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    for r in learning.training_masses(fits, folded).collect():
+        assert r["mass"] == pytest.approx((rows - held[r["fold"]]) / 5, abs=1e-6)
+    names = F.array(*[F.lit(x) for x in K.LABELS])
+    mixed = folded.withColumn("label", F.get(names, F.pmod(F.xxhash64("post_id"), F.lit(5)).cast("int")))
+    wrong = learning.training_masses(learning.fit_folds(mixed, [K.FEATURE_NAMES]), folded).collect()
+    assert max(abs(r["mass"] - (rows - held[r["fold"]]) / 5) for r in wrong) > 0.01
+
+
+def test_a_class_that_a_fold_never_saw(folded):
+    """The only fold with a class is left out: that model gives it nothing."""
+    rows = folded.filter("label <> 'neutral' OR fold = 1")
+    fit = learning.fit_folds(rows, [K.FEATURE_NAMES])[0]
+    assert fit.coefficients[1][fit.classes.index("neutral")] is None
+    scored = learning.with_probabilities([fit], rows).select("fold", F.col("_p0").alias("p"))
+    at = fit.classes.index("neutral")
+    assert all(r["p"][at] == 0.0 for r in scored.filter("fold = 1").collect())
+    assert all(sum(r["p"]) == pytest.approx(1.0) for r in scored.collect())
+
+
+def test_svm_slopes(folded):
+    pack = learning.fit_linear_svc_calibrated(folded)
+    assert pack.converged and min(pack.steps) > 1
+    rows = learning.svc_slopes(pack, folded).collect()
+    assert len(rows) == 15 and all(r["margin_slope"] < 1e-6 and r["calibration_slope"] < 1e-6 for r in rows)
+    off = [[([x + 0.1 for x in w], a, b) for w, a, b in m] for m in pack.members]
+    moved = learning.svc_slopes(learning.CalibratedSvcPack(off, pack.classes, pack.features), folded).collect()
+    assert min(r["margin_slope"] for r in moved) > 1e-3
+    plan = learning.with_proba(pack, folded)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan

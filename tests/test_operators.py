@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -333,3 +334,148 @@ def test_prune_and_paths(spark):
     paths = frame(spark, [("w\\x\\a.jpg",), ("",), ("/images/b.jpg",)], "image_path string")
     moved = {r["image_path"]: r["changed"] for r in curate.rewrite_media_paths(paths, "/images").collect()}
     assert moved == {"/images/a.jpg": True, "": False, "/images/b.jpg": False}
+
+
+# --- exact selection, arrays of tokens, agreement in blocks ------------------
+
+
+def test_dense_bins_are_split(spark, monkeypatch):
+    """Values that one bin of the first histogram holds, far ones, and many copies, against sorting."""
+    monkeypatch.setattr(timings, "SMALL", 16)
+    rng = random.Random(5)
+    dense = [1.0 + rng.random() * 1e-9 for _ in range(3000)]
+    sets = {
+        "dense": dense,
+        "far": [10.0 ** rng.uniform(-300, 300) for _ in range(500)],
+        "copies": [2.5] * 900 + [2.5000001] * 50,
+        "signs": [rng.choice([-1, 1]) * rng.random() for _ in range(700)] + [float("inf"), float("-inf")],
+        "one": [7.0],
+    }
+    rows = [(k, v) for k, own in sets.items() for v in own] + [("one", None), ("one", float("nan")), ("none", None)]
+    ranks = {"lo": F.lit(1), "mid": F.floor((F.col("n") + 1) / 2), "high": F.col("n"), "no": F.col("n") + 1}
+    df = frame(spark, rows, "stage string, x double").repartition(5)
+    got = {r["stage"]: r for r in timings.values_at_ranks(df, "stage", "x", ranks).collect()}
+    assert set(got) == set(sets)
+    for k, own in sets.items():
+        own = sorted(own)
+        assert (got[k]["n"], got[k]["lo"], got[k]["mid"], got[k]["high"], got[k]["no"]) == (len(own), own[0], own[(len(own) + 1) // 2 - 1], own[-1], None)
+
+
+def exchanges(df) -> int:
+    return len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_a_heatmap_takes_one_exchange(spark):
+    rng = random.Random(2)
+    words = ["[CLS]", "a", "##b", "▁c", "!", "▁", "[SEP]", "…"]
+    rows = [(f"p{k}", i, rng.choice(words), float(rng.randrange(9))) for k in range(30) for i in range(rng.randrange(1, 12))]
+    df = frame(spark, rows, "post_id string, pos long, token string, score double")
+    heat = tokens.word_heatmap(df, remap=True)
+    assert exchanges(heat) == 1
+    shown = tokens.merge_tokens(tokens.strip_anchors(tokens.rtl_remap(df)))
+    want = tokens.minmax_normalize(shown).select("post_id", "start", "text", "score", "normalized")
+    assert sorted(map(tuple, heat.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_merging_is_a_loop_over_pieces(spark):
+    """Islands by a plain loop, for random posts."""
+    rng = random.Random(9)
+    words = ["a", "##b", "!", "▁c", "▁", "##", "?!"]
+    posts = {f"p{k}": [rng.choice(words) for _ in range(rng.randrange(1, 15))] for k in range(60)}
+    rows = [(k, i, w, float(i % 5)) for k, own in posts.items() for i, w in enumerate(own)]
+    got: dict = {}
+    for r in tokens.merge_tokens(frame(spark, rows, "post_id string, pos long, token string, score double")).orderBy("post_id", "start").collect():
+        got.setdefault(r["post_id"], []).append((r["start"], r["text"], r["score"]))
+    for k, own in posts.items():
+        out = []
+        for i, w in enumerate(own):
+            piece = (w[1:] or " ") if w.startswith("▁") else w[2:] if w.startswith("##") else w
+            if not piece.strip():
+                continue
+            glued = w.startswith("##") or not piece.strip("!.,;:?؟،٪٫…")
+            if glued and out:
+                out[-1] = (out[-1][0], out[-1][1] + piece, max(out[-1][2], float(i % 5)))
+            else:
+                out.append((i, piece, float(i % 5)))
+        assert got.get(k, []) == out
+
+
+def test_a_long_rollout(spark):
+    """Twelve layers of 197 tokens: one exchange, no row per product."""
+    n, layers = 197, 12
+    cells = spark.range(layers * n * n).select(
+        F.lit("p").alias("post_id"),
+        F.floor(F.col("id") / (n * n)).cast("int").alias("layer"),
+        F.lit(0).alias("head"),
+        F.floor(F.col("id") % (n * n) / n).cast("int").alias("i"),
+        (F.col("id") % n).cast("int").alias("j"),
+        ((F.col("id") * 37 % 101) / 101.0).alias("w"),
+    )
+    out = attention.rollout(cells, layers, residual=True)
+    assert exchanges(out) == 1
+    got = np.zeros((n, n))
+    for r in out.collect():
+        got[r["i"], r["j"]] = r["w"]
+    raw = (np.arange(layers * n * n) * 37 % 101 / 101.0).reshape(layers, n, n)
+    want = np.eye(n)
+    for m in raw:
+        m = m + np.eye(n)
+        want = (m / m.sum(1, keepdims=True)) @ want
+    assert np.allclose(got, want)
+
+
+@pytest.mark.parametrize("part_rows", [4, 64, 4096])
+def test_label_pairs_against_rows_per_post(spark, part_rows, monkeypatch):
+    monkeypatch.setattr(annotation, "AT_ONCE", 50)
+    rng = random.Random(part_rows)
+    rows = {(f"u{rng.randrange(25)}", f"p{rng.randrange(12)}") for _ in range(220)} | {(f"u{k}", "hot") for k in range(25)}
+    latest = frame(spark, [(a, p, rng.choice(K.LABELS)) for a, p in sorted(rows)], "annotator_id string, post_id string, label string")
+    got = sorted(map(tuple, annotation.label_pairs(latest, part_rows).collect()))
+    keys = ["annotator_a", "annotator_b", "label_a", "label_b"]
+    want = annotation.annotator_pairs(latest).groupBy(*keys).agg(F.count("*").alias("n"))
+    assert got == sorted(map(tuple, want.select(*keys, "n").collect()))
+    assert annotation.label_pairs(latest.limit(0), part_rows).collect() == []
+
+
+def test_the_agreement_report_is_a_file(spark, tmp_path):
+    rows = [("p", "positive", "b", 1), ("p", "positive", "a", 2), ("q", "negative", "a", 3), ("q", "neutral", "b", 4), ("q", "negative", None, 5)]
+    log = frame(spark, rows, "post_id string, label string, annotator_id string, ord long")
+    annotation.write_agreement_report(log, str(tmp_path / "report"))
+    text = [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert text == [
+        "# Inter-Annotator Agreement",
+        "",
+        "## Per-pair Cohen's kappa",
+        "",
+        "| Annotator A | Annotator B | Overlap | Kappa |",
+        "| --- | --- | --- | --- |",
+        "| _unknown_ | a | 1 | 0.0000 |",
+        "| _unknown_ | b | 1 | 0.0000 |",
+        "| a | b | 2 | 0.3333 |",
+        "",
+        "## Per-annotator counts",
+        "",
+        "| Annotator | Labeled posts |",
+        "| --- | --- |",
+        "| _unknown_ | 1 |",
+        "| a | 2 |",
+        "| b | 2 |",
+    ]
+    annotation.write_agreement_report(log.filter("annotator_id = 'a'"), str(tmp_path / "alone"))
+    assert K.REPORT_NO_PAIRS in [r["value"] for r in spark.read.text(str(tmp_path / "alone")).collect()]
+
+
+def test_terms_are_found_by_their_rarest_gram(spark):
+    rng = random.Random(4)
+    tags = sorted({"".join(rng.choice("abcAB") for _ in range(rng.randrange(1, 9))) for _ in range(300)})
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(40)})
+    specs = frame(spark, [(k, t, True) for k, t in enumerate(terms)], "ord long, term string, search boolean")
+    catalogue = frame(spark, list(enumerate(tags)), "ord long, tag string")
+    out = curate.expand_terms(specs, catalogue)
+    want, seen = [], set()
+    for k, term in enumerate(terms):
+        for tag in [t for t in tags if term in t.lower()] or [term]:
+            if tag.lower() not in seen:
+                seen.add(tag.lower())
+                want.append((k, tag))
+    assert sorted((r["ord"], r["tag"]) for r in out.collect()) == sorted(want)

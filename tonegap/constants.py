@@ -130,6 +130,12 @@ WEAK_MODEL_ANNOTATOR = "weak_parsbert"
 WEAK_SARCASM_ANNOTATOR = "weak-sarcasm-bootstrap"
 UNKNOWN_ANNOTATOR = "_unknown_"
 
+# --- agreement report (fixed values) ----------------------------------------
+REPORT_TITLE = ("# Inter-Annotator Agreement", "", "## Per-pair Cohen's kappa", "")
+REPORT_NO_PAIRS = "_No overlapping samples between annotators yet._"
+REPORT_PAIRS_HEAD = ("| Annotator A | Annotator B | Overlap | Kappa |", "| --- | --- | --- | --- |")
+REPORT_COUNTS_HEAD = ("", "## Per-annotator counts", "", "| Annotator | Labeled posts |", "| --- | --- |")
+
 # --- page and link patterns (fixed values) ----------------------------------
 SHORTCODE_PATTERN = r"(?:instagram\.com/(?:p|reel|tv)/|/p/)([A-Za-z0-9_-]{5,})"
 BARE_SHORTCODE_PATTERN = r"^[A-Za-z0-9_-]{5,}$"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
 from tonegap.operators.keyed import last_wins
+from tonegap.session import cut_lineage
 
 
 def majority_label(log: DataFrame, ord_col: str = "ord") -> DataFrame:
@@ -104,8 +108,85 @@ def annotator_pairs(latest: DataFrame, part_size: int = 512) -> DataFrame:
     )
 
 
+#: Rows of a part of a block of posts, and pairs counted at once inside a task.
+PART_ROWS, AT_ONCE = 4096, 4_000_000
+
+
+def _met(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in left, place in right) of all rows with equal values, both sorted, some posts at a time."""
+    posts = np.intersect1d(left, right)
+    starts = [np.searchsorted(side, posts) for side in (left, right)]
+    sizes = [np.searchsorted(side, posts, "right") - start for side, start in zip((left, right), starts)]
+    pairs = sizes[0] * sizes[1]
+    at = 0
+    while at < len(posts):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(pairs[at:]), AT_ONCE, "right")) + at)
+        n = pairs[at:end]
+        post = np.repeat(np.arange(at, end), n)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield starts[0][post] + k // sizes[1][post], starts[1][post] + k % sizes[1][post]
+        at = end
+
+
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of annotators and labels of one part of a block, or between two, with the posts they share."""
+    columns = {c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True) for c in ("annotator_id", "post_id", "label")}
+    (names, who), (_, post), (labels, label) = columns.values()
+    own = table.column("_own").to_numpy()
+    first, second = table.column("_first")[0].as_py(), table.column("_second")[0].as_py()
+    sides = []
+    for part in (first, second):
+        rows = np.flatnonzero(own == part)
+        sides.append(rows[np.argsort(post[rows], kind="stable")])
+    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in _met(post[sides[0]], post[sides[1]]):
+        i, j = sides[0][i], sides[1][j]
+        keep = who[i] < who[j] if first == second else who[i] != who[j]
+        i, j = i[keep], j[keep]
+        i, j = np.where(who[i] < who[j], i, j), np.where(who[i] < who[j], j, i)
+        code, n = np.unique(((who[i] * len(names) + who[j]) * len(labels) + label[i]) * len(labels) + label[j], return_counts=True)
+        codes.append(code)
+        counts.append(n)
+    code, back = np.unique(np.concatenate(codes), return_inverse=True)
+    n = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
+    code, label_b = np.divmod(code, len(labels))
+    code, label_a = np.divmod(code, len(labels))
+    a, b = np.divmod(code, len(names))
+    texts = [names[a], names[b], labels[label_a], labels[label_b]]
+    return pa.table([*[pa.array(t, pa.string()) for t in texts], pa.array(n)], ["annotator_a", "annotator_b", "label_a", "label_b", "n"])
+
+
+def label_pairs(latest: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(annotator_a, annotator_b, label_a, label_b, n): how many posts both labelled so (a < b).
+
+    Posts are dealt into blocks and pairs are counted inside a block, so what is exchanged is one row per block and pair, however many posts
+    they share. A block with more than ``part_rows`` rows, as a post with very many annotators makes it, is cut by annotator, and each
+    two of its parts are a task of their own. ``latest`` is read twice: give a stored frame.
+    """
+    blocks = max(int(latest.sparkSession.conf.get("spark.sql.shuffle.partitions")), latest.count() // part_rows)
+    rows = latest.select("annotator_id", "post_id", "label", F.pmod(F.xxhash64("post_id"), F.lit(blocks)).alias("_block"))
+    large = (
+        rows.groupBy("_block")
+        .agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
+        .filter("_parts > 1")
+    )
+    cut = rows.join(large, "_block", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("annotator_id", F.lit("part")), F.col("_parts")).cast("int").alias("_own")
+    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")
+    dealt = cut.select("annotator_id", "post_id", "label", "_block", own, other).select(
+        "*", F.least("_own", "_other").alias("_first"), F.greatest("_own", "_other").alias("_second")
+    )
+    counted = dealt.groupBy("_block", "_first", "_second").applyInArrow(
+        _count_pairs, "annotator_a string, annotator_b string, label_a string, label_b string, n long"
+    )
+    keys = ["annotator_a", "annotator_b", "label_a", "label_b"]
+    return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def pair_overlap(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("annotator_a", "annotator_b").agg(F.count("*").alias("overlap"))
+    """Shared posts per pair, of rows per post or of counts ``n``."""
+    size = F.sum("n") if "n" in pairs.columns else F.count("*")
+    return pairs.groupBy("annotator_a", "annotator_b").agg(size.alias("overlap"))
 
 
 def cohens_kappa(
@@ -139,13 +220,43 @@ def cohens_kappa(
 
 
 def agreement_report(log: DataFrame, ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """Pair table and per-annotator counts; the pair table is empty without overlap."""
-    latest = latest_annotation(log, ord_col)
-    kappas = cohens_kappa(annotator_pairs(latest))
-    return (
-        kappas.orderBy("annotator_a", "annotator_b"),
-        annotator_counts(latest).orderBy("annotator_id"),
+    """Pair table and per-annotator counts, in no order; the pair table is empty without overlap.
+
+    The log is read once: its latest annotations are stored, and so are the kappas, small beside it.
+    """
+    latest = cut_lineage(latest_annotation(log, ord_col))
+    return cut_lineage(cohens_kappa(label_pairs(latest))), annotator_counts(latest)
+
+
+def report_lines(kappas: DataFrame, counts: DataFrame) -> DataFrame:
+    """(section, a, b, line) of the report on both tables; its order is that of the first three."""
+
+    def fixed(section: int, lines: Column) -> DataFrame:
+        placed = kappas.sparkSession.range(1).select(F.posexplode(lines).alias("at", "line"))
+        return placed.select(F.lit(section).alias("section"), F.format_string("%04d", "at").alias("a"), F.lit("").alias("b"), "line")
+
+    text = lambda lines: F.array(*[F.lit(x) for x in lines])
+    met = kappas.agg(F.count("*")).scalar() > 0
+    head = F.when(met, text((*K.REPORT_TITLE, *K.REPORT_PAIRS_HEAD))).otherwise(text((*K.REPORT_TITLE, K.REPORT_NO_PAIRS)))
+    pairs = kappas.select(
+        F.lit(1).alias("section"),
+        F.col("annotator_a").alias("a"),
+        F.col("annotator_b").alias("b"),
+        F.format_string("| %s | %s | %d | %.4f |", "annotator_a", "annotator_b", "overlap", "kappa").alias("line"),
+    )
+    people = counts.select(
+        F.lit(3).alias("section"),
+        F.col("annotator_id").alias("a"),
+        F.lit("").alias("b"),
+        F.format_string("| %s | %d |", "annotator_id", "n_posts").alias("line"),
     )
+    return fixed(0, head).unionByName(pairs).unionByName(fixed(2, text(K.REPORT_COUNTS_HEAD))).unionByName(people)
+
+
+def write_agreement_report(log: DataFrame, path: str, ord_col: str = "ord") -> None:
+    """The report on a log as lines of text, sorted only here; several files in order if it is long."""
+    lines = report_lines(*agreement_report(log, ord_col))
+    lines.orderBy("section", "a", "b").select("line").write.mode("overwrite").text(path)
 
 
 def pending_for_annotator(pool: DataFrame, log: DataFrame, annotator: str) -> DataFrame:

@@ -5,6 +5,8 @@ Matrices are dense: every (i, j) of a post's sequence is present in every layer.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +61,38 @@ def _prepared(attention: DataFrame, fusion: str, residual: bool) -> DataFrame:
     return add_residual(fused) if residual else fused
 
 
+def _product(layers: int):
+    """The matrices of one post multiplied, last layer leftmost."""
+
+    def work(table: pa.Table) -> pa.Table:
+        layer, i, j, w = (table.column(c).to_numpy() for c in ("layer", "i", "j", "w"))
+        size = int(max(i.max(), j.max())) + 1
+        result = None
+        for n in range(layers):
+            own = layer == n
+            matrix = np.zeros((size, size))
+            matrix[i[own], j[own]] = w[own]
+            result = matrix if result is None else matrix @ result
+        ids = pa.repeat(table.column("post_id")[0].cast(pa.string()), size * size)
+        places = np.divmod(np.arange(size * size, dtype=np.int32), np.int32(size))
+        return pa.table([ids, *map(pa.array, places), pa.array(result.ravel())], ["post_id", "i", "j", "w"])
+
+    return work
+
+
 def rollout(
     attention: DataFrame, layers: int, *, fusion: str = "mean", residual: bool = True
 ) -> DataFrame:
     """Product of all layers, last layer leftmost: ``(post_id, i, j, w)``.
 
-    Keys (post, k) hold one matrix column and one matrix row, so a post's work is spread over
-    its sequence. The plan is cut by a reliable checkpoint every few layers.
+    The table is dealt out by post once, and heads, residuals and the product all work on that; no row stands for a product
+    of two entries. A task holds the matrices of one post, as the model did that made them.
     """
-    matrices = _prepared(attention, fusion, residual)
-    result = _layer(matrices, _layers(layers)[0])
-    for layer in range(1, layers):
-        result = _multiply(_layer(matrices, layer), result)
-        if layer % CHECKPOINT_EVERY == 0 and layer + 1 < layers:
-            result = cut_lineage(result)
-    return result
+    used = attention.filter(F.col("layer") < _layers(layers).stop).withColumn("post_id", F.col("post_id").cast("string"))
+    matrices = _prepared(used.repartition("post_id"), fusion, residual)
+    return matrices.select("post_id", "layer", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "w").groupBy("post_id").applyInArrow(
+        _product(layers), "post_id string, i int, j int, w double"
+    )
 
 
 def cls_scores(matrix: DataFrame, cls_index: int = 0, seq_len: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tonegap import constants as K
 from tonegap.functions.text import min_text_len, strip_ws
 from tonegap.operators.keyed import anti_seen, first_wins, top_n_per_group
+from tonegap.session import cut_lineage
 
 
 def union_sources(feeds: list[DataFrame], ord_col: str = "ord") -> DataFrame:
@@ -130,37 +131,55 @@ def usable_records(records: DataFrame, media: DataFrame) -> DataFrame:
     return records.join(media.select(F.col("path").alias("image_path")), "image_path", "left_semi")
 
 
+#: Letters of the grams that tags are indexed by, and parts into which the tags of one gram are dealt.
+GRAM, SALTS = 3, 16
+
+
+def grams(text: Column, n: Column | int) -> Column:
+    """The distinct runs of ``n`` letters; none of a shorter text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    places = F.sequence(F.lit(1), F.length(text) - n + 1)
+    runs = F.array_distinct(F.transform(places, lambda i: F.substr(text, i, n)))
+    return F.when(F.length(text) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def expand_terms(
-    specs: DataFrame, catalogue: DataFrame, max_tags: int | None = None
+    specs: DataFrame, catalogue: DataFrame, max_tags: int | None = None, salts: int = SALTS
 ) -> DataFrame:
     """Concrete tags for term specs ``(ord, term, search)`` from ``catalogue (ord, tag)``.
 
     A search term becomes every tag that contains it, or the first ``max_tags`` of them if a caller asks for that.
 
-    "Contains" becomes an equi-join: each tag is cut into its substrings of exactly the
-    lengths that occur among the search terms. That stays linear in the catalogue, where a
-    nested loop would compare every term with every tag.
+    Tags are indexed by their grams of three letters (of one or two, if there are terms that short), as far as a term has the gram. Each
+    term looks up its rarest gram only and what it finds is verified. A tag has about as many grams as letters, whatever
+    the terms. Tags of one gram are dealt out over ``salts`` keys and the terms, few, are repeated for each, so a gram that many
+    tags hold is no single key. The tags are stored once: counting grams and looking them up are two reads.
     """
     term = F.lower(strip_ws(F.regexp_replace("term", "^#+", "")))
     searches = specs.filter("search").withColumn("_needle", term).filter(F.col("_needle") != "")
-    tags = first_wins(catalogue, ["tag"]).select(
-        F.col("ord").alias("tag_ord"), "tag", F.lower("tag").alias("_low")
+    tags = cut_lineage(
+        first_wins(catalogue, ["tag"]).select(F.col("ord").alias("tag_ord"), "tag", F.lower("tag").alias("_low"))
     )
-    lengths = searches.agg(F.collect_set(F.length("_needle"))).scalar()
-    fitting = F.filter("_lengths", lambda n: n <= F.length("_low"))
-    pieces = F.flatten(
-        F.transform(
-            fitting,
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("_low") - n + 1),
-                lambda i: F.substring(F.col("_low"), i, n),
-            ),
-        )
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    needles = searches.select("_needle", size.alias("_n")).distinct()
+    asked = needles.select("_needle", F.explode(grams(F.col("_needle"), F.col("_n"))).alias("_gram"))
+    used = needles.agg(F.collect_set("_n")).scalar()  # at most GRAM numbers
+    indexed = F.flatten(
+        F.array(*[F.when(F.array_contains(used, n), grams(F.col("_low"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
     )
-    cut = tags.withColumn("_lengths", lengths).select(
-        "tag", "tag_ord", F.explode(F.array_distinct(pieces)).alias("_needle")
+    salt = F.pmod(F.xxhash64("tag"), F.lit(salts)).cast("int").alias("_salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    postings = tags.select("tag", "tag_ord", "_low", salt, F.explode(indexed).alias("_gram"))
+    counted = postings.join(asked.select("_gram", every).distinct(), ["_gram", "_salt"], "left_semi").groupBy("_gram").agg(F.count("*").alias("_tags"))
+    rarest = (
+        asked.join(counted, "_gram", "left")
+        .groupBy("_needle")
+        .agg(F.min(F.struct(F.coalesce("_tags", F.lit(0)).alias("_tags"), "_gram")).alias("_best"))
+        .select("_needle", F.col("_best._gram").alias("_gram"))
     )
-    hits = cut.join(searches.select("ord", "_needle"), "_needle").select("ord", "tag", "tag_ord")
+    probes = rarest.select("_needle", "_gram", every)
+    matched = postings.join(probes, ["_gram", "_salt"]).filter(F.contains("_low", "_needle"))
+    hits = matched.select("_needle", "tag", "tag_ord").join(searches.select("ord", "_needle"), "_needle").select("ord", "tag", "tag_ord")
     found = hits if max_tags is None else top_n_per_group(hits, ["ord"], [F.col("tag_ord")], max_tags)
     plain = specs.join(found.select("ord"), "ord", "left_anti").select(
         "ord", F.col("term").alias("tag"), F.lit(0).cast("long").alias("tag_ord")

@@ -16,7 +16,7 @@ def stratified_folds(
     key: str = "post_id",
     k: int = K.N_FOLDS,
     seed: int = 0,
-    hex_digits: int = 2,
+    hex_digits: int | None = None,
 ) -> DataFrame:
     """Append ``fold`` (1..k): every class is dealt out evenly in a seeded hash order."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))

@@ -99,18 +99,29 @@ def running_sum(
     )
 
 
+#: Rows that a range of hashes may have to be ranked in one task.
+RANGE_ROWS = 65_536
+
+
 def ranked_by_hash(
-    df: DataFrame, group: str, digest: Column, tie: str, name: str, hex_digits: int = 2
+    df: DataFrame, group: str, digest: Column, tie: str, name: str, hex_digits: int | None = None
 ) -> DataFrame:
     """0-based rank by a hexadecimal digest within ``group``, exact for groups of any size.
 
     The leading digits cut every group into even ranges; ranks are counted inside a range and
-    shifted by the number of rows in the ranges before it. Raise ``hex_digits`` with the data:
-    two digits give 256 tasks per group, four give 65536.
+    shifted by the number of rows in the ranges before it. Unless given, the number of digits follows from the largest group,
+    counted first, so that a range has about ``RANGE_ROWS`` rows at most, whatever the size; small groups are ranked as they are.
     """
-    cut = df.withColumn("_digest", digest).withColumn(
-        "_range", F.substring("_digest", 1, hex_digits)
-    )
+    digits = hex_digits or 0
+    if hex_digits is None:
+        largest = df.groupBy(group).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        while largest > RANGE_ROWS * 16**digits:
+            digits += 1
+    cut = df.withColumn("_digest", digest)
+    if not digits:
+        whole = Window.partitionBy(group).orderBy("_digest", tie)
+        return cut.withColumn(name, (F.row_number().over(whole) - 1).cast("long")).drop("_digest")
+    cut = cut.withColumn("_range", F.substring("_digest", 1, digits))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(group, "_range")

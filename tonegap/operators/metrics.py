@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
+from tonegap.session import cut_lineage
 
 
 def confusion(predictions: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
@@ -122,14 +123,26 @@ def compare_runs(left: DataFrame, right: DataFrame, columns: list[str]) -> DataF
     return pick(left, "a").join(pick(right, "b"), "fold")
 
 
-def claims_table(
-    multimodal: DataFrame, unimodal: DataFrame, rule_accuracy: DataFrame, peak_bytes: DataFrame
-) -> DataFrame:
-    """The three claims with value, floor or ceiling, and verdict. All inputs are one row."""
-    values = multimodal.sparkSession.range(1).select(
-        (sarcasm_macro_f1(multimodal).scalar() - sarcasm_macro_f1(unimodal).scalar()).alias("delta"),
-        F.coalesce(rule_accuracy.scalar(), F.lit(0.0)).alias("binary"),
-        (peak_bytes.scalar().cast("double") / K.ONE_GIB).alias("gib"),
+def claims_table(scored: DataFrame, peaks: DataFrame) -> DataFrame:
+    """The three claims with value, floor or ceiling, and verdict.
+
+    ``scored`` holds (fold, label, pred, other, Dsem): the predictions of two runs and the score of the threshold rule; ``peaks`` has
+    ``peak_bytes``. One pass over the rows counts both confusion tables and the histogram of scores; all else is worked out from these.
+    """
+    y = is_sarcasm(F.col("label"))
+    rows = scored.select("fold", "label", "pred", "other", *_histogram_columns(F.col("Dsem"), y))
+    sets = [("fold", "label", "pred"), ("fold", "label", "other"), ("fold", "bin")]
+    counted = rows.groupingSets(sets, "fold", "label", "pred", "other", "bin").agg(
+        F.grouping_id().alias("_set"), F.count("*").alias("n"), F.sum("pos").alias("pos"), F.sum("default_hit").alias("default_hit")
+    )
+    counted = cut_lineage(counted)  # a few rows per fold
+    of = lambda grouped, *names: counted.filter(F.col("_set") == grouped).select("fold", *names)
+    runs = [fold_metrics(of(0b00011, "label", "pred", "n")), fold_metrics(of(0b00101, "label", F.col("other").alias("pred"), "n"))]
+    rule = _rule(of(0b01110, "bin", "pos", "n", "default_hit")).agg(F.avg("accuracy"))
+    values = scored.sparkSession.range(1).select(
+        (sarcasm_macro_f1(runs[0]).scalar() - sarcasm_macro_f1(runs[1]).scalar()).alias("delta"),
+        F.coalesce(rule.scalar(), F.lit(0.0)).alias("binary"),
+        (peaks.agg(F.max("peak_bytes")).scalar().cast("double") / K.ONE_GIB).alias("gib"),
     )
     claim = lambda name, value, limit, holds: F.struct(
         F.lit(name).alias("claim"),
@@ -174,47 +187,67 @@ def thresholds_passed(score: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(K.THRESHOLD_STEPS), settled)).cast("int")
 
 
-def threshold_grid(scored: DataFrame, score: str = "Dsem", target: str = "y") -> DataFrame:
-    """Training accuracy of every threshold for every held-out fold.
+def _histogram_columns(score: Column, target: Column) -> list[Column]:
+    """A row's bin, whether it is positive, and whether the default threshold gets it right."""
+    by_default = (score >= K.DEFAULT_DSEM_THRESHOLD).cast("int") == target.cast("int")
+    return [thresholds_passed(score).alias("bin"), target.cast("long").alias("pos"), by_default.cast("long").alias("default_hit")]
 
-    One histogram over the rows, then running sums over at most ``steps + 1`` bins per fold;
-    the rows themselves are never multiplied by the grid.
-    """
-    bins = scored.groupBy("fold", thresholds_passed(F.col(score)).alias("bin")).agg(
-        F.sum(F.col(target).cast("long")).alias("pos"), F.count("*").alias("n")
-    )
-    fold_bins = bins.select("fold").distinct().select(
-        "fold", F.explode(F.sequence(F.lit(0), F.lit(K.THRESHOLD_STEPS))).alias("bin")
-    )
-    everything = bins.groupBy("bin").agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
-    train = (
-        fold_bins.join(everything, "bin", "left")
-        .join(bins, ["fold", "bin"], "left")
-        .select(
-            "fold",
-            "bin",
-            (F.coalesce("all_pos", F.lit(0)) - F.coalesce("pos", F.lit(0))).alias("pos"),
-            (F.coalesce("all_n", F.lit(0)) - F.coalesce("n", F.lit(0))).alias("n"),
-        )
+
+def _histogram(scored: DataFrame, score: str, target: str) -> DataFrame:
+    rows = scored.select("fold", *_histogram_columns(F.col(score), F.col(target)))
+    return rows.groupBy("fold", "bin").agg(
+        F.sum("pos").alias("pos"), F.count("*").alias("n"), F.sum("default_hit").alias("default_hit")
     )
+
+
+def _grid(histogram: DataFrame) -> DataFrame:
+    """(fold, step, threshold, accuracy, own_accuracy, default_accuracy) of every threshold, from the histogram alone.
+
+    ``accuracy`` is that on the other folds, ``own_accuracy`` that on the fold itself. A fold's bins are filled up with empty ones from a
+    map of at most ``steps + 1`` entries, so the histogram is read once.
+    """
     fold = Window.partitionBy("fold")
     above = fold.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    neg = F.col("n") - F.col("pos")
-    # bin b counts scores that reach exactly b thresholds, so bins >= i + 1 reach threshold i
-    hits = F.sum("pos").over(above) + F.sum(neg).over(fold) - F.sum(neg).over(above)
+    entry = F.struct("bin", F.struct("pos", "n", "default_hit").alias("v"))
+    maps = histogram.groupBy("fold").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    bins = maps.select("fold", "m", F.explode(F.sequence(F.lit(0), F.lit(K.THRESHOLD_STEPS))).alias("bin")).select(
+        "fold", "bin", *[F.coalesce(F.try_element_at("m", F.col("bin"))[c], F.lit(0)).alias(c) for c in ("pos", "n", "default_hit")]
+    )
+    same = Window.partitionBy("bin")
+    both = bins.select("*", *[(F.sum(c).over(same) - F.col(c)).alias(f"train_{c}") for c in ("pos", "n")])
+
+    def share(pos: str, n: str) -> Column:
+        # bin b counts scores that reach exactly b thresholds, so bins >= i + 1 reach threshold i
+        neg = F.col(n) - F.col(pos)
+        return F.try_divide(F.sum(pos).over(above) + F.sum(neg).over(fold) - F.sum(neg).over(above), F.sum(n).over(fold))
+
     start, step = threshold_values()
-    return (
-        train.withColumn("accuracy", F.try_divide(hits, F.sum("n").over(fold)))
-        .filter(F.col("bin") >= 1)
-        .select(
-            "fold",
-            (F.col("bin") - 1).alias("step"),
-            (F.lit(start) + (F.col("bin") - 1) * F.lit(step)).alias("threshold"),
-            "accuracy",
-        )
+    rows = both.select(
+        "fold",
+        "bin",
+        share("train_pos", "train_n").alias("accuracy"),
+        share("pos", "n").alias("own_accuracy"),
+        F.try_divide(F.sum("default_hit").over(fold), F.sum("n").over(fold)).alias("default_accuracy"),
+    )
+    return rows.filter(F.col("bin") >= 1).select(
+        "fold",
+        (F.col("bin") - 1).alias("step"),
+        (F.lit(start) + (F.col("bin") - 1) * F.lit(step)).alias("threshold"),
+        "accuracy",
+        "own_accuracy",
+        "default_accuracy",
     )
 
 
+def threshold_grid(scored: DataFrame, score: str = "Dsem", target: str = "y") -> DataFrame:
+    """Training accuracy of every threshold for every held-out fold.
+
+    One histogram over the rows, then running sums over at most ``steps + 1`` bins per fold;
+    the rows themselves are never multiplied by the grid.
+    """
+    return _grid(_histogram(scored, score, target)).select("fold", "step", "threshold", "accuracy")
+
+
 def best_threshold(grid: DataFrame) -> DataFrame:
     """Most accurate threshold per fold, the smallest on ties; the default if none scores."""
     best = grid.groupBy("fold").agg(
@@ -225,18 +258,26 @@ def best_threshold(grid: DataFrame) -> DataFrame:
     return best.select("fold", chosen.alias("threshold"), F.col("accuracy").alias("train_accuracy"))
 
 
-def dsem_rule(scored: DataFrame, score: str = "Dsem", target: str = "y") -> DataFrame:
-    """Per fold: threshold tuned on the other folds, accuracy on this one."""
-    chosen = best_threshold(threshold_grid(scored, score, target))
-    rows = scored.select("fold", F.col(score).alias("_s"), F.col(target).cast("int").alias("_y"))
-    hit = (F.col("_s") >= F.col("threshold")).cast("int") == F.col("_y")
-    # one row per fold: a bounded broadcast
-    return (
-        rows.join(F.broadcast(chosen), "fold")
-        .groupBy("fold", "threshold", "train_accuracy")
-        .agg(F.avg(hit.cast("double")).alias("accuracy"))
+def _rule(histogram: DataFrame) -> DataFrame:
+    """Per fold: the best threshold on the other folds and the accuracy that it has on this one."""
+    best = _grid(histogram).groupBy("fold").agg(
+        F.max_by(
+            F.struct("threshold", "accuracy", "own_accuracy", "default_accuracy"), F.struct("accuracy", -F.col("threshold"))
+        ).alias("b")
+    )
+    scores = F.col("b.accuracy") > 0.0
+    return best.select(
+        "fold",
+        F.when(scores, F.col("b.threshold")).otherwise(K.DEFAULT_DSEM_THRESHOLD).alias("threshold"),
+        F.col("b.accuracy").alias("train_accuracy"),
+        F.when(scores, F.col("b.own_accuracy")).otherwise(F.col("b.default_accuracy")).alias("accuracy"),
     )
 
 
+def dsem_rule(scored: DataFrame, score: str = "Dsem", target: str = "y") -> DataFrame:
+    """Per fold: threshold tuned on the other folds, accuracy on this one. One pass over the rows."""
+    return _rule(_histogram(scored, score, target))
+
+
 def is_sarcasm(label: Column) -> Column:
     return label.isin(*K.SARCASM_LABELS).cast("int")

@@ -8,20 +8,21 @@ own, so only one model is resident at a time.
 from __future__ import annotations
 
 import logging
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tonegap import constants as K
 from tonegap.functions import text as T
 from tonegap.functions import vectors as V
-from tonegap.operators.curate import usable_records
-from tonegap.operators.keyed import anti_seen
+from tonegap.operators.keyed import anti_seen, settled
 
 log = logging.getLogger(__name__)
 
@@ -123,7 +124,7 @@ def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
@@ -194,6 +195,91 @@ def assemble_features(
     )
 
 
+#: Bits of the filter of wanted paths (512 KB), and those of one of its rows.
+FILTER_BITS, ROW_BITS = 1 << 22, 1 << 15
+
+
+def _side_by_side(scorers: list[Scorer], batches: Batches) -> Iterator[tuple[pd.DataFrame, list[pd.DataFrame]]]:
+    """Batches with what each scorer makes of them; a scorer gives one frame a batch, with a row for each of its keys.
+
+    Every scorer keeps its own loop, and so its model, over all batches.
+    """
+    fed: list[deque] = [deque() for _ in scorers]
+
+    def drained(queue: deque) -> Batches:
+        while True:
+            yield queue.popleft()
+
+    runs = [s.fn(drained(queue)) for s, queue in zip(scorers, fed)]
+    for batch in batches:
+        for s, queue in zip(scorers, fed):
+            queue.append(batch[["post_id", *s.inputs]])
+        yield batch, [next(run) for run in runs]
+
+
+def _path_bit(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(FILTER_BITS))
+
+
+def wanted_paths(records: DataFrame) -> bytes:
+    """A bit per hash of the media paths that records name: of fixed size, whatever their number."""
+    bit = _path_bit(F.col("image_path"))
+    rows = records.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / ROW_BITS).cast("int").alias("row"))
+    out = bytearray(FILTER_BITS // 8)
+    for r in rows.agg(F.bitmap_construct_agg(F.col("_bit") % ROW_BITS).alias("bits")).collect():
+        out[r["row"] * ROW_BITS // 8 : (r["row"] + 1) * ROW_BITS // 8] = r["bits"]
+    return bytes(out)
+
+
+def scan_media(media: DataFrame, describe: Scorer, embed: Scorer, wanted: bytes) -> DataFrame:
+    """(path, generated, vector) of the files whose paths pass the filter; their contents are read and sent to Python once.
+
+    The filter lets few paths through that nobody named; a join with the records drops what it made of these.
+    """
+
+    def run(batches: Batches) -> Batches:
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little")
+        some = (b[bits[b["_bit"].to_numpy()] > 0] for b in batches)
+        for batch, (told, seen) in _side_by_side([describe, embed], (b for b in some if len(b))):
+            both = told.set_index("post_id").join(seen.set_index("post_id"))
+            kept = both.loc[batch["post_id"]]
+            yield pd.DataFrame({"path": batch["post_id"].to_numpy(), "generated": kept["generated"].to_numpy(), "vector": kept["vector"].to_numpy()})
+
+    rows = media.select(F.col("path").alias("post_id"), "content", _path_bit(F.col("path")).alias("_bit"))
+    found = rows.mapInPandas(run, "path string, generated string, vector array<double>")
+    return found.select(
+        "path",
+        T.clean_generated_text(F.col("generated")).alias("generated"),
+        V.sanitize_vector(V.l2_normalize(F.col("vector"))).alias("emb_I"),
+    )
+
+
+def scan_texts(rows: DataFrame, embed: Scorer, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the vector of each of some text columns, embedded in one call a batch; blank text is a single dot."""
+    text = embed.inputs[0]
+    filled = {f"_t{i}": F.coalesce(F.nullif(T.strip_ws(F.col(c)), F.lit("")), F.lit(".")) for i, c in enumerate(columns)}
+    names, kept = list(filled), rows.columns
+
+    def run(batches: Batches) -> Batches:
+        held: deque = deque()
+
+        def stacked() -> Batches:
+            for b in batches:
+                held.append(b)
+                texts = pd.concat([b[n] for n in names], ignore_index=True)
+                yield pd.DataFrame({"post_id": range(len(texts)), text: texts})
+
+        for out in embed.fn(stacked()):
+            b = held.popleft()
+            vectors = out.set_index("post_id")["vector"].loc[range(len(b) * len(names))].to_numpy()
+            parts = {f"_v{i}": vectors[i * len(b) : (i + 1) * len(b)] for i in range(len(names))}
+            yield b[kept].assign(**parts)
+
+    schema = ST.StructType([*rows.schema, *[ST.StructField(f"_v{i}", ST.ArrayType(ST.DoubleType())) for i in range(len(names))]])
+    scored = rows.withColumns(filled).mapInPandas(run, schema)
+    return scored.select(*kept, *[V.sanitize_vector(F.col(f"_v{i}")).alias(f"emb_{c}") for i, c in enumerate(columns)])
+
+
 def features_one_pass(
     records: DataFrame,
     media: DataFrame,
@@ -201,50 +287,46 @@ def features_one_pass(
     embed_text: Scorer,
     embed_media: Scorer,
     polarity: Callable[[Column], Column] = keyword_polarity,
+    skipped: Observation | None = None,
 ) -> DataFrame:
-    """All scorers, then the features, in one lazy plan; records without media drop out.
+    """All scorers, then the features; records without media drop out and are counted.
 
-    ``media`` is ``(path, content)``. Text is embedded once for captions and descriptions
-    together, and only keys and vectors meet in the joins.
+    ``media`` is ``(path, content)``. Files are read once, by both media scorers side by side; what leaves that scan are
+    descriptions and vectors, so no content is ever exchanged. A fixed-size filter of the named paths keeps other files from being scored.
+    ``skipped`` observes ``kept`` and ``skipped`` records when the result is written.
     """
-    usable = usable_records(records, media)
-    with_media = usable.join(
-        media.select(F.col("path").alias("image_path"), "content"), "image_path"
-    )
-    described = score_media_text(with_media, describe)
-    captions = usable.select("post_id", "label", "caption")
-    texts = captions.join(described, "post_id")
-    stacked = texts.select(
-        F.explode(
-            F.array(
-                F.struct(F.struct("post_id", F.lit(True).alias("own")).alias("id"), F.col("caption").alias("text")),
-                F.struct(F.struct("post_id", F.lit(False).alias("own")).alias("id"), F.col("generated").alias("text")),
-            )
-        ).alias("row")
-    ).select(F.to_json("row.id").alias("post_id"), "row.text")
-    vectors = score_text_vector(stacked, embed_text)
-    own = F.get_json_object("post_id", "$.own") == "true"
-    paired = (
-        vectors.select(
-            F.get_json_object("post_id", "$.post_id").alias("post_id"),
-            F.when(own, F.col("vector")).alias("own"),
-            F.when(~own, F.col("vector")).alias("hat"),
+    named = records.select("post_id", "label", "caption", "image_path")
+    scanned = scan_media(media, describe, embed_media, wanted_paths(named))
+    joined = named.join(scanned.withColumnRenamed("path", "image_path"), "image_path", "left")
+    if skipped is not None:
+        lost = F.col("generated").isNull()
+        joined = joined.observe(
+            skipped, F.sum((~lost).cast("long")).alias("kept"), F.sum(lost.cast("long")).alias("skipped")
         )
-        .groupBy("post_id")
-        .agg(
-            F.first("own", ignorenulls=True).alias("emb_T"),
-            F.first("hat", ignorenulls=True).alias("emb_T_hat"),
-        )
-    )
-    images = score_media_vector(with_media, embed_media).withColumnRenamed("vector", "emb_I")
-    full = (
-        texts.select(
-            "post_id",
-            "label",
-            polarity(F.col("caption")).alias("pol_T"),
-            polarity(F.col("generated")).alias("pol_T_hat"),
-        )
-        .join(paired, "post_id")
-        .join(images, "post_id")
+    usable = settled(joined, "_usable", F.col("generated").isNotNull()).filter("_usable")
+    texts = scan_texts(usable.select("post_id", "label", "caption", "generated", "emb_I"), embed_text, ("caption", "generated"))
+    full = texts.select(
+        "post_id",
+        "label",
+        F.col("emb_caption").alias("emb_T"),
+        F.col("emb_generated").alias("emb_T_hat"),
+        "emb_I",
+        polarity(F.col("caption")).alias("pol_T"),
+        polarity(F.col("generated")).alias("pol_T_hat"),
     )
     return V.with_features(full).select("post_id", "label", *K.FEATURE_NAMES)
+
+
+def build_features(records: DataFrame, media: DataFrame, path: str, *scorers: Scorer, **options) -> int:
+    """Write the features of all records with media, and say how many had none; an error if that holds for all.
+
+    ``scorers`` are those of ``features_one_pass``, in its order.
+    """
+    seen = Observation()
+    features_one_pass(records, media, *scorers, skipped=seen, **options).write.mode("overwrite").parquet(path)
+    counts = seen.get
+    if not counts["kept"]:
+        raise FileNotFoundError("no usable media found for any record")
+    if counts["skipped"]:
+        log.warning("skipped %d record(s) without media", counts["skipped"])
+    return counts["skipped"]

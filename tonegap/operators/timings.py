@@ -6,43 +6,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
+from tonegap.session import cut_lineage
 
 
-def _monotone_bin(value: Column) -> Column:
-    """A coarse bin that never decreases with the value, fine where values are dense."""
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * 256)).cast("long")
+#: Parts into which an interval is split, and rows that an interval may have to be sorted out.
+SPLITS, SMALL = 1024, 4096
 
 
-def values_at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Exact order statistics per key, nulls left out; ``ranks`` are 1-based and may use the group size ``n``.
+def _first_bin(value: Column) -> Column:
+    """A bin that never decreases with the value: sign, then an eighth of a doubling. Even parts of it get down to single doubles in a few rounds."""
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(1100.0)) * 8) + 10_000
+    return F.when(value == 0, 0).otherwise((F.signum(value) * size).cast("long"))
+
 
-    Equal values are counted first. Bins then get the number of rows before them, and ranks
-    are resolved inside one bin only, so no task sees more than one bin of one key.
+def _holding(bins: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For every wanted rank the bin that holds it: (key, name, rank inside it, smallest and largest value, rows).
+
+    Bins (key, part, bin, low, high, rows) are counted up within a part, of which there are at most as many as splits, or as distinct values of a small one.
     """
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(key, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_bin", _monotone_bin(F.col("_v")))
-    )
-    by_bin = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = (
-        counted.groupBy(key, "_bin")
-        .agg(F.sum("_c").alias("_bin_n"))
-        .withColumn("_before", F.coalesce(F.sum("_bin_n").over(by_bin), F.lit(0)))
-        .withColumn("n", F.sum("_bin_n").over(Window.partitionBy(key)))
-        .select(key, "_bin", "_before", "n")
-    )
-    inside = Window.partitionBy(key, "_bin").orderBy("_v")
-    placed = counted.join(bins, [key, "_bin"]).withColumn(
-        "_last", F.sum("_c").over(inside) + F.col("_before")
-    )
-    at = lambda rank: F.max(
-        F.when((F.col("_last") - F.col("_c") < rank) & (rank <= F.col("_last")), F.col("_v"))
+    before = Window.partitionBy("_k", "_part").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    inside = (F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_rows"))
+    found = placed.join(wanted, ["_k", "_part"]).filter(inside)
+    return found.select("_k", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"), "_low", "_high", "_rows")
+
+
+def _bins(rows: DataFrame, bin_: Column, *keys: str | Column) -> DataFrame:
+    """Count, least and largest value per bin, combined before the shuffle."""
+    return rows.groupBy(*keys, bin_.alias("_bin")).agg(
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_rows")
     )
-    return placed.groupBy(key).agg(
-        F.max("n").alias("n"), *[at(rank).alias(name) for name, rank in ranks.items()]
+
+
+def _within(rows: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The rows inside some intervals of their key."""
+    some = intervals.select("_k", "_low", "_high").distinct()
+    return rows.join(some, "_k").filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+
+def values_at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact order statistics per key, nulls and NaN left out; ``ranks`` are 1-based and may use the group size ``n``.
+
+    Selection by refinement: a histogram first, then only the bins that hold a wanted rank are split again, until they hold a few
+    rows or one value. A round exchanges bins, never values, and a dense bin is split like any other; every split
+    has its least value in the first part and its largest in the last, so each round gets somewhere. ``df`` is read once a round: give
+    a stored frame.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v")
     )
+    bins = cut_lineage(_bins(rows, _first_bin(F.col("_v")), "_k"))
+    sizes = bins.groupBy("_k").agg(F.sum("_rows").alias("n"))
+    asked = F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_rank")) for name, rank in ranks.items()])
+    wanted = sizes.select("_k", F.inline(asked)).withColumn("_part", F.lit(0.0))
+    found = cut_lineage(_holding(bins.withColumn("_part", F.lit(0.0)), wanted))
+    while True:
+        several = F.col("_low") < F.col("_high")
+        large = several & (F.col("_rows") > SMALL)
+        if not found.filter(large).head(1):
+            break
+        dense = found.filter(large)
+        share = (F.col("_v") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        parts = _bins(_within(rows, dense), F.floor(share * SPLITS), "_k", F.col("_low").alias("_part"))
+        again = _holding(parts, dense.select("_k", "_name", "_rank", F.col("_low").alias("_part")))
+        found = cut_lineage(found.filter(~large).unionByName(again))
+    open_ = found.filter(several)
+    values = _bins(_within(rows, open_), F.col("_v"), "_k", F.col("_low").alias("_part"))
+    sorted_out = _holding(values, open_.select("_k", "_name", "_rank", F.col("_low").alias("_part")))
+    picked = found.filter(~several).unionByName(sorted_out)
+    at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_low"))).alias(name)
+    wide = picked.groupBy("_k").agg(*[at(name) for name in ranks])
+    return sizes.join(wide, "_k", "left").select(F.col("_k").alias(key), "n", *ranks)
 
 
 def stage_timing_summary(

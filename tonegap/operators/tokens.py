@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
 from tonegap.functions.text import strip_ws
-from tonegap.operators.keyed import group_stats_join, running_sum
-from tonegap.session import cut_lineage
+from tonegap.operators.keyed import group_stats_join, settled
 
 
 def is_anchor(token: Column) -> Column:
@@ -59,26 +59,90 @@ def strip_anchors(tokens: DataFrame, key: str = "post_id") -> DataFrame:
     return words.unionByName(bare.select(*tokens.columns))
 
 
-def merge_tokens(tokens: DataFrame, key: str = "post_id") -> DataFrame:
-    """Join continuation pieces and pure punctuation to the word before them.
+# --- a post as one row: arrays of (pos, token, score) in order of position ------------------------
+
+
+def token_arrays(tokens: DataFrame, key: str = "post_id") -> DataFrame:
+    """(key, items): the tokens of a post in order. A post is as long as its model's sequence."""
+    rest = [c for c in tokens.columns if c not in (key, "pos")]
+    items = F.array_sort(F.collect_list(F.struct("pos", *rest)))
+    return tokens.groupBy(key).agg(items.alias("items"))
+
+
+def remapped(items: Column) -> Column:
+    """The block between leading and trailing anchors reversed."""
+    content = F.transform(F.filter(items, lambda t: ~is_anchor(t["token"])), lambda t: t["pos"])
+    first, last = F.array_min(content), F.array_max(content)
+    flip = lambda t: F.when(t["pos"].between(first, last), first + last - t["pos"]).otherwise(t["pos"])
+    return F.array_sort(F.transform(items, lambda t: F.struct(flip(t).alias("pos"), t["token"].alias("token"), t["score"].alias("score"))))
+
+
+def without_anchors(items: Column) -> Column:
+    """Words only; all items where there are no words."""
+    words = F.filter(items, lambda t: ~is_anchor(t["token"]))
+    return F.when(F.size(words) > 0, words).otherwise(items)
+
 
-    Words are islands of a running count of word starts, so the order only matters inside
-    one block of positions and inside one word.
+def merged(items: Column) -> Column:
+    """Words (start, text, score): pieces are cut where one starts that doesn't continue what is before it.
+
+    One pass: the places of the starts are the bounds of slices. Pieces before the first start form a word too.
     """
-    piece = clean_token(F.col("token"))
     attach = f"^[{re.escape(K.ATTACH_CHARS)}]+$"
-    glued = F.col("token").startswith(K.CONTINUATION_PREFIX) | F.col("piece").rlike(attach)
-    shown = tokens.withColumn("piece", piece).filter(strip_ws(F.col("piece")) != "")
-    islands = running_sum(
-        shown.withColumn("_glued", glued), [key], "pos", (~F.col("_glued")).cast("int"), "word"
+    pieces = F.transform(
+        items,
+        lambda t: F.struct(
+            t["pos"].alias("pos"),
+            clean_token(t["token"]).alias("piece"),
+            t["score"].alias("score"),
+            t["token"].startswith(K.CONTINUATION_PREFIX).alias("continues"),
+        ),
     )
-    # pieces glued before the first word start form word 0; the first of them opens it
-    pieces = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    words = islands.groupBy(key, "word").agg(
-        F.min("pos").alias("start"),
-        F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"),
-        F.max("score").alias("score"),
+    shown = F.filter(pieces, lambda p: strip_ws(p["piece"]) != "")
+    starts = lambda p: ~(p["continues"] | p["piece"].rlike(attach))
+
+    def words(pieces: Column) -> Column:
+        opened = F.filter(F.transform(pieces, lambda p, i: F.when(starts(p) | (i == 0), i)), lambda i: i.isNotNull())
+        return _let(
+            opened,
+            lambda bounds: F.transform(
+                bounds,
+                lambda b, k: _let(
+                    F.slice(pieces, b + 1, F.coalesce(F.get(bounds, k + 1), F.size(pieces)) - b),
+                    lambda own: F.struct(
+                        F.get(own, F.lit(0))["pos"].alias("start"),
+                        F.array_join(F.transform(own, lambda p: p["piece"]), "").alias("text"),
+                        F.array_max(F.transform(own, lambda p: p["score"])).alias("score"),
+                    ),
+                ),
+            ),
+        )
+
+    return _let(shown, words)
+
+
+def scaled(words: Column) -> Column:
+    """Words with ``normalized``: scores scaled to [0, 1], 0.0 where there is no spread."""
+    scores = F.transform(words, lambda w: w["score"])
+    return _let(
+        F.struct(F.array_min(scores).alias("lo"), F.array_max(scores).alias("hi")),
+        lambda s: F.transform(
+            words,
+            lambda w: w.withField(
+                "normalized", F.when(s["hi"] > s["lo"], (w["score"] - s["lo"]) / (s["hi"] - s["lo"])).otherwise(F.lit(0.0))
+            ),
+        ),
     )
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def merge_tokens(tokens: DataFrame, key: str = "post_id") -> DataFrame:
+    """Join continuation pieces and pure punctuation to the word before them; the long form of ``merged``."""
+    words = token_arrays(tokens.select(key, "pos", "token", "score"), key).select(key, F.inline(merged(F.col("items"))))
     return words.select(key, "start", "text", "score")
 
 
@@ -95,10 +159,11 @@ def minmax_normalize(
 def word_heatmap(
     tokens: DataFrame, *, key: str = "post_id", remap: bool = False, hide_anchors: bool = True
 ) -> DataFrame:
-    """Display table: optional remap, anchors hidden, pieces merged, scores scaled.
-
-    Scaling reads the words twice, so they are stored before it instead of merged twice.
-    """
-    shown = rtl_remap(tokens, key) if remap else tokens
-    shown = strip_anchors(shown, key) if hide_anchors else shown
-    return minmax_normalize(cut_lineage(merge_tokens(shown, key)), keys=(key,))
+    """Display table: optional remap, anchors hidden, pieces merged, scores scaled. One exchange, which gathers a post."""
+    gathered = token_arrays(tokens.select(key, "pos", "token", "score"), key)
+    if remap:
+        gathered = gathered.withColumn("items", remapped(F.col("items")))
+    if hide_anchors:
+        gathered = gathered.withColumn("items", without_anchors(F.col("items")))
+    words = settled(gathered, "words", merged(F.col("items")))
+    return words.select(key, F.inline(scaled(F.col("words"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tonegap import constants as K
 from tonegap.operators import folds, metrics, timings
+from tonegap.operators.learning import argmax_label
 from tonegap.operators.metrics import is_sarcasm
 from tonegap.plans import inputs as I
 from tonegap.plans.registry import query
@@ -180,10 +181,15 @@ CLAIMS = f"{BOTH_RUNS}, {RULE_STEPS}"
     UNION ALL SELECT 'peak_memory_gib', {I.r6(SQL_PEAK)}, 1.0, {SQL_PEAK} <= 1.0"""
 )
 def claims_table(spark, sf):
-    rule = metrics.dsem_rule(_scored(spark, sf)).agg(F.avg("accuracy").alias("m"))
-    peak = I.timings(spark, sf).agg(F.max("peak_bytes").alias("m"))
-    table = metrics.claims_table(_fold_scores(spark, sf), _other_run(spark, sf), rule, peak)
-    return table.select("claim", I.rounded("value"), "bound", "holds")
+    """Both runs and the rule's score stored beside each other once, with their folds."""
+    side = F.when(F.col("polarity_T") > 0.05, "positive").when(F.col("polarity_T") < -0.05, "negative_sarcasm")
+    rows = I.features(spark, sf).select(
+        "post_id", "label", argmax_label(F.col("proba")).alias("pred"), side.otherwise("neutral").alias("other"), "Dsem"
+    )
+    path = scratch_path(spark, "scored")
+    rows.write.parquet(path)
+    scored = folds.stratified_folds(spark.read.parquet(path))
+    return metrics.claims_table(scored, I.timings(spark, sf)).select("claim", I.rounded("value"), "bound", "holds")
 
 
 # --- metric tables as files -------------------------------------------------

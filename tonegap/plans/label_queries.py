@@ -10,6 +10,8 @@ from tonegap.operators import folds
 from tonegap.operators.metrics import degenerate_features as degenerate
 from tonegap.plans import inputs as I
 from tonegap.plans.registry import query
+from tonegap.session import cut_lineage, scratch_path
+from tonegap.sources.lines import numbered_lines
 
 MAJORITY = f"""{I.AUDIT},
 per_label AS (SELECT post_id, label, count(*) AS votes, max(timestamp) AS newest FROM audit GROUP BY post_id, label),
@@ -80,37 +82,39 @@ def _latest(spark, sf):
     return A.latest_annotation(I.audit_log(spark, sf))
 
 
-@query(f"WITH {PAIRS} SELECT * FROM pairs")
+@query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, label_a, label_b, count(*) AS n FROM pairs GROUP BY ALL")
 def annotator_pairs(spark, sf):
-    return A.annotator_pairs(_latest(spark, sf), part_size=16)
+    return A.label_pairs(cut_lineage(_latest(spark, sf)), part_rows=64)
 
 
 @query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, n AS overlap FROM pair_sizes")
 def pair_overlap(spark, sf):
-    return A.pair_overlap(A.annotator_pairs(_latest(spark, sf)))
+    return A.pair_overlap(A.label_pairs(cut_lineage(_latest(spark, sf))))
 
 
 @query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, overlap, {I.r6('kappa')} AS kappa FROM kappas")
 def cohens_kappa(spark, sf):
-    kappas = A.cohens_kappa(A.annotator_pairs(_latest(spark, sf)))
+    kappas = A.cohens_kappa(A.label_pairs(cut_lineage(_latest(spark, sf))))
     return kappas.select("annotator_a", "annotator_b", "overlap", I.rounded("kappa"))
 
 
+def _sql_lines(section: int, lines) -> str:
+    return f"SELECT {section} AS section, lpad(CAST(p AS VARCHAR), 4, '0') AS a, '' AS b, ({I.sql_list(lines)})[p + 1] AS line FROM range({len(lines)}) t(p)"
+
+
 @query(
-    f"""WITH {PAIRS} SELECT annotator_a, annotator_b, overlap AS n, {I.r6('kappa')} AS kappa FROM kappas
-    UNION ALL SELECT annotator_id, NULL, count(*), NULL FROM latest GROUP BY annotator_id"""
+    f"""WITH {PAIRS}, lines AS (
+      {_sql_lines(0, (*K.REPORT_TITLE, *K.REPORT_PAIRS_HEAD))}
+      UNION ALL SELECT 1, annotator_a, annotator_b, printf('| %s | %s | %d | %.4f |', annotator_a, annotator_b, overlap, CAST(kappa AS DOUBLE)) FROM kappas
+      UNION ALL {_sql_lines(2, K.REPORT_COUNTS_HEAD)}
+      UNION ALL SELECT 3, annotator_id, '', printf('| %s | %d |', annotator_id, count(*)) FROM latest GROUP BY annotator_id)
+    SELECT row_number() OVER (ORDER BY section, a, b) AS line_no, line FROM lines"""
 )
 def agreement_report(spark, sf):
-    """Both tables of the report, one below the other."""
-    pairs, counts = A.agreement_report(I.audit_log(spark, sf))
-    upper = pairs.select("annotator_a", "annotator_b", F.col("overlap").alias("n"), I.rounded("kappa"))
-    lower = counts.select(
-        F.col("annotator_id").alias("annotator_a"),
-        F.lit(None).cast("string").alias("annotator_b"),
-        F.col("n_posts").alias("n"),
-        F.lit(None).cast("double").alias("kappa"),
-    )
-    return upper.unionByName(lower)
+    """The report as a file, read back line by line."""
+    path = scratch_path(spark, "agreement")
+    A.write_agreement_report(I.audit_log(spark, sf), path)
+    return numbered_lines(spark, path).select(F.col("ord").cast("long").alias("line_no"), F.col("value").alias("line"))
 
 
 @query(f"WITH {I.AUDIT} SELECT label, count(*) AS n FROM audit GROUP BY label")

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
@@ -21,32 +26,45 @@ from tonegap.plans.io_queries import SQL_SIX
 from tonegap.plans.registry import query
 from tonegap.session import scratch_path
 from tonegap.sources import tables as S
-from tonegap.streaming import jobs
+from tonegap.streaming import admission, jobs
 
 # --- stand-in scorers: tiny models with the interface of the real ones ------
 
 
+def _reversed_words(texts: pa.Array) -> pa.Array:
+    """The words of each text in reverse: all words of all texts reversed at once, then the texts."""
+    words = pc.split_pattern(texts, " ")
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(sizes[::-1])])
+    flat = words.flatten().take(pa.array(np.arange(sizes.sum())[::-1]))
+    back = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+    return pc.binary_join(back, " ").take(pa.array(np.arange(len(texts))[::-1]))
+
+
+def _letter_vectors(texts: pa.Array) -> list[np.ndarray]:
+    """Counts of the letters a..h in each text."""
+    return list(np.stack([pc.count_substring(texts, c).to_numpy(zero_copy_only=False) for c in "abcdefgh"], axis=1).astype(float))
+
+
+def _texts(content: pd.Series) -> pa.Array:
+    return pa.array(content, pa.binary()).cast(pa.string())
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Media bytes to a description: the file's own text, reversed word by word."""
     for b in batches:
-        text = b["content"].map(lambda c: "Assistant: " + " ".join(bytes(c).decode().split(" ")[::-1]))
-        yield pd.DataFrame({"post_id": b["post_id"], "generated": text})
-
-
-def _letter_vector(text: str) -> list[float]:
-    """Counts of the letters a..h in a text."""
-    return [float(text.count(c)) for c in "abcdefgh"]
+        told = pc.binary_join_element_wise("Assistant: ", _reversed_words(_texts(b["content"])), "")
+        yield pd.DataFrame({"post_id": b["post_id"].to_numpy(), "generated": told.to_pandas()})
 
 
 def _embed_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"post_id": b["post_id"], "vector": b["text"].map(_letter_vector)})
+        yield pd.DataFrame({"post_id": b["post_id"].to_numpy(), "vector": _letter_vectors(pa.array(b["text"], pa.string()))})
 
 
 def _embed_media(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        vector = b["content"].map(lambda c: _letter_vector(bytes(c).decode()))
-        yield pd.DataFrame({"post_id": b["post_id"], "vector": vector})
+        yield pd.DataFrame({"post_id": b["post_id"].to_numpy(), "vector": _letter_vectors(_texts(b["content"]))})
 
 
 DESCRIBE = SC.register_scorer(SC.Scorer("reversed_words", ("content",), "generated string", _describe))
@@ -54,9 +72,9 @@ EMBED_TEXT = SC.register_scorer(SC.Scorer("letters", ("text",), "vector array<do
 EMBED_MEDIA = SC.register_scorer(SC.Scorer("media_letters", ("content",), "vector array<double>", _embed_media))
 
 
-def media(spark, sf):
+def media(spark, sf, present="true"):
     """Document texts as the contents of media files; texts have inner spaces only."""
-    return I.texts(spark, sf, "documents").select(
+    return I.texts(spark, sf, "documents").filter(present).select(
         F.col("doc_id").cast("string").alias("post_id"),
         F.concat(F.lit("/m/"), F.col("doc_id").cast("string")).alias("path"),
         T.collapse_ws(F.col("text")).cast("binary").alias("content"),
@@ -235,25 +253,20 @@ six AS (SELECT post_id, greatest(0, least(2, 1 - {_sql_cos('t', 'h')})) AS Dsem,
   {_sql_cos('i', 'h')} AS Fvt, {_sql_cos('t', 'i')} AS cos_TI, 1 - 2 * nt AS polarity_T, 1 - 2 * nh AS polarity_T_hat FROM vecs)"""
 
 
-@query(f"WITH {ONE_PASS} SELECT post_id, {SQL_SIX} FROM six")
+@query(f"WITH {ONE_PASS} SELECT post_id, {SQL_SIX}, (SELECT count(*) FROM docs WHERE n_chars % 13 = 0) AS skipped FROM six")
 def features_one_pass(spark, sf):
-    files = media(spark, sf)
+    """Features of all records with media, and how many records had none."""
     docs = I.texts(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("post_id"),
         F.lit("neutral").alias("label"),
         F.concat(T.collapse_ws(F.col("text")), F.lit(" love")).alias("caption"),
         F.concat(F.lit("/m/"), F.col("doc_id").cast("string")).alias("image_path"),
-        "n_chars",
-    )
-    present = docs.filter("n_chars % 13 <> 0").select("post_id")
-    features = SC.features_one_pass(
-        docs.drop("n_chars"),
-        files.join(present, "post_id", "left_semi").select("path", "content"),
-        DESCRIBE,
-        EMBED_TEXT,
-        EMBED_MEDIA,
     )
-    return features.select("post_id", *[I.rounded(c) for c in K.FEATURE_NAMES])
+    files = media(spark, sf, "n_chars % 13 <> 0").select("path", "content")
+    path = scratch_path(spark, "features")
+    skipped = SC.build_features(docs, files, path, DESCRIBE, EMBED_TEXT, EMBED_MEDIA)
+    rows = spark.read.parquet(path)
+    return rows.select("post_id", *[I.rounded(c) for c in K.FEATURE_NAMES], F.lit(skipped).cast("long").alias("skipped"))
 
 
 # --- learning: exact columns beside what only holds for a right fit ----------
@@ -268,16 +281,19 @@ def _folded(spark, sf):
     return spark.read.parquet(path)
 
 
-def _in_range(*columns: str):
-    """All columns hold shares."""
-    return F.expr(" AND ".join(f"coalesce({c} BETWEEN 0 AND 1, false)" for c in columns)).alias("in_range")
+def _recomputed(predictions, label="label"):
+    """Accuracy per fold as a plain mean over predictions."""
+    return predictions.groupBy("fold").agg(F.avg((F.col(label) == F.col("pred")).cast("double")).alias("plain"))
+
+
+def _agrees(metrics, predictions, label="label"):
+    """``metrics`` with ``consistent``: their accuracy is that of the predictions."""
+    both = metrics.join(_recomputed(predictions, label), "fold")
+    return both.withColumn("consistent", F.abs(F.col("accuracy") - F.col("plain")) < 1e-12)
 
 
-def _proba_holds(pack, rows):
-    """Probabilities of all labels, shares that add up to one."""
-    shares = F.forall("proba", lambda p: p.between(0.0, 1.0))
-    mass = F.aggregate("proba", F.lit(0.0), lambda a, p: a + p)
-    return learning.with_proba(pack, rows).select("post_id", (shares & (F.abs(mass - 1.0) < 1e-9)).alias("normalised"))
+#: What a fold's training rows weigh per class: all of them, balanced over the classes.
+SQL_MASS = I.r6("((SELECT count(*) FROM folded) - count(*) OVER (PARTITION BY fold)) / (SELECT count(DISTINCT label) FROM folded)")
 
 
 @query(
@@ -290,39 +306,73 @@ def fit_logreg(spark, sf):
     rows = _folded(spark, sf)
     pack = learning.fit_logreg(rows)
     slope = learning.logreg_gradient(pack, rows)
-    flat = {c: bool(abs(slope[i]).max() < 1e-3 * rows.count()) for i, c in enumerate(pack.classes)}
+    flat = {c: bool(abs(slope[i]).max() < 1e-3) for i, c in enumerate(pack.classes)}
     at_optimum = F.create_map(*[F.lit(x) for item in flat.items() for x in item])[F.col("label")]
     weights = folds.class_weights(rows).select("label", "n", (F.col("weight") * F.col("n")).alias("mass"))
     return weights.select("label", "n", I.rounded("mass", "weighted_mass"), at_optimum.alias("at_optimum"))
 
 
-@query(f"WITH {I.FEATURES} SELECT post_id, TRUE AS normalised, CAST(15 AS INTEGER) AS n_models FROM features")
+SQL_INNER = I.SQL_FOLD.replace("'0:'", "'1:'").replace("% 5", "% 3")
+
+
+@query(
+    f"""WITH {I.FEATURES}, folded AS (SELECT label, {SQL_INNER} AS fold FROM features),
+    machines AS (
+      SELECT i.fold AS inner_fold, l.label, count(*) FILTER (WHERE f.label = l.label) AS pos,
+             count(*) FILTER (WHERE f.label <> l.label) AS neg
+      FROM (SELECT DISTINCT fold FROM folded) i, (SELECT DISTINCT label FROM folded) l
+      JOIN folded f ON f.fold = i.fold GROUP BY ALL)
+    SELECT inner_fold, label, {I.r6("pos * (pos + 1) / (pos + 2) + neg / (neg + 2)")} AS calibrated_mass,
+      TRUE AS margin_at_optimum, TRUE AS calibration_at_optimum, TRUE AS converged FROM machines"""
+)
 def fit_linear_svc_calibrated(spark, sf):
-    """One calibrated machine per class and inner fold."""
-    pack = learning.fit_linear_svc_calibrated(_folded(spark, sf))
-    rows = I.features(spark, sf).select("post_id", *K.FEATURE_NAMES)
-    return _proba_holds(pack, rows).withColumn("n_models", F.lit(sum(map(len, pack.members))))
+    """Per machine (class and inner fold): what its sigmoid adds up to on the rows it left out, which smoothed targets fix at the
+    optimum, and whether the hinge and the sigmoid have no slope left, by plain aggregates over the rows."""
+    rows = _folded(spark, sf)
+    pack = learning.fit_linear_svc_calibrated(rows)
+    slopes = learning.svc_slopes(pack, rows)
+    return slopes.select(
+        F.col("inner").alias("inner_fold"),
+        "label",
+        I.rounded("calibrated_mass"),
+        (F.col("margin_slope") < 1e-6).alias("margin_at_optimum"),
+        (F.col("calibration_slope") < 1e-6).alias("calibration_at_optimum"),
+        F.lit(pack.converged).alias("converged"),
+    )
 
 
-@query(f"WITH {I.FEATURES} SELECT post_id, label, {I.SQL_FOLD} AS fold, TRUE AS known FROM features")
+@query(
+    f"""WITH {I.FEATURES}, folded AS (SELECT post_id, label, {I.SQL_FOLD} AS fold FROM features)
+    SELECT post_id, label, fold, TRUE AS known, {SQL_MASS} AS mass FROM folded"""
+)
 def cross_validate(spark, sf):
-    """Every row once, predicted by the model of its own fold."""
+    """Every row once, predicted by the model of its own fold, beside what that model gives the row's class over the rows it learned
+    from: the balanced rows of the class, if the model is the right one."""
+    rows = _folded(spark, sf)
+    fits = learning.fit_folds(rows, [K.FEATURE_NAMES])
     known = F.coalesce(F.col("pred").isin(*K.LABELS), F.lit(False)).alias("known")
-    return learning.cross_validate(_folded(spark, sf)).select("post_id", "label", "fold", known)
+    scored = learning.fold_predictions(fits, rows, ["pred"])
+    masses = learning.training_masses(fits, rows)
+    return scored.join(masses, ["fold", "label"]).select("post_id", "label", "fold", known, I.rounded("mass"))
 
 
 @query(
     f"""WITH {I.FEATURES}, folded AS (SELECT {I.SQL_FOLD} AS fold FROM features)
-    SELECT fold, count(*) AS n, TRUE AS consistent, CAST(5 AS INTEGER) AS n_scores FROM folded GROUP BY fold"""
+    SELECT fold, count(*) AS n, TRUE AS consistent, CAST(5 AS INTEGER) AS n_scores, TRUE AS at_optimum FROM folded GROUP BY fold"""
 )
 def select_and_fit(spark, sf):
-    """The choice agrees with the scores of the predictions that are returned with it."""
-    result = learning.select_and_fit(_folded(spark, sf))
+    """The choice agrees with the scores of the predictions that are returned with it, and the model it returns has no slope left."""
+    rows = _folded(spark, sf)
+    result = learning.select_and_fit(rows)
     mean = sum(scores := learning.fold_macro_f1(result.predictions)) / len(scores)
-    svm = result.pack.name == "CalibratedLinearSVC"
-    agrees = abs(mean - result.mean_macro_f1) < 1e-9 and result.std_macro_f1 >= 0 and (not svm or isinstance(result.pack, learning.CalibratedSvcPack))
+    if isinstance(result.pack, learning.CalibratedSvcPack):
+        slopes = learning.svc_slopes(result.pack, rows).agg(F.max("margin_slope"), F.max("calibration_slope")).first()
+        at_optimum, named = max(slopes) < 1e-6, result.pack.name == "CalibratedLinearSVC"
+    else:
+        at_optimum, named = bool(abs(learning.logreg_gradient(result.pack, rows)).max() < 1e-3), result.pack.name == "LogisticRegression"
+    agrees = named and abs(mean - result.mean_macro_f1) < 1e-9 and result.std_macro_f1 >= 0
     return result.predictions.groupBy("fold").agg(F.count("*").alias("n")).select(
-        "fold", "n", F.lit(agrees).alias("consistent"), F.lit(len(result.fold_scores)).alias("n_scores")
+        "fold", "n", F.lit(agrees).alias("consistent"), F.lit(len(result.fold_scores)).alias("n_scores"), F.lit(at_optimum).alias("at_optimum")
     )
 
 
@@ -344,45 +394,77 @@ def save_model(spark, sf):
 
 
 @query(
-    """SELECT configuration, CAST(n_features AS INTEGER) AS n_features, TRUE AS in_range FROM (VALUES ('Dsem', 4), ('Dsen', 4),
-      ('Fvt', 4), ('Dsem+Dsen', 5), ('Dsem+Fvt', 5), ('Dsen+Fvt', 5), ('Dsem+Dsen+Fvt', 6)) AS t(configuration, n_features)"""
+    f"""WITH {I.FEATURES}, folded AS (SELECT label, {I.SQL_FOLD} AS fold FROM features),
+    parts AS (SELECT DISTINCT label, fold, {SQL_MASS} AS mass FROM folded)
+    SELECT configuration, CAST(n_features AS INTEGER) AS n_features, fold, label, mass, TRUE AS consistent
+    FROM parts, (VALUES ('Dsem', 4), ('Dsen', 4), ('Fvt', 4), ('Dsem+Dsen', 5), ('Dsem+Fvt', 5), ('Dsen+Fvt', 5),
+      ('Dsem+Dsen+Fvt', 6)) AS t(configuration, n_features)"""
 )
 def ablation(spark, sf):
-    return learning.ablation(_folded(spark, sf)).select(
-        "configuration", "n_features", _in_range("mean_accuracy", "mean_macro_f1")
+    """Per subset, fold and class: what the fold's model gives the class over the rows it learned from (fixed at the optimum), and whether
+    the subset's mean accuracy is that of its predictions."""
+    rows = _folded(spark, sf)
+    subsets = learning.feature_subsets()
+    fits = learning.fit_folds(rows, [learning.ablation_columns(s) for s in subsets])
+    keys = ["configuration", "n_features"]
+    plain = (
+        learning.ablation_predictions(rows, fits)
+        .groupBy(*keys, "fold")
+        .agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("plain"))
+        .groupBy(*keys)
+        .agg(F.avg("plain").alias("plain"))
+    )
+    scores = learning.ablation(rows, fits).join(plain, keys)
+    consistent = (F.abs(F.col("mean_accuracy") - F.col("plain")) < 1e-9) & F.col("mean_macro_f1").between(0, 1)
+    names = F.array(*[F.lit("+".join(s)) for s in subsets])
+    masses = learning.training_masses(fits, rows).withColumn("configuration", F.get(names, F.col("model")))
+    return masses.join(scores.select(*keys, consistent.alias("consistent")), "configuration").select(
+        *keys, "fold", "label", I.rounded("mass"), "consistent"
     )
 
 
 @query(
-    f"""WITH {I.FEATURES}, folded AS (SELECT {I.SQL_FOLD} AS fold FROM features)
-    SELECT fold, count(*) AS n_rows, TRUE AS in_range FROM folded GROUP BY fold"""
+    f"""WITH {I.FEATURES}, folded AS (SELECT label, {I.SQL_FOLD} AS fold FROM features)
+    SELECT DISTINCT fold, label, count(*) OVER (PARTITION BY fold) AS n_rows, {SQL_MASS} AS mass, TRUE AS consistent FROM folded"""
 )
 def unimodal_baseline(spark, sf):
-    return learning.unimodal_baseline(_folded(spark, sf)).select("fold", "n_rows", _in_range("accuracy", "macro_f1"))
+    """Per fold and class: rows scored, the class's mass over the training rows, and whether accuracy is that of the predictions."""
+    rows = _folded(spark, sf)
+    fits = learning.fit_folds(rows, [learning.POLARITY])
+    metrics = _agrees(learning.unimodal_baseline(rows), learning.fold_predictions(fits, rows, ["pred"]))
+    return learning.training_masses(fits, rows).join(metrics, "fold").select("fold", "label", "n_rows", I.rounded("mass"), "consistent")
 
 
 SQL_BINARY_FOLD = I.SQL_FOLD.replace("PARTITION BY label", f"PARTITION BY {I.SQL_IRONIC}")
 BINARY_RULE = f"{I.FEATURES}, {RULE_STEPS.replace(I.SQL_FOLD, SQL_BINARY_FOLD)}"
+#: The mass of class 1 over the training rows of a fold: half of them.
+SQL_BINARY_MASS = f"""ironic AS (SELECT {SQL_BINARY_FOLD} AS fold FROM features),
+    halves AS (SELECT fold, {I.r6('((SELECT count(*) FROM ironic) - count(*)) / 2')} AS mass FROM ironic GROUP BY fold)"""
+
+
+def _binary(rows, columns):
+    """Metrics per fold, whether they agree with the predictions, and the mass of class 1."""
+    folded = learning.binary_folds(rows)
+    fit = learning.fit_folds(folded, [columns], "y")[0]
+    metrics = _agrees(learning.binary_metrics(folded, fit), learning.fold_predictions([fit], folded, ["pred"]), "y")
+    masses = learning.training_masses([fit], folded, "y").filter("y = 1").select("fold", I.rounded("mass"))
+    return metrics.join(masses, "fold")
 
 
 @query(
-    f"""WITH {BINARY_RULE} SELECT fold, {I.r6('threshold')} AS threshold, {I.r6('accuracy')} AS dsem_rule_accuracy,
-      TRUE AS in_range FROM rule"""
+    f"""WITH {BINARY_RULE}, {SQL_BINARY_MASS} SELECT fold, {I.r6('threshold')} AS threshold, {I.r6('accuracy')} AS dsem_rule_accuracy,
+      mass, TRUE AS consistent FROM rule JOIN halves USING (fold)"""
 )
 def binary_sarcasm(spark, sf):
-    return learning.binary_sarcasm(_folded(spark, sf).drop("fold")).select(
-        "fold", I.rounded("threshold"), I.rounded("dsem_rule_accuracy"), _in_range("accuracy", "f1")
+    return _binary(_folded(spark, sf).drop("fold"), K.DISCREPANCY_SIGNALS).select(
+        "fold", I.rounded("threshold"), I.rounded("dsem_rule_accuracy"), "mass", "consistent"
     )
 
 
-@query(
-    f"""WITH {I.FEATURES}, folded AS (SELECT {SQL_BINARY_FOLD} AS fold FROM features)
-    SELECT DISTINCT fold, TRUE AS in_range FROM folded"""
-)
+@query(f"WITH {I.FEATURES}, {SQL_BINARY_MASS} SELECT fold, mass, TRUE AS consistent FROM halves")
 def unimodal_binary_sarcasm(spark, sf):
     """The binary task on the caption's polarity alone."""
-    rows = _folded(spark, sf).drop("fold", "Dsem")
-    return learning.binary_sarcasm(rows, ("p_neg", "p_pos")).select("fold", _in_range("accuracy", "f1"))
+    return _binary(_folded(spark, sf).drop("fold", "Dsem"), learning.POLARITY).select("fold", "mass", "consistent")
 
 
 # --- streams ----------------------------------------------------------------
@@ -393,22 +475,56 @@ def _table_stream(spark, sf, name):
     return jobs.file_stream(spark, sf, schema, pathGlobFilter=f"{name}.parquet")
 
 
-@query(
-    f"""WITH {admitted_sql(G.GateRules(spam_blocks=False))}
-    SELECT DISTINCT post_id FROM judged WHERE reason IN ('accepted', 'no_face', 'no_media')"""
-)
-def stream_ingest(spark, sf):
-    """The feed gate over an arriving file; the ids that get through, each once."""
-    posts = _table_stream(spark, sf, "documents")
-    cue = F.element_at(F.array(*[F.lit(c) for c in I.CUES]), (F.col("n_chars") % len(I.CUES) + 1).cast("int"))
-    script = F.when(F.col("lang") != "en", F.translate("text", I.LATIN, I.SCRIPT)).otherwise(F.col("text"))
-    shaped = posts.select(
-        F.col("n_chars").cast("string").alias("post_id"), F.concat(script, F.lit(" "), cue).alias("caption")
+#: Files of a stream, in the order in which they arrive, and its first second (a watermark is never before 1970).
+ARRIVAL, STREAM_START = (1, 0, 3, 2), 1_000_000_000
+
+
+def _arriving_posts(spark, sf):
+    """A folder of posts in files that come out of order, closed by a heartbeat; and how late a row can be, in seconds."""
+    folder = scratch_path(spark, "arriving")
+    posts = I.grouped_posts(spark, sf).select(
+        "ord", "post_id", "caption", "media_ok", "face_ok", F.timestamp_seconds(F.col("ord") + STREAM_START).alias("posted")
     )
-    accepted = jobs.stream_ingest(shaped, G.FEED, I.seen_posts(spark, sf))
-    out = scratch_path(spark, "ingested")
-    jobs.append_to_parquet(accepted, out, f"{out}-checkpoint").awaitTermination()
-    return spark.read.parquet(out).select("post_id")
+    last = posts.agg(F.max("ord")).first()[0] or 0
+    span = last // len(ARRIVAL) + 1
+    for part in ARRIVAL:
+        posts.filter(F.floor(F.col("ord") / span) == part).coalesce(1).write.mode("append").parquet(folder)
+    late = F.lit(last + 10 * span).cast("long")
+    beat = spark.range(1).select(
+        late.alias("ord"),
+        F.lit(None).cast("string").alias("post_id"),
+        F.lit("").alias("caption"),
+        F.lit(True).alias("media_ok"),
+        F.lit(True).alias("face_ok"),
+        F.timestamp_seconds(late + STREAM_START).alias("posted"),
+    )
+    beat.write.mode("append").parquet(folder)
+    return folder, posts.schema, 2 * span
+
+
+GATES = {"feed": G.FEED, "local": G.LOCAL, "embed": G.EMBED}
+
+
+@query(" UNION ALL ".join(f"(WITH {admitted_sql(rules)} SELECT '{name}' AS gate, ord, post_id, caption FROM admitted)" for name, rules in GATES.items()))
+def stream_ingest(spark, sf):
+    """The three gates over files that come out of order; the watermark trails by what that takes. The same posts as from the batch gates."""
+    folder, schema, lateness = _arriving_posts(spark, sf)
+    parts = []
+    for name, rules in GATES.items():
+        posts = jobs.file_stream(spark, folder, schema, maxFilesPerTrigger=1)
+        accepted = admission.stream_ingest(
+            posts,
+            rules,
+            I.seen_posts(spark, sf),
+            event_time="posted",
+            lateness=f"{lateness} seconds",
+            media_ok=F.col("media_ok"),
+            face_ok=F.col("face_ok"),
+        )
+        out = scratch_path(spark, f"ingested-{name}")
+        jobs.append_to_parquet(accepted, out, f"{out}-checkpoint").awaitTermination()
+        parts.append(spark.read.parquet(out).select(F.lit(name).alias("gate"), "ord", "post_id", "caption"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT CAST(label AS VARCHAR) AS label, count(*) AS n FROM embeddings GROUP BY label")
