@@ -242,7 +242,7 @@ def report_lines(kappas: DataFrame, counts: DataFrame) -> DataFrame:
         F.lit(1).alias("section"),
         F.col("annotator_a").alias("a"),
         F.col("annotator_b").alias("b"),
-        F.format_string("| %s | %s | %d | %.4f |", "annotator_a", "annotator_b", "overlap", "kappa").alias("line"),
+        F.format_string("| %s | %s | %d | %.4f |", "annotator_a", "annotator_b", "overlap", F.bround("kappa", 4)).alias("line"),  # ties to even
     )
     people = counts.select(
         F.lit(3).alias("section"),
