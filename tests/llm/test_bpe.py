@@ -86,9 +86,21 @@ def test_every_piece_takes_the_transducer_and_streams_are_apart(own, monkeypatch
     rng = random.Random(4)
     for _ in range(50):
         check(own, "".join(rng.choice("etaoinsrhl") for _ in range(400)))
-    calls = []
-    real = bpe.MergeList.stream
-    monkeypatch.setattr(bpe.MergeList, "stream", lambda self, symbols: calls.append(1) or real(self, symbols))
-    fresh = bpe.Encoder(json.load(open(tokenizer_path())))
-    fresh.encode("one two, three")
-    assert len(calls) == 4
+    for _ in range(300):
+        symbols = [*"".join(rng.choice("etaoinsrhl") for _ in range(rng.randrange(1, 90)))]
+        symbols[-1] += bpe.WORD_END
+        tokens = encoder.merges.encode_whole(symbols)
+        assert encoder.merges.closed(symbols) == tokens == list(encoder.merges.stream(symbols))
+    fresh, calls = bpe.Encoder(json.load(open(tokenizer_path()))), []
+    for name in ("stream", "closed"):
+        real = getattr(bpe.MergeList, name)
+        monkeypatch.setattr(bpe.MergeList, name, lambda self, symbols, name=name, real=real: calls.append(name) or real(self, symbols))
+    fresh.encode("one two, three " + "the" * 40)
+    assert sorted(calls) == ["closed"] * 4 + ["stream"]
+
+
+def test_one_pass_is_both(spark, messy, nothing):
+    both = bpe.decode_ids(bpe.encode_texts(messy, tokenizer_path()), tokenizer_path())
+    once = bpe.round_trip(messy, tokenizer_path())
+    assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+    assert bpe.round_trip(nothing, tokenizer_path()).collect() == []

@@ -29,6 +29,10 @@ WORD_END = "</w>"
 #: Python splits on these, Unicode's White_Space does not hold them.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
+#: Symbols of a piece whose notes are all kept; a longer one is streamed.
+HELD_SYMBOLS = 64
+#: Bytes of remembered words and of remembered pairs of tokens.
+WORD_BYTES, PAIR_BYTES = 64 << 20, 32 << 20
 #: Ids decoded at once.
 DECODE_BLOCK = 65_536
 
@@ -51,7 +55,7 @@ class MergeList:
         self.rank = {tuple(m): k for k, m in enumerate(merges)}
         self.lookahead = max((len(self.symbols(a + b)) for a, b in self.rank), default=1)
         self.valid = Memo(lambda t: t in vocab and self.encode_whole(self.symbols(t)) == [t])
-        self.fits = Memo(lambda pair: self.encode_whole(self.symbols(pair[0]) + self.symbols(pair[1])) == list(pair))
+        self.fits = Memo(lambda pair: self.encode_whole(self.symbols(pair[0]) + self.symbols(pair[1])) == list(pair), PAIR_BYTES)
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -107,6 +111,25 @@ class MergeList:
             rest.append(token)
         yield from reversed(rest)
 
+    def closed(self, symbols: list[str]) -> list[str]:
+        """Tokens of a piece that is at hand whole: the transducer's notes from left to right, read back from the end. Nothing is held back."""
+        vocab, valid, fits = self.vocab, self.valid, self.fits
+        last: list[str | None] = [None] * (len(symbols) + 1)
+        begins = [0] * (len(symbols) + 1)
+        for at in range(1, len(symbols) + 1):
+            token = ""
+            for begin in range(at - 1, max(-1, at - 1 - self.lookahead), -1):
+                token = symbols[begin] + token
+                if token in vocab and valid[token] and (not begin or (before := last[begin]) is not None and fits[before, token]):
+                    last[at], begins[at] = token, begin
+                    break
+        tokens, at = [], len(symbols)
+        while at:
+            tokens.append(last[at])
+            at = begins[at]
+        tokens.reverse()
+        return tokens
+
     def _stable(self, last: dict, done: int, at: int) -> list[str]:
         """Tokens from ``done`` on that the chains of all heads share."""
         common = None
@@ -139,7 +162,7 @@ class Encoder:
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.bytes = byte_symbols()
-        self.memo = Memo(self.word)
+        self.memo = Memo(self.word, WORD_BYTES)
 
     def word(self, word: str) -> bytes:
         """Ids of a normalised word without white space, as little-endian unsigned 32-bit integers."""
@@ -147,7 +170,8 @@ class Encoder:
         for piece in self.pieces.findall(word):
             symbols = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
             symbols[-1] += WORD_END
-            out += [self.vocab[t] for t in self.merges.stream(symbols)]
+            long = len(symbols) > HELD_SYMBOLS  # else all notes fit into memory and none is emitted before the end
+            out += [self.vocab[t] for t in (self.merges.stream(symbols) if long else self.merges.closed(symbols))]
         return struct.pack(f"<{len(out)}I", *out)
 
     def plain(self, text: str) -> bytes:
@@ -257,6 +281,26 @@ def decode_ids(tokens: DataFrame, path: str, mode: str = "tokens") -> DataFrame:
     return arrow_map(tokens, ["doc_id", "ids"], "doc_id long, ids binary, decoded string", make)
 
 
+def round_trip(docs: DataFrame, path: str, mode: str = "tokens") -> DataFrame:
+    """(doc_id, ids, decoded) for every row of ``docs``: ``decode_ids`` of ``encode_texts``, in one worker and one exchange with it."""
+    shipped = _shipped(docs, path)
+
+    def make():
+        encoder, decoder = _once(Encoder, shipped.value), _once(Decoder, shipped.value, mode)
+
+        def work(batch):
+            ids, decoded = [], []
+            for text in batch.column("text"):
+                ids.append(encoder.encode(text.as_py()))
+                decoded.append(decoder.decode(ids[-1]))
+            return {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary()), "decoded": decoded}
+
+        return work
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(source, ["doc_id", "text"], "doc_id long, ids binary, decoded string", make)
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the ids and the text decoded from them."""
     ids = F.coalesce("ids", F.lit(b""))

@@ -136,14 +136,14 @@ def _letters(x: object) -> int:
 class Memo(dict):
     """A dict that computes missing values, keeps those of short keys, and forgets everything when it gets large."""
 
-    def __init__(self, compute: Callable) -> None:
-        self.compute, self.bytes = compute, 0
+    def __init__(self, compute: Callable, most: int = MEMO_BYTES) -> None:
+        self.compute, self.most, self.bytes = compute, most, 0
 
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= MEMO_KEY:
             self.bytes += ENTRY_BYTES + _letters(key) + _letters(value)
-            if self.bytes > MEMO_BYTES:
+            if self.bytes > self.most:
                 self.clear()
                 self.bytes = ENTRY_BYTES + _letters(key) + _letters(value)
             self[key] = value

@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ EPOCHS, RATE = 6, 2.0
 #: Word that stands for a repetition (no word holds white space), and how often it then counts.
 AGAIN, AGAIN_TIMES = zlib.crc32(b" again") % WORD_ROWS, 8
 #: Words whose vectors a task remembers from one document to the next.
-KEPT_WORDS = 1 << 16
+KEPT_WORDS = 200_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -71,14 +72,18 @@ class Model:
         place: dict[bytes, int] = {}
         table = np.zeros((1024, SIZE + 1), np.float32)
 
-        def row_of(word: bytes) -> int:
+        def learn(new: list[bytes]) -> None:
+            """Add the sums of the vectors of words to the table."""
             nonlocal table
-            if (at := len(place)) == len(table):
+            rows = list(map(word_rows, new))
+            sizes = np.array(list(map(len, rows)))
+            at = len(place)
+            while at + len(new) > len(table):
                 table = np.concatenate([table, np.zeros_like(table)])
-            rows = word_rows(word)
-            table[at, :SIZE], table[at, SIZE] = self.vectors[rows].sum(0), len(rows)
-            place[word] = at
-            return at
+            flat = np.fromiter(chain.from_iterable(rows), np.int64, sizes.sum())
+            table[at : at + len(new), :SIZE] = np.add.reduceat(self.vectors[flat], np.cumsum(sizes) - sizes, axis=0)
+            table[at : at + len(new), SIZE] = sizes
+            place.update(zip(new, range(at, at + len(new))))
 
         def probabilities(text: str | None) -> np.ndarray:
             nonlocal table
@@ -86,7 +91,9 @@ class Model:
             if len(place) > KEPT_WORDS:
                 place.clear()
                 table = np.zeros((1024, SIZE + 1), np.float32)
-            at = np.fromiter((place[w] if w in place else row_of(w) for w in words), np.int64, len(words))
+            if new := [w for w in dict.fromkeys(words) if w not in place]:
+                learn(new)
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             total = table[at].sum(0, dtype=np.float64)
             again = AGAIN_TIMES * int((at[1:] == at[:-1]).sum())
             total[:SIZE] += again * self.vectors[AGAIN]

@@ -71,8 +71,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 @query()
 def op4_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.digests(bpe.decode_ids(bpe.encode_texts(read_table(spark, sf, "documents"), path), path))
+    return bpe.digests(bpe.round_trip(read_table(spark, sf, "documents"), tokenizer_path()))
 
 
 @query()
