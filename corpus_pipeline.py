@@ -51,8 +51,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def codec_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digests of ids and decoded text."""
-    coded = bpe.decode_ids(bpe.encode_texts(docs, tokenizer_path()), tokenizer_path())
-    return bpe.digests(coded, "ids")
+    return bpe.digests(bpe.round_trip(docs, tokenizer_path()), "ids")
 
 
 STAGES = [
