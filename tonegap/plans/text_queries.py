@@ -138,10 +138,25 @@ SQL_HEADING = I.sql_strip(
 )
 
 
-@query(f"SELECT page_id, {SQL_HEADING} AS caption FROM pages")
+#: What a page of each shape shows by default: a marked caption, a description only, neither.
+SQL_BY_DEFAULT = f"""CASE page_id % 3 WHEN 0 THEN {I.sql_strip(I.sql_unescape(f"regexp_replace({SQL_TITLE}, '<[^>]+>', ' ', 'g')"))}
+  WHEN 1 THEN {sql_og(I.sql_unescape(f"'12 likes: ' || replace({SQL_TITLE}, chr(34), '')"))} ELSE '' END"""
+
+
+@query(f"SELECT page_id, {SQL_HEADING} AS caption, {SQL_BY_DEFAULT} AS default_caption FROM pages")
 def caption_from_html(spark, sf):
+    """Headings by a marker of their own; and pages that get a marked caption, a description or neither, by the default marker."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    marked = F.concat(F.lit('<span class="Caption" dir="auto">'), title, F.lit("</span>"))
+    described = F.concat(
+        F.lit('<meta property="og:description" content="12 likes: '), F.replace(title, F.lit('"'), F.lit("")), F.lit('"/>')
+    )
+    shape = F.col("page_id") % 3
+    head = F.when(shape == 0, F.concat(marked, described)).when(shape == 1, described).otherwise("")
     return I.texts(spark, sf, "pages").select(
-        "page_id", H.caption_from_html(F.col("html"), "<h1", "h1").alias("caption")
+        "page_id",
+        H.caption_from_html(F.col("html"), "<h1", "h1").alias("caption"),
+        H.caption_from_html(F.concat(head, "html")).alias("default_caption"),
     )
 
 
@@ -169,12 +184,25 @@ def image_urls(spark, sf):
     )
 
 
-@query(f"WITH {SQL_PICK} SELECT page_id, picked.url FROM pages LEFT JOIN picked USING (page_id)")
+@query(
+    f"""WITH {SQL_PICK} SELECT page_id, picked.url,
+      CASE page_id % 3 WHEN 0 THEN 'https://x.scontent.net/' || page_id || '.webp?a=1&b=2'
+        WHEN 1 THEN 'https://img.example/' || page_id || '.png?a=1&b=2' END AS default_url
+    FROM pages LEFT JOIN picked USING (page_id)"""
+)
 def pick_image_url(spark, sf):
-    pages = I.texts(spark, sf, "pages").select("page_id", "html")
-    return H.with_image_url(
-        pages, name="url", pattern=LINK_PATTERN, group=1, thumbnail_markers=LINK_MARKERS
-    ).select("page_id", "url")
+    """Links by a pattern of their own; and pages that get media with a longer thumbnail, an og:image or neither, by the default pattern."""
+    number = F.col("page_id").cast("string")
+    media = F.concat(
+        F.lit("<img src='https://x.scontent.net/s150x150/a-much-longer-name-"), number, F.lit(".jpg'>"),
+        F.lit('<img src="https://x.scontent.net/'), number, F.lit('.webp?a=1&amp;b=2">'),
+    )
+    og = F.concat(F.lit('<meta property="og:image" content="https://img.example/'), number, F.lit('.png?a=1&amp;b=2"/>'))
+    shape = F.col("page_id") % 3
+    head = F.when(shape == 0, F.concat(media, og)).when(shape == 1, og).otherwise("")
+    pages = I.texts(spark, sf, "pages").select("page_id", "html", F.concat(head, "html").alias("dressed"))
+    linked = H.with_image_url(pages, name="url", pattern=LINK_PATTERN, group=1, thumbnail_markers=LINK_MARKERS)
+    return H.with_image_url(linked, html="dressed", name="default_url").select("page_id", "url", "default_url")
 
 
 @query(f"SELECT page_id, {I.sql_unescape('html')} AS text FROM pages")
