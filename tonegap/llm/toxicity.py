@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from tonegap.llm.common import fit_labels, labelled_sample, predictions, with_scores
 
-#: Documents per label and characters per document that the fit may use.
-FIT_PER_LABEL, FIT_MAX_CHARS = 1500, 20_000
+#: Documents per label, characters per document and windows of ordinary text that the fit may use.
+FIT_PER_LABEL, FIT_MAX_CHARS, FIT_WINDOWS = 1500, 20_000, 40_000
 #: Bytes of a window, at word boundaries.
 WINDOW = 96
 LEVEL = 11
+#: Bytes of the trained body, and of the characteristic words before it (the strongest, if there are more).
 BODY_BYTES, WORDS_BYTES = 32_768, 16_384
 #: A word's contexts, likelihood ratio and odds from which it counts as characteristic.
 LEAST_CONTEXTS, LEAST_RATIO, LEAST_ODDS = 4, 12.0, 6.0
@@ -144,7 +145,7 @@ def train(texts: list[tuple[int, str, str]], counts: dict[str, int]) -> Model:
     if not toxic or not ordinary:
         return Model(b"", b"", None)
     pieces = [w for t in ordinary for w in windows(t, 64)]
-    order = np.random.default_rng(11).permutation(len(pieces))[:40_000]
+    order = np.random.default_rng(11).permutation(len(pieces))[:FIT_WINDOWS]
     try:
         body = zstandard.train_dictionary(BODY_BYTES, [pieces[i] for i in order]).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
