@@ -6,7 +6,8 @@ A graph that joins each centroid with its nearest ones is searched with a beam f
 filed; queries are compared with all centroids. A vector near a boundary is filed in several lists: those whose centroid
 is hardly farther than the nearest one's and not next to a list it is already in. A query reads all
 lists whose centroid is within a ratio of the distance to its eighth nearest one, however many these are. The
-ratio is fitted on sampled queries, whose answers are known by brute force, so that they find their share.
+ratio is fitted on sampled queries, whose answers are known by brute force, so that they find their share. Its eight nearest lists are read
+first; what they give bounds the score an answer must have, and the other lists give away only what reaches it.
 
 Equal vectors are one entry with as many of its smallest ids as an answer can show, and equal
 queries are searched once, so copies make no list longer. Lists and their queries are cut into
@@ -146,6 +147,11 @@ class Index:
         """The lists each query reads: all within the ratio."""
         return [np.flatnonzero(near) for near in self.ratios(q) <= ratio + 1e-9]
 
+    def probed_apart(self, q: np.ndarray, ratio: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same lists in two parts: the nearest ones, up to the rank that the ratio refers to, and the others."""
+        rows = self.ratios(q)
+        return [(np.flatnonzero(r <= 1 + 1e-9), np.flatnonzero((r > 1 + 1e-9) & (r <= ratio + 1e-9))) for r in rows]
+
     def ratio_for(self, q: np.ndarray, held: list[tuple[int, list[int]]], recall: float = FIT_RECALL) -> float:
         """The least ratio, from 1, that reads a list of ``recall`` of the neighbours, given as (query, its lists)."""
         ratios = self.ratios(q)
@@ -188,10 +194,11 @@ def entries_of(embeddings: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (list, key, vec) as blocks (list, block, keys, vecs)."""
+    """Rows (list, key, vec, ...) as blocks (list, rows)."""
     sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-    packed = rows.join(sizes, "list").groupBy("list", block.alias("block")).agg(F.collect_list(F.struct("key", "vec")).alias("rows"))
+    members = F.struct(*[c for c in rows.columns if c != "list"])
+    packed = rows.join(sizes, "list").groupBy("list", block.alias("block")).agg(F.collect_list(members).alias("rows"))
     return packed.select("list", F.col("rows").alias(name))
 
 
@@ -270,26 +277,29 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
     fitted = build_index(np.stack([np.frombuffer(r.vec, np.float64) for r in sample]), whole[1], whole[0])
     shipped = spark.sparkContext.broadcast(fitted)  # at most MOST_LISTS centroids and their edges
 
-    def placed(df: DataFrame, name: str, ratio: float | None = None) -> DataFrame:
+    def placed(df: DataFrame, name: str, place, *columns: str) -> DataFrame:
+        """(key, vec) and the lists that ``place`` names for them, in one column or several."""
+
         def make():
             index = shipped.value
 
             def work(batch):
                 x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(-1, size)
-                parts = [x[i : i + 256] for i in range(0, len(x), 256)]
-                lists = [c for part in parts for c in (index.filed(part) if ratio is None else index.probed(part, ratio))]
-                return {c: batch.column(c) for c in ("key", "vec")} | {"lists": lists}
+                lists = [c for i in range(0, len(x), 256) for c in place(index, x[i : i + 256])]
+                return {c: batch.column(c) for c in ("key", "vec")} | dict(zip(columns, zip(*lists)))
 
             return work
 
-        rows = stored(arrow_map(df, ["key", "vec"], "lists array<int>, key long, vec binary", make), name)
-        return rows.select(F.explode("lists").alias("list"), "key", "vec")
+        schema = ", ".join(f"{c} array<int>" for c in columns) + ", key long, vec binary"
+        return stored(arrow_map(df, ["key", "vec"], schema, make), name)
 
     asked = rows.filter(F.col("vec_id") % every == 0)
     queries = stored(asked.groupBy("vec").agg(F.min("vec_id").alias("key")), "queries")
-    filed = placed(entries, "lists")
+    filed = placed(entries, "lists", lambda index, x: [(c,) for c in index.filed(x)], "lists").select(F.explode("lists").alias("list"), "key", "vec")
     tried = queries.orderBy(F.xxhash64("key", F.lit("tried")), "key").limit(FIT_QUERIES).collect()
-    probed = placed(queries, "probes", _fitted_ratio(fitted, tried, entries, filed, top))
+    ratio = _fitted_ratio(fitted, tried, entries, filed, top)
+    probed = placed(queries, "probes", lambda index, x: index.probed_apart(x, ratio), "near", "far")
+    held = stored(_blocks(filed, "held"), "held")
 
     def scan():
         def unpack(block):
@@ -299,18 +309,31 @@ def nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> DataFrame:
             q_out, k_out, s_out = [], [], []
             for asking, held in zip(batch.column("asking").to_pylist(), batch.column("held").to_pylist()):
                 (qk, q), (vk, v) = unpack(asking), unpack(held)
+                least = np.array([r["bound"] for r in asking])
                 order = np.argsort(vk)
                 vk, scores = vk[order], inner_products(q, v[order])
                 best = np.argsort(-scores, axis=1, kind="stable")[:, : top + 1]
-                q_out.append(np.repeat(qk, best.shape[1]))
-                k_out.append(vk[best].ravel())
-                s_out.append(np.take_along_axis(scores, best, 1).ravel())
+                found = np.take_along_axis(scores, best, 1)
+                i, j = np.nonzero(found >= least[:, None])
+                q_out.append(qk[i])
+                k_out.append(vk[best[i, j]])
+                s_out.append(found[i, j])
             return {"q": pa.array(np.concatenate(q_out)), "key": pa.array(np.concatenate(k_out)), "score": pa.array(np.concatenate(s_out))}
 
         return work
 
-    pairs = _blocks(probed, "asking").join(_blocks(filed, "held"), "list")
-    found = arrow_map(pairs, ["asking", "held"], "q long, key long, score double", scan)
+    def search(asking: DataFrame) -> DataFrame:
+        pairs = _blocks(asking, "asking").join(held, "list")
+        return arrow_map(pairs, ["asking", "held"], "q long, key long, score double", scan)
+
+    no_bound = F.lit(float("-inf"))
+    by_rank = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+    nearby = search(probed.select(F.explode("near").alias("list"), "key", "vec", no_bound.alias("bound")))
+    first = nearby.distinct().withColumn("place", F.row_number().over(by_rank)).filter(F.col("place") <= top + 1)
+    first = stored(first.select("q", "key", "score", "place"), "nearby")
+    bounds = first.filter(F.col("place") == top + 1).select(F.col("q").alias("key"), F.col("score").alias("bound"))
+    farther = probed.join(bounds, "key", "left").select(F.explode("far").alias("list"), "key", "vec", F.coalesce("bound", no_bound).alias("bound"))
+    found = first.select("q", "key", "score").unionByName(search(farther))
     by_score = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     best = (
         found.distinct()  # an entry in several lists
