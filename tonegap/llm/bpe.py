@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegap.llm.common import Memo, arrow_map
+from tonegap.llm.common import Memo, arrow_map, held
 
 WORD_END = "</w>"
 #: Python splits on these, Unicode's White_Space does not hold them.
@@ -32,7 +32,7 @@ _SPACE = regex.compile(r"\p{White_Space}+")
 #: Symbols of a piece whose notes are all kept; a longer one is streamed.
 HELD_SYMBOLS = 64
 #: Bytes of remembered words and of remembered pairs of tokens.
-WORD_BYTES, PAIR_BYTES = 64 << 20, 32 << 20
+WORD_BYTES, PAIR_BYTES = 32 << 20, 24 << 20
 #: Ids decoded at once.
 DECODE_BLOCK = 65_536
 
@@ -229,15 +229,13 @@ class Decoder:
         return "".join(self.feed(memoryview(packed or b"").cast("I")))
 
 
-_LOADED: dict[tuple, object] = {}
-
-
 def _once(kind, raw: bytes, *args):
-    """One encoder or decoder per worker process, whatever the number of tasks."""
-    key = (kind, hash(raw), *args)
-    if key not in _LOADED:
-        _LOADED[key] = kind(json.loads(raw), *args)
-    return _LOADED[key]
+    """One encoder or decoder per worker process, whatever the number of tasks; dropped when another operator runs there."""
+    loaded = held(f"bpe {hash(raw)}", dict)
+    key = (kind, *args)
+    if key not in loaded:
+        loaded[key] = kind(json.loads(raw), *args)
+    return loaded[key]
 
 
 def _shipped(df: DataFrame, path: str):

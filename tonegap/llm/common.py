@@ -65,6 +65,7 @@ def with_scores(docs: DataFrame, make: Callable[[], Callable[[str | None], float
     """(row, score): each row of ``docs`` whole, as a struct, beside the score of its text."""
 
     def batches():
+        forget()  # what other stages left
         score = make()
 
         def work(batch):
@@ -157,17 +158,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_KEPT: dict[str, Memo] = {}
+_KEPT: dict[str, object] = {}
 
 
-def kept(name: str, compute: Callable) -> Memo:
-    """A memo that a worker process keeps until it needs one of another name; ``compute`` must depend on its argument only."""
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task, until it needs something of another name."""
     if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[name] = Memo(compute)
+        _KEPT[name] = make()
     return _KEPT[name]
 
 
+def forget() -> None:
+    _KEPT.clear()
+
+
+def kept(name: str, compute: Callable) -> Memo:
+    """A memo that a worker process keeps; ``compute`` must depend on its argument only."""
+    return held(name, lambda: Memo(compute))
+
+
 def word_hashes() -> Memo:
     return kept("words", xxhash.xxh3_64_intdigest)
 
