@@ -116,6 +116,12 @@ HAPPY_EMOJI = r"[\x{1F600}-\x{1F64F}\x{2764}\x{1F970}\x{1F60A}\x{1F602}]"
 SAD_EMOJI = r"[\x{1F622}-\x{1F62D}\x{1F614}\x{1F61E}\x{2639}]"
 SARCASM_MIN_LENGTH = 8
 
+# --- the same cues as patterns, for the SQL twins (fixed values) ------------
+NEG_PATTERN = r"ناراحت|غمگین|غم|گریه|افسرد|حالم\s*بد|خسته|عصبانی|نفرت|بدبخت| miserable|sad|depressed|tired|hate|upset"
+POS_PATTERN = r"خوشحال|شاد|عالی|فوق\s*العاده|love|happy|great|amazing|best\s*day"
+TURN_PATTERN = r"ولی|اما|در\s+حالی|although|but\s+|ببینم|کی\s+بلد|مگه| seriously|yeah\s+right"
+IRONY_PATTERN = r"کنایه|طنز|سرتق|iron(y|ic)|sarcasm"
+
 # --- weak labels (fixed values) ---------------------------------------------
 WEAK_POSITIVE_WORDS = ("خوشح", "عالی", "زیب", "دوست", "شاد", "❤", "🥰", "😍", "ممنون", "love")
 WEAK_NEGATIVE_WORDS = ("ناراح", "غم", "بد", "عصب", "اشک", " hate", "angry", "sad")
@@ -147,7 +153,7 @@ THUMBNAIL_MARKERS = ("s100x100", "s150x150", "/t51.82787-19/")
 MEDIA_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 MEDIA_MIME_TYPES = ("image/jpeg", "image/jpg", "image/png", "image/webp")
 SEARCH_MARKERS = "?*~"
-# Where page data keeps a caption, and the length a text must exceed to count as one.
+# Where page data keeps a caption, and the length a text must exceed to count as one (fixed values).
 CAPTION_PATHS = (
     (("edge_media_to_caption", "edges", 0, "node", "text"), 0),
     (("caption", "text"), 3),

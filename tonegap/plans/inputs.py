@@ -151,15 +151,11 @@ def sql_matches(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {sql_text('(?i)' + pattern)})"
 
 
-SQL_NEG = r"ناراحت|غمگین|غم|گریه|افسرد|حالم\s*بد|خسته|عصبانی|نفرت|بدبخت| miserable|sad|depressed|tired|hate|upset"
-SQL_POS = r"خوشحال|شاد|عالی|فوق\s*العاده|love|happy|great|amazing|best\s*day"
-
-
 def sql_sarcasm(x: str) -> str:
-    neg, pos = sql_matches(x, SQL_NEG), sql_matches(x, SQL_POS)
-    turn = sql_matches(x, r"ولی|اما|در\s+حالی|although|but\s+|ببینم|کی\s+بلد|مگه| seriously|yeah\s+right")
+    neg, pos = sql_matches(x, K.NEG_PATTERN), sql_matches(x, K.POS_PATTERN)
+    turn = sql_matches(x, K.TURN_PATTERN)
     return f"""(length({x}) >= {K.SARCASM_MIN_LENGTH} AND (
-      {sql_matches(x, 'کنایه|طنز|سرتق|iron(y|ic)|sarcasm')}
+      {sql_matches(x, K.IRONY_PATTERN)}
       OR ({neg} AND {sql_matches(x, K.HAPPY_EMOJI)})
       OR ({pos} AND {sql_matches(x, K.SAD_EMOJI)})
       OR ({neg} AND {pos})
