@@ -37,3 +37,11 @@ def test_entry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "review_table" in entry.queries()
+
+
+def test_annotator_pairs_gives_a_row_per_shared_post(spark, tmp_path):
+    rows = [(k, k, "2024-01-01 00:00:00", "view", 1.0) for k in (1, 2, 3)] + [(40 + k, k, "2024-01-01 00:00:00", "view", 1.0) for k in (1, 2)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double")
+    events.withColumn("ts", events.ts.cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    got = [(r.post_id, r.annotator_a, r.annotator_b) for r in QUERIES["annotator_pairs"].build(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("0", "u1", "u2"), ("0", "u1", "u3"), ("0", "u2", "u3"), ("5", "u1", "u2")]

@@ -82,9 +82,9 @@ def _latest(spark, sf):
     return A.latest_annotation(I.audit_log(spark, sf))
 
 
-@query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, label_a, label_b, count(*) AS n FROM pairs GROUP BY ALL")
+@query(f"WITH {PAIRS} SELECT * FROM pairs")
 def annotator_pairs(spark, sf):
-    return A.label_pairs(cut_lineage(_latest(spark, sf)), part_rows=64)
+    return A.annotator_pairs(cut_lineage(_latest(spark, sf)), part_size=16)
 
 
 @query(f"WITH {PAIRS} SELECT annotator_a, annotator_b, n AS overlap FROM pair_sizes")
