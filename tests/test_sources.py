@@ -149,3 +149,13 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     for run in ("one", "two"):
         jobs.stream_upsert(stream, path, str(tmp_path / run)).awaitTermination()
     assert tables.fetch_vectors(spark, path).count() == 2
+
+
+def test_lines_are_stored_in_as_many_parts_as_they_are_read_in(spark, tmp_path):
+    from tonegap.plans.io_queries import _store_in_parts
+
+    rows = spark.range(0, 900, 1, 9).selectExpr("id AS ord", "CAST(id AS STRING) AS value")
+    path = _store_in_parts(rows, "ord", str(tmp_path / "many"))
+    assert len(spark.read.text(path).inputFiles()) == 9
+    assert [r.value for r in lines.numbered_lines(spark, path).orderBy("ord").collect()] == [str(k) for k in range(900)]
+    assert len(spark.read.text(_store_in_parts(rows.coalesce(1), "ord", str(tmp_path / "few"))).inputFiles()) == 3

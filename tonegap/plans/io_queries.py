@@ -21,8 +21,8 @@ def _store(lines, path: str) -> str:
 
 
 def _store_in_parts(lines, key: str, path: str, parts: int = 3) -> str:
-    """Lines in the order of ``key`` over several part files."""
-    cut = lines.repartitionByRange(parts, key).sortWithinPartitions(key)
+    """Lines in the order of ``key`` over several part files: ``parts``, or as many as the splits they are read in, if these are more."""
+    cut = lines.repartitionByRange(max(parts, lines.rdd.getNumPartitions()), key).sortWithinPartitions(key)
     return _store(cut.select("value"), path)
 
 
