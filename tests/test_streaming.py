@@ -98,3 +98,14 @@ def test_is_the_batch_gate(spark, tmp_path, rules):
     seen = spark.createDataFrame([("known",)], "post_id string")
     batch = G.gate(spark.createDataFrame(rows, SCHEMA), rules, seen=seen, media_ok=F.col("media_ok"), face_ok=F.col("face_ok"))
     assert got == sorted((r.post_id, r.ord) for r in batch.collect())
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    from tonegap.plans import QUERIES
+
+    vectors = spark.createDataFrame([(k, k % 3, [float(k)] * 4) for k in range(30)], "vec_id long, label int, embedding array<float>")
+    vectors.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.label: r.n for r in QUERIES["stream_upsert"].build(spark, str(tmp_path)).collect()} == {"0": 10, "1": 10, "2": 10}
+    events = spark.createDataFrame([(k, 1 + k % 2, "view", 1.0) for k in range(10)], "event_id long, user_id long, event_type string, value double")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.annotator_id: r.n for r in QUERIES["stream_agreement"].build(spark, str(tmp_path)).collect()} == {"u1": 5, "u2": 5}

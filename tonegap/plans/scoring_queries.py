@@ -471,8 +471,9 @@ def unimodal_binary_sarcasm(spark, sf):
 
 
 def _table_stream(spark, sf, name):
+    """A table as it arrives, be it one file or a folder of files; the pattern matches its name only, as a stream's plain path must be a folder."""
     schema = I.table(spark, sf, name).schema
-    return jobs.file_stream(spark, sf, schema, pathGlobFilter=f"{name}.parquet")
+    return jobs.file_stream(spark, f"{sf}/{name}.parque[t]", schema)
 
 
 #: Files of a stream, in the order in which they arrive, and its first second (a watermark is never before 1970).
