@@ -100,6 +100,26 @@ def test_is_the_batch_gate(spark, tmp_path, rules):
     assert got == sorted((r.post_id, r.ord) for r in batch.collect())
 
 
+def test_a_stretch_of_posts_is_many_files(spark, tmp_path):
+    from tonegap.plans import QUERIES, scoring_queries
+
+    captions = [GOOD, SPAM, GOOD + " خوبی"]
+    docs = [(k, captions[k % 3], "fa" if k % 4 else "xx", "web", 20 + k * 7 % 50) for k in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "x" * 30)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder, _, lateness, files = scoring_queries._arriving_posts(spark, str(tmp_path))
+    assert lateness == 100 and files > 1
+    assert sum(1 for f in spark.read.parquet(folder).inputFiles()) > 4 * (files - 1)
+    got = QUERIES["stream_ingest"].build(spark, str(tmp_path)).select("gate", "ord", "post_id").collect()
+    posts, seen = scoring_queries.I.grouped_posts(spark, str(tmp_path)), scoring_queries.I.seen_posts(spark, str(tmp_path))
+    want = {
+        (name, r.ord, r.post_id)
+        for name, rules in scoring_queries.GATES.items()
+        for r in G.gate(posts, rules, seen=seen, media_ok=F.col("media_ok"), face_ok=F.col("face_ok")).collect()
+    }
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
     from tonegap.plans import QUERIES
 

@@ -481,15 +481,23 @@ ARRIVAL, STREAM_START = (1, 0, 3, 2), 1_000_000_000
 
 
 def _arriving_posts(spark, sf):
-    """A folder of posts in files that come out of order, closed by a heartbeat; and how late a row can be, in seconds."""
+    """A folder of posts that come out of order, a stretch of ``ARRIVAL`` after the other, closed by a heartbeat; the posts' schema, how late
+    a row can be in seconds, and the files of a batch.
+
+    A stretch is many files, or few tasks would read it. A batch takes about a stretch, and need not keep to its ends: whatever
+    files it takes, no row is later than two stretches.
+    """
     folder = scratch_path(spark, "arriving")
     posts = I.grouped_posts(spark, sf).select(
         "ord", "post_id", "caption", "media_ok", "face_ok", F.timestamp_seconds(F.col("ord") + STREAM_START).alias("posted")
     )
     last = posts.agg(F.max("ord")).first()[0] or 0
     span = last // len(ARRIVAL) + 1
+    tasks = 2 * spark.sparkContext.defaultParallelism
     for part in ARRIVAL:
-        posts.filter(F.floor(F.col("ord") / span) == part).coalesce(1).write.mode("append").parquet(folder)
+        stretch = posts.filter(F.col("ord").between(part * span, (part + 1) * span - 1))
+        stretch.repartition(tasks, "ord").write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
     late = F.lit(last + 10 * span).cast("long")
     beat = spark.range(1).select(
         late.alias("ord"),
@@ -499,8 +507,8 @@ def _arriving_posts(spark, sf):
         F.lit(True).alias("face_ok"),
         F.timestamp_seconds(late + STREAM_START).alias("posted"),
     )
-    beat.write.mode("append").parquet(folder)
-    return folder, posts.schema, 2 * span
+    beat.coalesce(1).write.mode("append").parquet(folder)
+    return folder, posts.schema, 2 * span, -(-files // len(ARRIVAL))
 
 
 GATES = {"feed": G.FEED, "local": G.LOCAL, "embed": G.EMBED}
@@ -509,10 +517,10 @@ GATES = {"feed": G.FEED, "local": G.LOCAL, "embed": G.EMBED}
 @query(" UNION ALL ".join(f"(WITH {admitted_sql(rules)} SELECT '{name}' AS gate, ord, post_id, caption FROM admitted)" for name, rules in GATES.items()))
 def stream_ingest(spark, sf):
     """The three gates over files that come out of order; the watermark trails by what that takes. The same posts as from the batch gates."""
-    folder, schema, lateness = _arriving_posts(spark, sf)
+    folder, schema, lateness, files = _arriving_posts(spark, sf)
     parts = []
     for name, rules in GATES.items():
-        posts = jobs.file_stream(spark, folder, schema, maxFilesPerTrigger=1)
+        posts = jobs.file_stream(spark, folder, schema, maxFilesPerTrigger=files)
         accepted = admission.stream_ingest(
             posts,
             rules,
