@@ -96,9 +96,10 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in needed])
 
 
-def is_spam_caption(text: Column) -> Column:
+def is_spam_caption(text: Column, lowered: Column | None = None) -> Column:
+    """``lowered``: the text in lower case, where that is a stored column already."""
     hit = (
-        contains_any(F.lower(text), K.SPAM_SUBSTRINGS_LATIN)
+        contains_any(F.lower(text) if lowered is None else lowered, K.SPAM_SUBSTRINGS_LATIN)
         | contains_any(text, K.SPAM_SUBSTRINGS_FA)
         | ((F.length(text) > K.SPAM_LONG_TEXT) & contains_any(text, K.SPAM_LONG_WORDS))
     )
@@ -112,13 +113,13 @@ def fold_case(text: Column) -> Column:
     return F.lower(text)
 
 
-def is_sarcasm_candidate(text: Column, *, preprocessed: bool = False) -> Column:
-    """Text cues of irony. Pass ``preprocessed=True`` when the caption is already normalised.
+def is_sarcasm_candidate(text: Column, *, preprocessed: bool = False, folded: Column | None = None) -> Column:
+    """Text cues of irony. Pass ``preprocessed=True`` when the caption is already normalised, and ``folded`` when its case is too.
 
     The branches are ordered so that every word list is searched at most once per text.
     """
     t = text if preprocessed else preprocess_caption(text)
-    folded = fold_case(t)
+    folded = fold_case(t) if folded is None else folded
     has = lambda words: contains_any(folded, words)
     quotes = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) >= 2
     turn = has(K.CONTRAST_WORDS) | has(K.RHETORICAL_WORDS)
