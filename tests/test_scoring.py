@@ -69,3 +69,27 @@ def test_only_named_files_are_scored_and_none_is_exchanged(spark, inputs):
     held = [line for line in plan.splitlines() if "content" in line]
     assert held and not any("Exchange" in line for line in held)
     assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 6
+
+
+@pytest.mark.parametrize("scan", ["text", "media"])
+def test_a_frame_is_bounded_by_its_bytes(spark, scan):
+    rows = spark.range(0, 400, 1, 1).selectExpr("CAST(id AS STRING) AS post_id", "repeat('x', 40000) AS text")
+    calls = spark.sparkContext.accumulator(0)
+    sizes = []
+
+    def sized(batches):
+        for b in batches:
+            calls.add(1)
+            texts = b["text"] if "text" in b else b["content"]
+            yield pd.DataFrame({"post_id": b["post_id"], "vector": [[float(len(b) * len(t)), 1.0] for t in texts]})
+
+    if scan == "text":
+        scored = SC.score_text_vector(rows, SC.Scorer("sized", ("text",), "vector array<double>", sized))
+        sizes = [r.vector[0] for r in scored.collect()]
+    else:
+        media = rows.selectExpr("post_id AS path", "CAST(text AS BINARY) AS content")
+        records = media.selectExpr("path AS image_path")
+        scored = SC.scan_media(media, SCORERS[0], SC.Scorer("sized", ("content",), "vector array<double>", sized), SC.wanted_paths(records))
+        assert scored.count() == 400
+    assert len(sizes) in (0, 400) and max(sizes, default=0) <= 1.1 * SC.FRAME_BYTES
+    assert calls.value >= 400 * 40000 / SC.FRAME_BYTES

@@ -14,10 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tonegap import constants as K
 from tonegap.functions import text as T
@@ -28,6 +30,9 @@ log = logging.getLogger(__name__)
 
 Batches = Iterator[pd.DataFrame]
 
+#: Bytes that the rows of one frame take in Arrow, about; a frame has a row at least.
+FRAME_BYTES = 2 << 20
+
 
 @dataclass(frozen=True)
 class Scorer:
@@ -51,11 +56,29 @@ def get_scorer(name: str) -> Scorer:
     return _REGISTRY[name]
 
 
+def _frames(batches: Iterator[pa.RecordBatch]) -> Batches:
+    """Arrow batches as frames of bounded size: a batch is cut without a copy, and only the rows of a frame become Python objects."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * FRAME_BYTES // max(batch.nbytes, FRAME_BYTES))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).to_pandas()
+
+
+def map_frames(df: DataFrame, fn: Callable[[Batches], Batches], schema: ST.StructType) -> DataFrame:
+    """``mapInPandas`` over frames whose size follows their bytes, whatever the session's rows a batch."""
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(_frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=target, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def run_scorer(df: DataFrame, scorer: Scorer, key: str = "post_id") -> DataFrame:
     """Only the key and the scorer's inputs cross to Python."""
     slim = df.select(key, *scorer.inputs)
-    key_type = slim.schema[key].dataType.simpleString()
-    return slim.mapInPandas(scorer.fn, f"{key} {key_type}, {scorer.output}")
+    return map_frames(slim, scorer.fn, ST.StructType([slim.schema[key], *ST.StructType.fromDDL(scorer.output)]))
 
 
 def score_media_text(media: DataFrame, scorer: Scorer, key: str = "post_id") -> DataFrame:
@@ -246,7 +269,7 @@ def scan_media(media: DataFrame, describe: Scorer, embed: Scorer, wanted: bytes)
             yield pd.DataFrame({"path": batch["post_id"].to_numpy(), "generated": kept["generated"].to_numpy(), "vector": kept["vector"].to_numpy()})
 
     rows = media.select(F.col("path").alias("post_id"), "content", _path_bit(F.col("path")).alias("_bit"))
-    found = rows.mapInPandas(run, "path string, generated string, vector array<double>")
+    found = map_frames(rows, run, ST.StructType.fromDDL("path string, generated string, vector array<double>"))
     return found.select(
         "path",
         T.clean_generated_text(F.col("generated")).alias("generated"),
@@ -276,7 +299,7 @@ def scan_texts(rows: DataFrame, embed: Scorer, columns: tuple[str, ...]) -> Data
             yield b[kept].assign(**parts)
 
     schema = ST.StructType([*rows.schema, *[ST.StructField(f"_v{i}", ST.ArrayType(ST.DoubleType())) for i in range(len(names))]])
-    scored = rows.withColumns(filled).mapInPandas(run, schema)
+    scored = map_frames(rows.withColumns(filled), run, schema)
     return scored.select(*kept, *[V.sanitize_vector(F.col(f"_v{i}")).alias(f"emb_{c}") for i, c in enumerate(columns)])
 
 
