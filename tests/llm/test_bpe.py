@@ -104,3 +104,45 @@ def test_one_pass_is_both(spark, messy, nothing):
     once = bpe.round_trip(messy, tokenizer_path())
     assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
     assert bpe.round_trip(nothing, tokenizer_path()).collect() == []
+
+
+def test_a_piece_is_encoded_once_and_heads_are_shared(monkeypatch):
+    encoder, calls, noted = bpe.Encoder(json.load(open(tokenizer_path()))), [], []
+    closed, notes = bpe.MergeList.closed, bpe.MergeList._noted
+    monkeypatch.setattr(bpe.MergeList, "closed", lambda self, symbols: calls.append("".join(symbols)) or closed(self, symbols))
+    monkeypatch.setattr(bpe.MergeList, "_noted", lambda self, text, n, starts: noted.append(n + 1 - len(starts)) or notes(self, text, n, starts))
+    encoder.encode("thinking thinking. (thinking) thinking,, THINKING")
+    assert calls.count("thinking</w>") == 1 and len(calls) == len(set(calls))
+    noted.clear()
+    encoder.encode("thinkable thinkers")
+    assert sum(noted) == len("able") + len("ers")
+
+
+def test_small_memos_change_nothing(own):
+    """Halves that turn over all the time, strings that begin alike, and each position's token against whole encoding."""
+    encoder, rng = bpe.Encoder(json.load(open(tokenizer_path()))), random.Random(7)
+    for memo in (encoder.memo, encoder.merges.cut, encoder.merges.heads):
+        memo.most = 3000
+    for _ in range(40):
+        words = [rng.choice(["thing", "therein", "naïve", "'s"]) + "".join(rng.choices("thingsaé.'1", k=rng.randrange(9))) for _ in range(60)]
+        text = " ".join(words)
+        packed = encoder.encode(text)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == own[3].encode(text, add_special_tokens=False).ids
+        assert packed == own[0].encode(text)
+    assert all(len(memo) < 20 for memo in (encoder.memo, encoder.merges.cut)) and encoder.memo.older
+
+
+def test_a_halved_memo_keeps_what_is_asked_for():
+    calls = []
+    memo = bpe.HalvedMemo(lambda key: calls.append(key) or len(key), 4000)
+    for k in range(200):
+        assert memo["often"] == 5 and memo[f"once {k}"] == len(f"once {k}")
+    assert calls.count("often") == 1 and len(memo) + len(memo.older) < 30
+    assert memo["x" * 300] == 300 and "x" * 300 not in memo
+
+
+def test_unknown_ids_give_nothing(own):
+    _, tokens, text, _ = own
+    far = struct.pack("<3I", 4_000_000_000, 5, 60_000)
+    assert tokens.decode(far) == tokens.decode(struct.pack("<I", 5)) and text.decode(far) == text.decode(struct.pack("<I", 5))
+    assert len(tokens.pieces) == len(text.pieces)

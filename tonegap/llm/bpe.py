@@ -7,7 +7,8 @@ prefix before it. The transducer notes that token for each position from left to
 token can start at most ``lookahead`` symbols back, the length of the longest product of the merge
 list, so only those positions are kept as heads; what the chains of all heads have in common is
 stable and is emitted, whatever follows. Memory is bounded by the lookahead and the
-short stretch that is still open, not by the length of the word.
+short stretch that is still open, not by the length of the word. The notes of a prefix depend on
+nothing else, so short pieces that begin alike share those of their first symbols.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ import codecs
 import json
 import struct
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegap.llm.common import Memo, arrow_map, held
+from tonegap.llm.common import ENTRY_BYTES, MEMO_KEY, Memo, arrow_map, held
 
 WORD_END = "</w>"
 #: Python splits on these, Unicode's White_Space does not hold them.
@@ -31,8 +33,10 @@ _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 #: Symbols of a piece whose notes are all kept; a longer one is streamed.
 HELD_SYMBOLS = 64
-#: Bytes of remembered words and of remembered pairs of tokens.
-WORD_BYTES, PAIR_BYTES = 32 << 20, 24 << 20
+#: Pieces that begin with the same symbols share the notes of so many of them.
+HEAD_SYMBOLS = 5
+#: Bytes of remembered words and pieces, of remembered pairs of tokens and of remembered heads of pieces.
+WORD_BYTES, PAIR_BYTES, HEAD_BYTES = 48 << 20, 32 << 20, 8 << 20
 #: Ids decoded at once.
 DECODE_BLOCK = 65_536
 
@@ -47,6 +51,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class HalvedMemo(Memo):
+    """A memo that, when it gets large, forgets only what was not asked for since it last did.
+
+    It has two halves. A full one becomes the older one; what is asked for again moves from there to the newer one.
+    """
+
+    def __init__(self, compute: Callable, most: int) -> None:
+        super().__init__(compute, most // 2)
+        self.older: dict = {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(key) <= MEMO_KEY:
+            self.bytes += ENTRY_BYTES + len(key) + (len(value) if isinstance(value, bytes) else 0)
+            if self.bytes > self.most:
+                self.older, self.bytes = self.copy(), 0
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _Names(dict):
+    """Bytes of ids; those outside the vocabulary give nothing."""
+
+    def __missing__(self, key: int) -> bytes:
+        return b""
+
+
 class MergeList:
     """Merges by rank and what follows from them: valid tokens, fitting neighbours, the lookahead."""
 
@@ -55,7 +89,8 @@ class MergeList:
         self.rank = {tuple(m): k for k, m in enumerate(merges)}
         self.lookahead = max((len(self.symbols(a + b)) for a, b in self.rank), default=1)
         self.valid = Memo(lambda t: t in vocab and self.encode_whole(self.symbols(t)) == [t])
-        self.fits = Memo(lambda pair: self.encode_whole(self.symbols(pair[0]) + self.symbols(pair[1])) == list(pair), PAIR_BYTES)
+        self.cut = HalvedMemo(self._cut, PAIR_BYTES)
+        self.heads = Memo(lambda head: bytes(self._noted(head, len(head), [0])), HEAD_BYTES)
 
     @staticmethod
     def symbols(token: str) -> list[str]:
@@ -79,6 +114,15 @@ class MergeList:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
+    def _cut(self, text: str) -> int:
+        """Where the encoding of a bounded text is cut if it has two tokens: symbols of the first. One token: 0, more than two: -1."""
+        parts = self.encode_whole(self.symbols(text))
+        return 0 if len(parts) == 1 else len(parts[0]) if len(parts) == 2 else -1
+
+    def fits(self, before: str, token: str) -> bool:
+        """Whether two tokens stay apart, each as it is, when encoded together."""
+        return self.cut[before + token] == len(before)
+
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a stream of symbols, each as soon as nothing that follows can change it."""
         last: dict[int, tuple[str, int]] = {}  # position -> (token that ends there, where it starts)
@@ -94,8 +138,8 @@ class MergeList:
                 start = at - back
                 if token not in self.vocab or not self.valid[token]:
                     continue
-                if start == done or start in last and self.fits[last[start][0], token]:
-                    if start == done and tail is not None and not self.fits[tail, token]:
+                if start == done or start in last and self.fits(last[start][0], token):
+                    if start == done and tail is not None and not self.fits(tail, token):
                         continue
                     last[at] = token, start
                     break
@@ -112,24 +156,41 @@ class MergeList:
         yield from reversed(rest)
 
     def closed(self, symbols: list[str]) -> list[str]:
-        """Tokens of a piece that is at hand whole: the transducer's notes from left to right, read back from the end. Nothing is held back."""
-        vocab, valid, fits = self.vocab, self.valid, self.fits
-        last: list[str | None] = [None] * (len(symbols) + 1)
-        begins = [0] * (len(symbols) + 1)
-        for at in range(1, len(symbols) + 1):
-            token = ""
-            for begin in range(at - 1, max(-1, at - 1 - self.lookahead), -1):
-                token = symbols[begin] + token
-                if token in vocab and valid[token] and (not begin or (before := last[begin]) is not None and fits[before, token]):
-                    last[at], begins[at] = token, begin
-                    break
-        tokens, at = [], len(symbols)
+        """Tokens of a piece that is at hand whole: the transducer's notes from left to right, read back from the end. Nothing is held back.
+
+        A symbol is one character, the last one with the mark of the word's end.
+        """
+        text, at = "".join(symbols), len(symbols)
+        starts = self._noted(text, at, [*self.heads[text[:HEAD_SYMBOLS]]] if at > HEAD_SYMBOLS else [0])
+        tokens, end = [], None
         while at:
-            tokens.append(last[at])
-            at = begins[at]
+            at = starts[at]
+            tokens.append(text[at:end])
+            end = at
         tokens.reverse()
         return tokens
 
+    def _noted(self, text: str, symbols: int, starts: list[int]) -> list[int]:
+        """The notes of a text, continued from those at hand: where the token that ends at each position starts.
+
+        A token that ends at a position fits if, encoded together with the one noted for its start, it is cut off there. There is one
+        such token, mostly the one noted before with a symbol more.
+        """
+        vocab, cut, known = self.vocab, self.cut, self.cut.get
+        for at in range(len(starts), symbols + 1):
+            end = at if at < symbols else None
+            begin = starts[-1]
+            before = starts[begin]
+            if known(text[before:end]) != begin - before:
+                for begin in range(at - 1, max(-1, at - 1 - self.lookahead), -1):
+                    before = starts[begin]
+                    if text[begin:end] in vocab and cut[text[before:end]] == begin - before:
+                        break
+                else:
+                    raise KeyError(text[at - 1 : end])
+            starts.append(begin)
+        return starts
+
     def _stable(self, last: dict, done: int, at: int) -> list[str]:
         """Tokens from ``done`` on that the chains of all heads share."""
         common = None
@@ -160,19 +221,28 @@ class Encoder:
         self.merges = MergeList(self.vocab, merges)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern)
+        self.letter_runs = r"|[\p{L}]+|" in pattern  # only contractions and marks stand before, no word of letters alone
+        self.packed = {t: struct.pack("<I", i) for t, i in self.vocab.items()}
         self.bytes = byte_symbols()
-        self.memo = Memo(self.word, WORD_BYTES)
+        self.memo = HalvedMemo(self.word, WORD_BYTES)
 
     def word(self, word: str) -> bytes:
-        """Ids of a normalised word without white space, as little-endian unsigned 32-bit integers."""
-        out = []
-        for piece in self.pieces.findall(word):
-            symbols = [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            symbols[-1] += WORD_END
-            long = len(symbols) > HELD_SYMBOLS  # else all notes fit into memory and none is emitted before the end
-            out += [self.vocab[t] for t in (self.merges.stream(symbols) if long else self.merges.closed(symbols))]
-        return struct.pack(f"<{len(out)}I", *out)
+        """Ids of a normalised word without white space, as little-endian unsigned 32-bit integers; those of its pieces, one after another.
+
+        A piece is kept like a word: the pattern looks at nothing outside of a piece.
+        """
+        if self.letter_runs and word.isascii() and word.isalpha():
+            return self.piece(word)
+        pieces = self.pieces.findall(word)
+        return self.piece(word) if pieces == [word] else b"".join(map(self.memo.__getitem__, pieces))
+
+    def piece(self, piece: str) -> bytes:
+        symbols = [*map(self.bytes.__getitem__, piece.encode("utf-8", "surrogatepass"))]
+        symbols[-1] += WORD_END
+        long = len(symbols) > HELD_SYMBOLS  # else all notes fit into memory and none is emitted before the end
+        return b"".join(map(self.packed.__getitem__, self.merges.stream(symbols) if long else self.merges.closed(symbols)))
 
     def plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -204,10 +274,10 @@ class Decoder:
         special = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
         names |= special
         if mode == "tokens":
-            self.pieces = {i: b" " + t.encode() for i, t in names.items()}
+            self.pieces = _Names({i: b" " + t.encode() for i, t in names.items()})
         else:
             of = {s: b for b, s in enumerate(byte_symbols())}
-            self.pieces = {}
+            self.pieces = _Names()
             for i, t in names.items():
                 ends = t.endswith(WORD_END) and i not in special
                 body = t.removesuffix(WORD_END) if ends else t
@@ -218,8 +288,8 @@ class Decoder:
         """Text as it becomes certain; bytes of an unfinished character wait for the next id."""
         machine, first = codecs.getincrementaldecoder("utf-8")("replace"), True
         ids = iter(ids)
-        while block := [x for _, x in zip(range(DECODE_BLOCK), ids)]:
-            raw = b"".join([self.pieces.get(i, b"") for i in block])
+        while block := [*islice(ids, DECODE_BLOCK)]:
+            raw = b"".join(map(self.pieces.__getitem__, block))
             if first and raw:
                 raw, first = raw[self.skip :], False
             yield machine.decode(raw)
