@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonegap import constants as K
 from tonegap.operators import annotation, attention, curate, folds, gates, keyed, metrics, timings, tokens
+from tonegap.sources import lines
 
 
 def frame(spark, rows, schema):
@@ -490,3 +491,63 @@ def test_verdicts_fold_a_caption_once(spark, rules):
     assert got == {"a": "spam", "b": "accepted" if rules.allow_blank else "no_caption" if rules.require_caption else "wrong_script", "c": "wrong_script", "d": "accepted"}
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(") == 1 + rules.sarcasm_only
+
+
+def test_pairs_come_in_ranges_in_order(spark, monkeypatch):
+    """Several ranges, posts cut into parts, names that do not sort by length, nulls that meet nobody: counted as row by row, in order."""
+    monkeypatch.setattr(annotation, "AT_ONCE", 300)
+    rng = random.Random(8)
+    names = [f"u{k}" for k in range(30)] + ["_unknown_", "é", "z\U0001f600", "z￮"]
+    rows = {(a, f"p{rng.randrange(60)}") for a in names for _ in range(12)} | {(a, "hot") for a in names}
+    rows = [(a, p, rng.choice(K.LABELS)) for a, p in sorted(rows)] + [("u1", None, "neutral"), ("u2", None, "neutral"), (None, "hot", "neutral")]
+    latest = frame(spark, rows, "annotator_id string, post_id string, label string").repartition(5).cache()
+    found = annotation.label_pairs(latest, part_rows=16, range_pairs=200)
+    got = [tuple(r) for r in found.collect()]
+    keys = ["annotator_a", "annotator_b", "label_a", "label_b"]
+    want = annotation.annotator_pairs(latest).groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, "n")
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+    assert [r[:2] for r in got] == sorted(r[:2] for r in got)
+    assert found.rdd.getNumPartitions() > 3
+    whole = annotation.cohens_kappa(annotation.label_pairs(latest, part_rows=16, range_pairs=200, by_pair=True))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, annotation.cohens_kappa(want).collect()))
+
+
+def test_no_exchange_has_a_row_per_pair(spark):
+    """Posts and packed ranges are exchanged; sums, kappas and lines stay where the ranges are."""
+    latest = frame(spark, [(f"u{a}", f"p{p}", K.LABELS[(a + p) % 5]) for a in range(40) for p in range(50)], "annotator_id string, post_id string, label string")
+    pairs = annotation.label_pairs(latest, range_pairs=5000)
+    kappas = annotation.cohens_kappa(annotation.label_pairs(latest, range_pairs=5000, by_pair=True))
+    for df in (pairs, kappas):
+        dealt = re.findall(r"\bExchange (\S+)\(([^)]*)", df._jdf.queryExecution().executedPlan().toString())
+        assert len(dealt) == 2 and not any("annotator_" in columns for _, columns in dealt)
+    blocks = list(annotation._pack_pairs([("u20", "u21")], 10_000)(iter(latest.selectExpr("*", "0 AS _own", "0 AS _first", "0 AS _second").orderBy("post_id").toArrow().to_batches())))
+    assert sum(b.num_rows for b in blocks) < 20  # of 39,000 meetings
+    assert sum(len(x) for b in blocks for x in b.column("_packed").to_pylist()) < 4 * 39_000
+
+
+def test_a_long_agreement_report_is_written_in_order(spark, tmp_path):
+    """Pairs in several ranges: several files, which together are the one sorted file."""
+    rng = random.Random(3)
+    rows = [(f"p{k // 7}", rng.choice(K.LABELS), f"u{rng.randrange(40)}" if k % 9 else None, k) for k in range(1500)]
+    log = frame(spark, rows, "post_id string, label string, annotator_id string, ord long")
+    for name, size in (("one", 10**9), ("many", 300)):
+        annotation.write_agreement_report(log, str(tmp_path / name), range_pairs=size)
+    files = {name: sorted((tmp_path / name).glob("part-*")) for name in ("one", "many")}
+    assert len(files["one"]) == 1 and len(files["many"]) > 5
+    one, many = ("".join(f.read_text() for f in files[name]) for name in ("one", "many"))
+    assert one == many and one.count("\n") > 500
+    assert [r["value"] + "\n" for r in lines.numbered_lines(spark, str(tmp_path / "many")).orderBy("ord").collect()] == one.splitlines(True)
+
+
+def test_numbering_lines_exchanges_no_line(spark, tmp_path):
+    """Also where the runtime would not broadcast a table of that size."""
+    spark.range(1000).select(F.col("id").cast("string")).repartition(4).write.text(str(tmp_path / "text"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = lines.numbered_lines(spark, str(tmp_path / "text"))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(r["ord"] for r in numbered.collect()) == list(range(1, 1001))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

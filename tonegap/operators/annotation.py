@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tonegap import constants as K
@@ -108,79 +111,217 @@ def annotator_pairs(latest: DataFrame, part_size: int = 512) -> DataFrame:
     )
 
 
-#: Rows of a part of a block of posts, and pairs counted at once inside a task.
-PART_ROWS, AT_ONCE = 4096, 4_000_000
-
-
-def _met(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place in left, place in right) of all rows with equal values, both sorted, some posts at a time."""
-    posts = np.intersect1d(left, right)
-    starts = [np.searchsorted(side, posts) for side in (left, right)]
-    sizes = [np.searchsorted(side, posts, "right") - start for side, start in zip((left, right), starts)]
-    pairs = sizes[0] * sizes[1]
+#: Rows of a part of a post, pairs counted at once inside a task, and pairs that a range of the pair table is made of.
+PART_ROWS, AT_ONCE, RANGE_PAIRS = 4096, 1_000_000, 500_000
+#: Rows a task reads before it counts their pairs, pairs it returns at once, and rows and pairs drawn for each range to find its bounds.
+READ_ROWS, OUT_PAIRS, DRAWN = 120_000, 50_000, 50
+#: Counted pairs on their way: names and labels in order; of each first annotator its place among the names and its number of cells; of
+#: each cell the step to the second annotator's place, both labels as one number, and the posts.
+PACKED = pa.schema(
+    [("names", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))]
+    + [(c, pa.list_(pa.int32())) for c in ("first", "cells", "second", "label")]
+    + [("n", pa.list_(pa.int64()))]
+)
+
+
+def _ranked(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values in order (of bytes, as Spark has it; a null is the last), and the place of each row's value among them."""
+    coded = values.cast(pa.string()).dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+
+
+def _units(rows: pa.Table) -> np.ndarray:
+    """First rows of the units: runs of rows of one post and one two of its parts."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in ("post_id", "_first", "_second"):
+        column = rows.column(c).combine_chunks()
+        new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by unit, about ``READ_ROWS`` at a time, no unit in two of them."""
+    held, full = [], READ_ROWS
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= full:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cut = int(_units(rows)[-1])
+            if cut:
+                yield rows.slice(0, cut)
+            held, full = rows.slice(cut).to_batches(), READ_ROWS if cut else 2 * full
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _counted(rows: pa.Table, at_once: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(names, labels, codes, posts): pairs of annotators and labels that meet in whole units, as sorted numbers, some at a time."""
+    names, who = _ranked(rows.column("annotator_id").combine_chunks())
+    labels, label = _ranked(rows.column("label").combine_chunks())
+    own, one, two = (rows.column(c).to_numpy() for c in ("_own", "_first", "_second"))
+    starts = _units(rows)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    unit = np.repeat(np.arange(len(starts)), sizes)
+    right = (one != two) & (own == two)
+    order = np.lexsort((who, right, unit))
+    who, label, right, within = who[order], label[order], right[order], (one == two)[order]
+    again = bool(((who[1:] == who[:-1]) & (unit[1:] == unit[:-1])).any())
+    # a row meets those behind it in its unit or, between two parts, those of the other part
+    other = starts + np.bincount(unit, ~right, len(starts)).astype(np.int64)
+    met = np.where(within, np.arange(len(order)) + 1, other[unit])
+    counts = np.where(right, 0, (starts + sizes)[unit] - met)
+    before, met = np.append(0, np.cumsum(counts)), met.astype(np.int32)
     at = 0
-    while at < len(posts):
-        end = max(at + 1, int(np.searchsorted(np.cumsum(pairs[at:]), AT_ONCE, "right")) + at)
-        n = pairs[at:end]
-        post = np.repeat(np.arange(at, end), n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        yield starts[0][post] + k // sizes[1][post], starts[1][post] + k % sizes[1][post]
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + at_once, "right")) - 1)
+        i = np.repeat(np.arange(at, end, dtype=np.int32), counts[at:end])
+        j = np.arange(len(i), dtype=np.int32) - np.repeat((before[at:end] - before[at]).astype(np.int32), counts[at:end])
+        j += met[i]
+        if again:
+            differ = who[i] != who[j]
+            i, j = i[differ], j[differ]
+        if not within[at:end].all():
+            i, j = np.where(who[i] < who[j], i, j), np.where(who[i] < who[j], j, i)
+        code = who[i]
+        for size, value, of in ((len(names), who, j), (len(labels), label, i), (len(labels), label, j)):
+            code *= size
+            code += value[of]
+        del i, j
+        code.sort()
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        if len(first):
+            yield names, labels, code[first], np.diff(np.append(first, len(code)))
         at = end
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of annotators and labels of one part of a block, or between two, with the posts they share."""
-    columns = {c: np.unique(np.array(table.column(c).to_pylist(), object), return_inverse=True) for c in ("annotator_id", "post_id", "label")}
-    (names, who), (_, post), (labels, label) = columns.values()
-    own = table.column("_own").to_numpy()
-    first, second = table.column("_first")[0].as_py(), table.column("_second")[0].as_py()
-    sides = []
-    for part in (first, second):
-        rows = np.flatnonzero(own == part)
-        sides.append(rows[np.argsort(post[rows], kind="stable")])
-    codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in _met(post[sides[0]], post[sides[1]]):
-        i, j = sides[0][i], sides[1][j]
-        keep = who[i] < who[j] if first == second else who[i] != who[j]
-        i, j = i[keep], j[keep]
-        i, j = np.where(who[i] < who[j], i, j), np.where(who[i] < who[j], j, i)
-        code, n = np.unique(((who[i] * len(names) + who[j]) * len(labels) + label[i]) * len(labels) + label[j], return_counts=True)
-        codes.append(code)
-        counts.append(n)
-    code, back = np.unique(np.concatenate(codes), return_inverse=True)
-    n = np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
-    code, label_b = np.divmod(code, len(labels))
-    code, label_a = np.divmod(code, len(labels))
-    a, b = np.divmod(code, len(names))
-    texts = [names[a], names[b], labels[label_a], labels[label_b]]
-    return pa.table([*[pa.array(t, pa.string()) for t in texts], pa.array(n)], ["annotator_a", "annotator_b", "label_a", "label_b", "n"])
-
-
-def label_pairs(latest: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(annotator_a, annotator_b, label_a, label_b, n): how many posts both labelled so (a < b).
-
-    Posts are dealt into blocks and pairs are counted inside a block, so what is exchanged is one row per block and pair, however many posts
-    they share. A block with more than ``part_rows`` rows, as a post with very many annotators makes it, is cut by annotator, and each
-    two of its parts are a task of their own. ``latest`` is read twice: give a stored frame.
+def _packed(names: pa.Array, labels: pa.Array, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    pair, label = np.divmod(code, len(labels) ** 2)
+    used, place = np.unique(np.concatenate(np.divmod(pair, len(names))), return_inverse=True)
+    a, b = place[: len(code)], place[len(code) :]
+    starts = np.flatnonzero(np.diff(a, prepend=-1))
+    columns = [a[starts], np.diff(np.append(starts, len(a))), np.diff(b, prepend=0), label]
+    values = [names.take(pa.array(used)), labels, *[pa.array(c.astype(np.int32)) for c in columns], pa.array(n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], schema=PACKED)
+
+
+def _pack_pairs(bounds: list[tuple[str, str]], at_once: int):
+    """Pairs that meet in the rows of a task, counted and packed by the range of the pair table they belong to."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_units(batches):
+            for names, labels, code, n in _counted(rows, at_once):
+                texts = names.to_pylist()
+                edges = [0]
+                for a, b in bounds:
+                    at = bisect_left(texts, a)
+                    second = bisect_left(texts, b) if texts[at : at + 1] == [a] else 0
+                    edges.append((at * len(texts) + second) * len(labels) ** 2)
+                cuts = pairwise([*np.searchsorted(code, edges), len(code)])
+                own = [(k, _packed(names, labels, code[lo:hi], n[lo:hi]).serialize()) for k, (lo, hi) in enumerate(cuts) if lo < hi]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in own], pa.int32()), pa.array([x.size for _, x in own], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for _, x in own])],
+                    ["_range", "_bytes", "_packed"],
+                )
+
+    return packed
+
+
+def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per pair of a range, in order, with its cells."""
+    every = [
+        [c.values for c in pa.ipc.read_record_batch(pa.py_buffer(pa.decompress(data, size, "zstd")), PACKED).columns]
+        for batch in batches
+        for size, data in zip(batch.column("_bytes").to_pylist(), batch.column("_packed").to_pylist())
+    ]
+    if not every:
+        return
+    names, who = _ranked(pa.concat_arrays([own for own, *_ in every]))
+    labels, which = _ranked(pa.concat_arrays([kinds for _, kinds, *_ in every]))
+    code = np.empty(sum(len(n) for *_, n in every), np.int64)
+    at, of, done = 0, 0, 0
+    for own, kinds, *numbers, _ in every:
+        first, cells, second, label = [c.to_numpy() for c in numbers]
+        label_a, label_b = np.divmod(label, len(kinds))
+        pair = np.repeat(who[at + first], cells) * len(names) + who[at + np.cumsum(second)]
+        code[done : done + len(pair)] = (pair * len(labels) + which[of + label_a]) * len(labels) + which[of + label_b]
+        at, of, done = at + len(own), of + len(kinds), done + len(pair)
+    n = np.concatenate([n.to_numpy() for *_, n in every])
+    del every
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    code, n = code[starts], np.add.reduceat(n[order], starts)
+    pair, label = np.divmod(code, len(labels) ** 2)
+    starts = np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair))
+    for at in range(0, len(starts) - 1, OUT_PAIRS):
+        own = starts[at : at + OUT_PAIRS + 1]
+        a, b = np.divmod(pair[own[:-1]], len(names))
+        cell = slice(own[0], own[-1])
+        label_a, label_b = np.divmod(label[cell], len(labels))
+        cells = pa.StructArray.from_arrays([labels.take(pa.array(label_a)), labels.take(pa.array(label_b)), pa.array(n[cell])], ["label_a", "label_b", "n"])
+        tables = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), cells)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), tables], ["annotator_a", "annotator_b", "cells"])
+
+
+def meetings(latest: DataFrame) -> Row:
+    """(annotations, pairs, most): how many there are, how often two annotators met on a post, and the annotations of the fullest post."""
+    sizes = latest.filter("annotator_id IS NOT NULL").groupBy("post_id").agg(F.count("post_id").alias("_n"))
+    return sizes.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("annotations"),
+        F.coalesce(F.sum(F.expr("_n * (_n - 1) div 2")), F.lit(0)).alias("pairs"),
+        F.coalesce(F.max("_n"), F.lit(0)).alias("most"),
+    ).first()
+
+
+def _bounds(latest: DataFrame, size: Row, range_pairs: int) -> list[tuple[str, str]]:
+    """Pairs at which the ranges of the pair table begin, all but the first: quantiles of some pairs, drawn by the hash of their rows.
+
+    They only say which task a pair is counted in. About ``DRAWN`` rows a range are broadcast, and as many pairs come back.
     """
-    blocks = max(int(latest.sparkSession.conf.get("spark.sql.shuffle.partitions")), latest.count() // part_rows)
-    rows = latest.select("annotator_id", "post_id", "label", F.pmod(F.xxhash64("post_id"), F.lit(blocks)).alias("_block"))
-    large = (
-        rows.groupBy("_block")
-        .agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
-        .filter("_parts > 1")
-    )
-    cut = rows.join(large, "_block", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("annotator_id", F.lit("part")), F.col("_parts")).cast("int").alias("_own")
-    other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")
-    dealt = cut.select("annotator_id", "post_id", "label", "_block", own, other).select(
-        "*", F.least("_own", "_other").alias("_first"), F.greatest("_own", "_other").alias("_second")
+    ranges = -(-size["pairs"] // range_pairs)
+    if ranges < 2:
+        return []
+    every = max(1, size["annotations"] // (DRAWN * ranges))
+    thin = max(1, 2 * size["pairs"] // (every * DRAWN * ranges))
+    one_of = lambda n, *columns: F.pmod(F.xxhash64(*columns, F.lit("drawn")), F.lit(n)) == 0
+    some = latest.filter(one_of(every, "annotator_id", "post_id")).select("post_id", F.col("annotator_id").alias("_met"))
+    pairs = latest.join(F.broadcast(some), "post_id").filter((F.col("annotator_id") != F.col("_met")) & one_of(thin, "annotator_id", "_met", "post_id"))
+    drawn = sorted(map(tuple, pairs.select(F.least("annotator_id", "_met"), F.greatest("annotator_id", "_met")).collect()))
+    return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
+
+
+def label_pairs(
+    latest: DataFrame, part_rows: int = PART_ROWS, range_pairs: int = RANGE_PAIRS, by_pair: bool = False, size: Row | None = None
+) -> DataFrame:
+    """(annotator_a, annotator_b, label_a, label_b, n): how many posts both labelled so (a < b), in order of the pairs.
+
+    A task counts the pairs of its posts. What is exchanged is a packed table for each range of pairs, about ``range_pairs`` of them, and a
+    range is a partition of the result: neither adding up a pair's counts nor sorting takes another exchange. A post with more than
+    ``part_rows`` annotations is cut by annotator, and each two of its parts are counted on their own. With ``by_pair`` there is one row per
+    pair, with its label pairs as ``cells``. ``latest`` is read several times: give a stored frame, and its ``meetings`` if they are known.
+    """
+    size = size or meetings(latest)
+    bounds = _bounds(latest, size, range_pairs)
+    rows = latest.filter("annotator_id IS NOT NULL AND post_id IS NOT NULL").select("annotator_id", "post_id", "label")
+    parts = F.lit(1)
+    if size["most"] > part_rows:
+        large = rows.groupBy("post_id").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts")).filter("_parts > 1")
+        rows, parts = rows.join(large, "post_id", "left"), F.coalesce("_parts", F.lit(1))
+    own = F.pmod(F.xxhash64("annotator_id", F.lit("part")), parts).cast("int").alias("_own")
+    other = F.explode(F.sequence(F.lit(0), parts - 1)).alias("_other")
+    dealt = rows.select("annotator_id", "post_id", "label", own, other).select(
+        "annotator_id", "post_id", "label", "_own", F.least("_own", "_other").alias("_first"), F.greatest("_own", "_other").alias("_second")
     )
-    counted = dealt.groupBy("_block", "_first", "_second").applyInArrow(
-        _count_pairs, "annotator_a string, annotator_b string, label_a string, label_b string, n long"
+    unit = ["post_id", "_first", "_second"]
+    packed = dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_pack_pairs(bounds, AT_ONCE), "_range int, _bytes long, _packed binary")
+    tables = packed.repartitionById(len(bounds) + 1, "_range").mapInArrow(
+        _unpack_pairs, "annotator_a string, annotator_b string, cells array<struct<label_a: string, label_b: string, n: bigint>>"
     )
-    keys = ["annotator_a", "annotator_b", "label_a", "label_b"]
-    return counted.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return tables if by_pair else tables.select("annotator_a", "annotator_b", F.inline("cells"))
 
 
 def pair_overlap(pairs: DataFrame) -> DataFrame:
@@ -197,8 +338,21 @@ def cohens_kappa(
     """Kappa per pair of label columns, in whole numbers up to the last division.
 
     One aggregation over the pairs, combined in the stage of the pair join. Rows may carry a
-    count ``n``; without it every row counts once.
+    count ``n``; without it every row counts once. Rows of whole pairs, with their label pairs
+    as ``cells``, stay where they are.
     """
+    if "cells" in pairs.columns:
+        grouped = pairs.select(*keys, *_cell_sums(F.col("cells"), labels))
+    else:
+        grouped = _pair_sums(pairs, keys, labels)
+    n, chance = F.col("overlap"), F.col("chance")
+    value = (F.col("agreed") * n - chance).cast("double") / (n * n - chance)
+    kappa = F.when((n == 0) | (chance >= n * n), F.lit(0.0)).otherwise(value)
+    return grouped.select(*keys, "overlap", kappa.alias("kappa"))
+
+
+def _pair_sums(pairs: DataFrame, keys: tuple[str, ...], labels: tuple[str, ...]) -> DataFrame:
+    """(overlap, agreed, chance) per pair, of rows per label pair."""
     counts = pairs if "n" in pairs.columns else pairs.withColumn("n", F.lit(1).cast("long"))
 
     def marginal(side: str, label: str) -> Column:
@@ -213,31 +367,51 @@ def cohens_kappa(
     chance = reduce(
         lambda a, b: a + b, [F.col(f"_a{i}") * F.col(f"_b{i}") for i in range(len(labels))]
     )
-    n = F.col("overlap")
-    value = (F.col("agreed") * n - chance).cast("double") / (n * n - chance)
-    kappa = F.when((n == 0) | (chance >= n * n), F.lit(0.0)).otherwise(value)
-    return grouped.select(*keys, "overlap", kappa.alias("kappa"))
+    return grouped.select(*keys, "overlap", "agreed", chance.alias("chance"))
+
+
+def _cell_sums(cells: Column, labels: tuple[str, ...]) -> list[Column]:
+    """The same sums, of one row's cells."""
+
+    def total(value) -> Column:
+        return F.aggregate(cells, F.lit(0).cast("long"), lambda s, cell: s + value(cell))
+
+    def chance(cell: Column) -> Column:
+        met = total(lambda other: F.when(other["label_b"] == cell["label_a"], other["n"]).otherwise(0))
+        return F.when(cell["label_a"].isin(*labels), cell["n"] * met).otherwise(0)
 
+    agreed = total(lambda cell: F.when(cell["label_a"] == cell["label_b"], cell["n"]).otherwise(0))
+    return [total(lambda cell: cell["n"]).alias("overlap"), agreed.alias("agreed"), total(chance).alias("chance")]
 
-def agreement_report(log: DataFrame, ord_col: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """Pair table and per-annotator counts, in no order; the pair table is empty without overlap.
 
-    The log is read once: its latest annotations are stored, and so are the kappas, small beside it.
+def agreement_report(log: DataFrame, ord_col: str = "ord", range_pairs: int = RANGE_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Pair table and per-annotator counts, both in order over their partitions; the pair table is empty without overlap.
+
+    The log is read once: its latest annotations are stored. The pair table is many times as large and computed wherever it is used.
     """
     latest = cut_lineage(latest_annotation(log, ord_col))
-    return cut_lineage(cohens_kappa(label_pairs(latest))), annotator_counts(latest)
+    return _agreement(latest, meetings(latest), range_pairs)
+
+
+def _agreement(latest: DataFrame, size: Row, range_pairs: int) -> tuple[DataFrame, DataFrame]:
+    pairs = label_pairs(latest, range_pairs=range_pairs, by_pair=True, size=size)
+    return cohens_kappa(pairs), annotator_counts(latest).orderBy("annotator_id")
 
 
-def report_lines(kappas: DataFrame, counts: DataFrame) -> DataFrame:
-    """(section, a, b, line) of the report on both tables; its order is that of the first three."""
+def report_lines(kappas: DataFrame, counts: DataFrame, met: bool | None = None) -> DataFrame:
+    """(section, a, b, line) of the report on both tables; its order is that of the first three.
+
+    Tables that are in order over their partitions give lines that are. ``met``, whether there is a pair, is looked up unless it is known.
+    """
 
     def fixed(section: int, lines: Column) -> DataFrame:
         placed = kappas.sparkSession.range(1).select(F.posexplode(lines).alias("at", "line"))
         return placed.select(F.lit(section).alias("section"), F.format_string("%04d", "at").alias("a"), F.lit("").alias("b"), "line")
 
     text = lambda lines: F.array(*[F.lit(x) for x in lines])
-    met = kappas.agg(F.count("*")).scalar() > 0
-    head = F.when(met, text((*K.REPORT_TITLE, *K.REPORT_PAIRS_HEAD))).otherwise(text((*K.REPORT_TITLE, K.REPORT_NO_PAIRS)))
+    if met is None:
+        met = not kappas.isEmpty()
+    head = text((*K.REPORT_TITLE, *(K.REPORT_PAIRS_HEAD if met else (K.REPORT_NO_PAIRS,))))
     pairs = kappas.select(
         F.lit(1).alias("section"),
         F.col("annotator_a").alias("a"),
@@ -253,10 +427,14 @@ def report_lines(kappas: DataFrame, counts: DataFrame) -> DataFrame:
     return fixed(0, head).unionByName(pairs).unionByName(fixed(2, text(K.REPORT_COUNTS_HEAD))).unionByName(people)
 
 
-def write_agreement_report(log: DataFrame, path: str, ord_col: str = "ord") -> None:
-    """The report on a log as lines of text, sorted only here; several files in order if it is long."""
-    lines = report_lines(*agreement_report(log, ord_col))
-    lines.orderBy("section", "a", "b").select("line").write.mode("overwrite").text(path)
+def write_agreement_report(log: DataFrame, path: str, ord_col: str = "ord", range_pairs: int = RANGE_PAIRS) -> None:
+    """The report on a log as lines of text: one sorted file or, if its pairs make several ranges, files in order, written as the ranges lie."""
+    latest = cut_lineage(latest_annotation(log, ord_col))
+    size = meetings(latest)
+    lines = report_lines(*_agreement(latest, size, range_pairs), met=size["pairs"] > 0)
+    if size["pairs"] <= range_pairs:
+        lines = lines.orderBy("section", "a", "b")
+    lines.select("line").write.mode("overwrite").text(path)
 
 
 def pending_for_annotator(pool: DataFrame, log: DataFrame, annotator: str) -> DataFrame:

@@ -43,7 +43,7 @@ def numbered_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
     A file is read in parallel splits. Lines are numbered inside a split by their row id, and
     each split is shifted by the line counts of the splits before it, a table with one row
-    per split. No file has to pass through a single task.
+    per split, which is broadcast so that no line is exchanged. No file has to pass through a single task.
     """
     raw = (
         spark.read.options(**options)
@@ -66,7 +66,7 @@ def numbered_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
         .drop("_n")
     )
     place = F.col("_id") - F.col("_first") + 1
-    return raw.join(splits, ["file", "_split"]).select(
+    return raw.join(F.broadcast(splits), ["file", "_split"]).select(
         "file",
         (F.col("_before") + place).alias("line_no"),
         (F.col("_all_before") + place).alias("ord"),
