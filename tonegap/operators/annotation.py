@@ -115,15 +115,42 @@ def annotator_pairs(latest: DataFrame, part_size: int = 512) -> DataFrame:
 PART_ROWS, AT_ONCE, RANGE_PAIRS = 4096, 1_000_000, 500_000
 #: Rows a task reads before it counts their pairs, pairs it returns at once, and rows and pairs drawn for each range to find its bounds.
 READ_ROWS, OUT_PAIRS, DRAWN = 120_000, 50_000, 50
-#: Counted pairs on their way: names and labels in order; of each first annotator its place among the names and its number of cells; of
-#: each cell the step to the second annotator's place, both labels as one number, and the posts.
+#: Counted pairs on their way: labels and names in order, the latter as sizes and letters; of each first annotator its place among the names and
+#: its number of cells; of each cell the second annotator's place and both labels as one number, as a step from the cell before, and the posts.
 PACKED = pa.schema(
-    [("names", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))]
-    + [(c, pa.list_(pa.int32())) for c in ("first", "cells", "second", "label")]
-    + [("n", pa.list_(pa.int64()))]
+    [("labels", pa.list_(pa.string()))]
+    + [(c, pa.list_(pa.int32())) for c in ("first", "cells")]
+    + [(c, pa.list_(pa.uint8())) for c in ("step", "n", "sizes", "letters")]
 )
 
 
+def _to_bytes(numbers: np.ndarray) -> np.ndarray:
+    """All lowest bytes, then all second ones and so on: most are zeros in a row, which compress to nothing."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def _from_bytes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(8, -1).T).view("<i8").ravel()
+
+
+def _by_column(sizes: np.ndarray) -> np.ndarray:
+    """Order of the bytes of names one behind the other: all first bytes, all second ones. Names in order begin alike, so this compresses well."""
+    ends = np.cumsum(sizes)
+    return np.argsort(np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes), kind="stable")
+
+
+def _to_letters(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    sizes = pc.binary_length(names).to_numpy().astype(np.int64)
+    data = pa.concat_arrays([names]).buffers()[2]
+    return sizes, np.frombuffer(data or b"", np.uint8, sizes.sum())[_by_column(sizes)]
+
+
+def _from_letters(sizes: np.ndarray, letters: np.ndarray) -> pa.Array:
+    data = np.empty(len(letters), np.uint8)
+    data[_by_column(sizes)] = letters
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(data))
+
+
 def _ranked(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Distinct values in order (of bytes, as Spark has it; a null is the last), and the place of each row's value among them."""
     coded = values.cast(pa.string()).dictionary_encode(null_encoding="encode")
@@ -201,10 +228,13 @@ def _counted(rows: pa.Table, at_once: int) -> Iterator[tuple[pa.Array, pa.Array,
 def _packed(names: pa.Array, labels: pa.Array, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     pair, label = np.divmod(code, len(labels) ** 2)
     used, place = np.unique(np.concatenate(np.divmod(pair, len(names))), return_inverse=True)
-    a, b = place[: len(code)], place[len(code) :]
+    a, cell = place[: len(code)], place[len(code) :] * len(labels) ** 2 + label
     starts = np.flatnonzero(np.diff(a, prepend=-1))
-    columns = [a[starts], np.diff(np.append(starts, len(a))), np.diff(b, prepend=0), label]
-    values = [names.take(pa.array(used)), labels, *[pa.array(c.astype(np.int32)) for c in columns], pa.array(n.astype(np.int64))]
+    step = np.diff(cell, prepend=0)
+    step[starts] = cell[starts]
+    runs = [pa.array(c.astype(np.int32)) for c in (a[starts], np.diff(np.append(starts, len(a))))]
+    sizes, letters = _to_letters(names.take(pa.array(used)))
+    values = [labels, *runs, *[pa.array(c) for c in (_to_bytes(step), _to_bytes(n), _to_bytes(sizes), letters)]]
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values], schema=PACKED)
 
 
@@ -239,18 +269,24 @@ def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     ]
     if not every:
         return
-    names, who = _ranked(pa.concat_arrays([own for own, *_ in every]))
-    labels, which = _ranked(pa.concat_arrays([kinds for _, kinds, *_ in every]))
-    code = np.empty(sum(len(n) for *_, n in every), np.int64)
+    own = [_from_letters(_from_bytes(sizes.to_numpy()), letters.to_numpy()) for *_, sizes, letters in every]
+    names, who = _ranked(pa.concat_arrays(own))
+    labels, which = _ranked(pa.concat_arrays([kinds for kinds, *_ in every]))
+    n = np.concatenate([_from_bytes(row[4].to_numpy()) for row in every])
+    code = np.empty(len(n), np.int64)
     at, of, done = 0, 0, 0
-    for own, kinds, *numbers, _ in every:
-        first, cells, second, label = [c.to_numpy() for c in numbers]
+    for texts, (kinds, *numbers) in zip(own, every):
+        first, cells, step = [c.to_numpy() for c in numbers[:3]]
+        step = _from_bytes(step)
+        cell = np.cumsum(step)
+        starts = np.cumsum(cells) - cells
+        cell -= np.repeat(cell[starts] - step[starts], cells)
+        second, label = np.divmod(cell, len(kinds) ** 2)
         label_a, label_b = np.divmod(label, len(kinds))
-        pair = np.repeat(who[at + first], cells) * len(names) + who[at + np.cumsum(second)]
+        pair = np.repeat(who[at + first], cells) * len(names) + who[at + second]
         code[done : done + len(pair)] = (pair * len(labels) + which[of + label_a]) * len(labels) + which[of + label_b]
-        at, of, done = at + len(own), of + len(kinds), done + len(pair)
-    n = np.concatenate([n.to_numpy() for *_, n in every])
-    del every
+        at, of, done = at + len(texts), of + len(kinds), done + len(pair)
+    del every, own
     order = np.argsort(code, kind="stable")
     code = code[order]
     starts = np.flatnonzero(np.diff(code, prepend=-1))
